@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations
+from quern.llm import conversations, mixing, mojibake, tokenizer
 from quern.operators import timestamps
-from quern.session import table
+from quern.session import shared_checkpoint, table
 
 
 def _messages_with_instants(spark: SparkSession, d: str) -> DataFrame:
@@ -22,5 +22,47 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(_messages_with_instants(spark, d)).select("session_id", "turn_no", "msg_uuid")
 
 
-QUERIES = {"p1_found": p1_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, ids: the whole text of every document by byte_bpe_50k, without special tokens."""
+    return tokenizer.encode(_documents(spark, d, "doc_id", "text"))
+
+
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The documents in as many partitions as the cores ask for: the work is in the workers, not in the reading."""
+    return table(spark, d, "documents").select(*columns)
+
+
+def _counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    # doc_id, source and size only; written once, read for the rates and for the mix
+    counted = shared_checkpoint(tokenizer.count_tokens(_documents(spark, d, "doc_id", "source", "text")))
+    targets = table(spark, d, "mix_targets").select("source", "target_share", "max_repeats")
+    return counted, mixing.rates(tokenizer.token_totals(counted, "source"), targets)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the mix."""
+    return mixing.mix(*_counted(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix reaches, per source."""
+    return mixing.shares(*_counted(spark, d))
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with their text restored where possible."""
+    docs = _documents(spark, d, "doc_id", "source", "text")
+    return mojibake.repair(docs, mojibake.fit(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_repaired(spark, d).select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_repaired": p10_repaired,
+}
 SQL: dict[str, str] = {}
