@@ -255,7 +255,7 @@ def fit(documents: DataFrame, rounds: int = 2) -> Model:
     """
     model: Model | None = None
     for _ in range(rounds + 1):
-        rows = _count(documents, model).toPandas()
+        rows = _count(documents, model).toArrow().to_pandas()
         new = Model()
         at, n = rows["at"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
         kind = rows["kind"].to_numpy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, mixing, mojibake, tokenizer
+from quern.llm import conversations, mixing, mojibake, tokenizer, truncation
 from quern.operators import timestamps
 from quern.session import shared_checkpoint, table
 
@@ -22,6 +22,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(_messages_with_instants(spark, d)).select("session_id", "turn_no", "msg_uuid")
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "session_messages").select(F.col("line_id").alias("row_id"), "collector", F.col("msg_role").alias("role"), F.col("msg_content").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose content was cut off."""
+    rows = _contents(spark, d)
+    counts, model, _ = truncation.fit(rows)
+    return truncation.cut_rows(truncation.score(rows, counts, model)).select(F.col("row_id").alias("line_id"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each collector cuts."""
+    rows = _contents(spark, d)
+    counts, model, _ = truncation.fit(rows)
+    return truncation.rates(rows, truncation.score(rows, counts, model))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, ids: the whole text of every document by byte_bpe_50k, without special tokens."""
     return tokenizer.encode(_documents(spark, d, "doc_id", "text"))
@@ -61,6 +79,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found, "p2_rates": p2_rates,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
