@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, mixing, mojibake, tokenizer, truncation
+from quern.llm import conversations, credentials, mixing, mojibake, tokenizer, truncation
 from quern.operators import timestamps
 from quern.session import shared_checkpoint, table
 
@@ -40,6 +40,28 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(rows, truncation.score(rows, counts, model))
 
 
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """The three fields with code and commands; the owner of a line is the workspace, of a rollout line its file."""
+    said = table(spark, d, "session_messages").where("input_command is not null or input_new_str is not null")
+    fields = F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("input_command", "input_new_str")]))
+    a = said.select(F.lit("session_messages").alias("src_table"), F.col("line_id").alias("row_id"), F.coalesce("cwd", "session_id").alias("owner"), fields)
+    b = table(spark, d, "rollout_records").select(
+        F.lit("rollout_records").alias("src_table"), F.col("rec_id").alias("row_id"), F.col("source_file").alias("owner"),
+        F.lit("input_content").alias("field_name"), F.col("input_content").alias("text"))
+    return a.unionByName(b).where("text is not null and text != ''")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every credential of the three fields."""
+    return credentials.find(_code(spark, d)).select("src_table", "row_id", "field_name", "secret_text").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The fields with credentials, each replaced."""
+    texts = _code(spark, d)
+    return credentials.redact(texts, credentials.find(texts))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, ids: the whole text of every document by byte_bpe_50k, without special tokens."""
     return tokenizer.encode(_documents(spark, d, "doc_id", "text"))
@@ -80,6 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found, "p2_rates": p2_rates,
+    "p7_found": p7_found, "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
