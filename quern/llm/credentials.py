@@ -68,11 +68,18 @@ _ASSIGN = re.compile(
     r"(?P<name>[^\W\d][\w.-]*)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[A-Za-z]\w*\s*=|:=|=>|==?|:|>)\s*"
     r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>[^\n]*?)(?P=q)|(?P<bare>[^\s\"'`,;<>(){}\[\]|]+))"
 )
+_ELEMENT = re.compile(r"""(?:\b(?:name|key|id)=["'](?P<a>[^"'\n]+)["'][^<>\n]*>|<(?P<b>[A-Za-z_][\w.-]*)>)(?P<v>[^<>\n]+)</""")
+_ATTRIBUTE = re.compile(r"""\b(?:name|key|id)=["'](?P<a>[^"'\n]+)["']\s+value=["'](?P<v>[^"'\n]+)["']""")
 _WORDS = re.compile(r"^[A-Za-z]?[a-z]*(?:[_ .-][A-Za-z]?[a-z]*)+$|^[A-Z]+(?:_[A-Z]+)+$")
 
 SURE, LIKELY = 2, 1  # told by form or place; told by a name and the look of the value
 
 
+def _secret_name(name: str) -> bool:
+    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).replace("-", "_").lower()
+    return bool(_NAME.search(name)) and not _NOT_NAME.search(name)
+
+
 def _usable(value: str) -> bool:
     return 4 <= len(value) <= 4096 and not _PLACEHOLDER.match(value) and not _REFERENCE.search(value)
 
@@ -119,9 +126,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         for m in p.finditer(text):
             if _usable(m["v"]) and not m["v"].startswith("-"):
                 found.append((m.start("v"), m.end("v"), SURE if len(m["v"]) >= 6 else LIKELY))
+    for p in (_ELEMENT, _ATTRIBUTE):
+        for m in p.finditer(text):
+            name, value, start = m["a"] or m["b"], m["v"], m.start("v")
+            if s := re.match(r"(?:Bearer|Basic|Token)\s+", value, re.I):
+                start, value = start + s.end(), value[s.end() :]
+            if _secret_name(name) and "://" not in value and _usable(value) and _random_looking(value, True):
+                found.append((start, start + len(value), LIKELY))
     for m in _ASSIGN.finditer(text):
-        name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", m["name"]).replace("-", "_").lower()
-        if not _NAME.search(name) or _NOT_NAME.search(name):
+        if not _secret_name(m["name"]):
             continue
         quoted = m["quoted"] is not None
         start = m.start("quoted") if quoted else m.start("bare")
