@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -79,15 +79,12 @@ class Counts:
     limits: dict[str, list[tuple[str, int, float]]] = field(default_factory=dict)
 
 
-def _line_grams(line: str) -> tuple[list[int], list[int]]:
-    """Hashes of (token) and (token, token) at each token of a line: last tokens' pairs and those of the others."""
-    skels = [skeleton(t) for t in line.split(" ")]
-    grams = []
-    prev = "^"
-    for s in skels:
-        grams.append((_gram("1" + s), _gram(prev + "\x01" + s)))
-        prev = s
-    return grams[-1], [g for pair in grams[:-1] for g in pair]
+def _end_grams(line: str) -> tuple[int, int]:
+    """Hashes of the last token of a line, and of its last two."""
+    head, _, end = line.rpartition(" ")
+    s = skeleton(end)
+    before = skeleton(head[head.rfind(" ") + 1 :]) if _ else "^"
+    return _gram("1" + s), _gram(before + "\x01" + s)
 
 
 _grams: dict[str, int] = {}
@@ -110,18 +107,24 @@ def count(rows: DataFrame) -> Counts:
         lengths: dict[tuple[str, str, int], int] = defaultdict(int)
         lines = 0
         ends, goes_on, words = tables.values()
-        seen_lines: dict[str, int] = defaultdict(int)
+        single: Counter = Counter()  # skeletons that go on
+        pair: Counter = Counter()
+        last: Counter = Counter()  # (skeleton before, skeleton) at a line's end
+        token: Counter = Counter()  # tokens, those at a line's end without their last run of letters
 
         def spend() -> None:
-            for line, n in seen_lines.items():
-                last, rest = _line_grams(line)
-                ends[list(last)] += n
-                for g in rest:
-                    goes_on[g] += n
-                for w in _LETTERS.finditer(line):
-                    if w.end() < len(line):
-                        words[_gram("w" + w.group().lower())] += n
-            seen_lines.clear()
+            for s, n in single.items():
+                goes_on[_gram("1" + s)] += n
+            for (p, s), n in pair.items():
+                goes_on[_gram(p + "\x01" + s)] += n
+            for (p, s), n in last.items():
+                ends[_gram("1" + s)] += n
+                ends[_gram(p + "\x01" + s)] += n
+            for t, n in token.items():
+                for w in _LETTERS.findall(t):
+                    words[_gram("w" + w.lower())] += n
+            for c in (single, pair, last, token):
+                c.clear()
 
         for pdf in batches:
             for who, text in zip(pdf["collector"], pdf["text"]):
@@ -135,9 +138,16 @@ def count(rows: DataFrame) -> Counts:
                     lengths[who, "core", len(core)] += 1
                 for line in text.split("\n"):
                     if line:
-                        seen_lines[line] += 1
                         lines += 1
-            if len(seen_lines) > 100_000:
+                        toks = line.split(" ")
+                        skels = [skeleton(t) for t in toks]
+                        last[skels[-2] if len(skels) > 1 else "^", skels[-1]] += 1
+                        if len(skels) > 1:
+                            single.update(skels[:-1])
+                            pair.update(zip(("^", *skels), skels[:-1]))
+                            token.update(toks[:-1])
+                        token[_TAIL_LETTERS.sub("", toks[-1])] += 1
+            if len(token) + len(pair) > 200_000:
                 spend()
         spend()
         for k, t in tables.items():
@@ -194,6 +204,18 @@ def _level(x: float) -> int:
     return max(-4, min(5, round(math.log2(x)))) if x > 0 else -5
 
 
+_features: dict[str, int] = {}
+
+
+def _feature(name: str) -> int:
+    got = _features.get(name)
+    if got is None:
+        if len(_features) >= 400_000:
+            _features.clear()
+        got = _features[name] = _hash(name) & _D
+    return got
+
+
 class Features:
     """Hashed features of a text's end."""
 
@@ -245,7 +267,7 @@ class Features:
         tail = core[-1:] or " "
         kind = "9" if tail.isdigit() else "a" if tail.islower() else "A" if tail.isalpha() else tail
         shape = "".join("9" if x.isdigit() else "a" if x.isalpha() else x for x in core[-3:])
-        (g1, g2), _ = _line_grams(whole[-400:])
+        g1, g2 = _end_grams(whole)
         e1, e2 = max(c.ends[g1] - own, 0.0), max(c.ends[g2] - own, 0.0)
         i1, i2 = c.goes_on[g1], c.goes_on[g2]
         r1, r2 = _level((e1 + 0.3) / (i1 + 0.3)), _level((e2 + 0.3) / (i2 + 0.3))
@@ -262,10 +284,10 @@ class Features:
             f"c{kind}", f"s{shape}", f"i{inside}{closed}", f"rk{role}{kind}", f"r1{r1}", f"r2{r2}", f"r{r1},{r2}", f"k1{k1}", f"k2{k2}",
             f"rr{role}{r2},{min(k2, 0)}", f"w{word}", f"wk{word}{closed}{role}", f"o{opened}", f"n{n_words}{role}{closed}", f"p{prose}{role}{closed}",
             f"m{sign}", f"mr{sign}{r2}", f"L{limit}", f"Lc{limit}{closed}", f"Lr{limit}{r2}", f"Lm{limit}{bool(mark)}", f"x{multi}{role}{closed}{r2}", f"io{inside}{r2}",
-            f"G1{g1}", f"G2{g2}", f"G2r{role}{g2}",
             f"e{core[-6:] if not tail.isalnum() else ''}", "b",
         ]
-        return [_hash(x) & _D for x in names]
+        tail_ids = [(g1 * 31 + 17) & _D, (g2 * 37 + 29) & _D, (g2 * 41 + ord(role) * 7919) & _D]  # the end itself
+        return [_feature(x) for x in names] + tail_ids
 
 
 # What a cut may leave at the end, as shares of the artificial cuts.
