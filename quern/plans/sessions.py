@@ -87,12 +87,12 @@ def final_artifact(spark, d):
     return enrich.code_artifacts(log_events(spark, d))
 
 
-@query("signal_last_wins", f"""{_FLAGS} select session_id, max(seq) filter (where happy) as last_happy, max(seq) filter (where sad) as last_sad,
+@query("signal_last_wins", f"""{_FLAGS} select session_id, coalesce(max(seq) filter (where happy), -1) as last_happy, coalesce(max(seq) filter (where sad), -1) as last_sad,
     coalesce(max(seq) filter (where happy) > coalesce(max(seq) filter (where sad), -1), false) as satisfied from f group by 1""")
 def signal_last_wins(spark, d):
     c, user = F.col("content"), F.col("role") == "user"
     g = log_events(spark, d).groupBy("session_id").agg(F.max(F.when(user & c.rlike(enrich.SATISFACTION), F.col("seq"))).alias("last_happy"), F.max(F.when(user & c.rlike(enrich.FRUSTRATION), F.col("seq"))).alias("last_sad"))
-    return g.withColumn("satisfied", F.coalesce(F.col("last_happy") > F.coalesce("last_sad", F.lit(-1)), F.lit(False)))
+    return g.na.fill(-1, ["last_happy", "last_sad"]).withColumn("satisfied", F.col("last_happy") > F.col("last_sad"))
 
 
 @query("solution_window", f"""{_FLAGS}, i as (select session_id, err, row_number() over (partition by session_id order by seq) - 1 as idx from f)
