@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import orphans, schema_drift, shredding, timestamps
-from quern.session import table
+from quern.session import spread, table
 
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _archive_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_lines").select("raw_id", "archive_id", "agent", "file_seq", "file_name", "line_no", "raw_json")
+    return spread(table(spark, d, "raw_lines").select("raw_id", "archive_id", "agent", "file_seq", "file_name", "line_no", "raw_json"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +60,11 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Files of tool calls, linked to their call and line."""
-    return shredding.files(table(spark, d, "raw_lines"))
+    return shredding.files(_archive_lines(spark, d))
 
 
 def p5_calls(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.calls(table(spark, d, "raw_lines"))
+    return shredding.calls(_archive_lines(spark, d))
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -72,3 +72,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(out))
     _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if the input comes in fewer pieces than there are cores (one small file); larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if pieces >= cores else df.repartition(cores)

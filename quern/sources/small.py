@@ -1,0 +1,61 @@
+"""Small sources read on the driver: project registry, version-control log, cached usage."""
+
+from __future__ import annotations
+
+import json
+import re
+import subprocess
+import time
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+HEX_COLOUR = re.compile(r"^#(?:[0-9a-fA-F]{3}|[0-9a-fA-F]{6})$")
+
+
+def registry(path: str | Path) -> tuple[list[dict[str, Any]], list[str]]:
+    """Projects and warnings of a registry in its first form (name, path) or its second (projects with workspaces)."""
+    try:
+        import yaml
+    except ImportError as e:  # the reader is optional
+        raise RuntimeError("reading a registry needs a YAML reader") from e
+    data = yaml.safe_load(Path(path).read_text()) or {}
+    warnings, out = [], []
+    items = data.get("projects") if isinstance(data, dict) else data
+    for p in items or ([data] if isinstance(data, dict) and data.get("name") else []):
+        if not p.get("name"):
+            warnings.append("a project without name was left out")
+            continue
+        spaces = p.get("workspaces") or ([{"path": p["path"], "role": "primary"}] if p.get("path") else [])
+        spaces = [{"path": s, "role": "primary"} if isinstance(s, str) else {"path": s.get("path"), "role": s.get("role", "primary")} for s in spaces]
+        if p.get("color") and not HEX_COLOUR.match(str(p["color"])):
+            warnings.append(f"{p['name']}: {p['color']!r} is no colour")
+        if not spaces:
+            warnings.append(f"{p['name']}: no workspace")
+        out.append({"name": p["name"], "label": p.get("label") or p["name"], "color": p.get("color"), "workspaces": spaces})
+    return out, warnings
+
+
+def commits(spark: SparkSession, repo: str, since: str | None = None) -> DataFrame:
+    """hash, short, author, ts, subject of a repository; the subject comes last, so that it may hold the separator."""
+    cmd = ["git", "-C", repo, "log", "--pretty=format:%H|%h|%aI|%an|%s", *([f"--since={since}"] if since else [])]
+    done = subprocess.run(cmd, capture_output=True, text=True, check=False)
+    rows = [tuple(x.split("|", 4)) for x in done.stdout.splitlines() if x.count("|") >= 4]
+    return spark.createDataFrame(rows, "hash string, short string, at string, author string, subject string").selectExpr("hash", "short", "author", "cast(try_to_timestamp(at) as timestamp_ntz) as ts", "subject")
+
+
+def blame(repo: str, file: str, line: int) -> str | None:
+    done = subprocess.run(["git", "-C", repo, "blame", "--porcelain", "-L", f"{line},{line}", "--", file], capture_output=True, text=True, check=False)
+    return done.stdout.split(" ", 1)[0] or None if done.returncode == 0 else None
+
+
+def cached_usage(path: str | Path, max_age_seconds: float) -> dict[str, Any] | None:
+    """The usage cache if it is there, fresh and readable."""
+    p = Path(path)
+    try:
+        if time.time() - p.stat().st_mtime > max_age_seconds:
+            return None
+        return json.loads(p.read_text())
+    except (OSError, ValueError):
+        return None

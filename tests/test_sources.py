@@ -1,0 +1,145 @@
+import json
+import sqlite3
+from pathlib import Path
+
+import pytest
+
+from quern import ingest
+from quern.sources import connector, files, small, sqlite
+
+
+def write(p: Path, text: str) -> str:
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(text)
+    return str(p)
+
+
+CONNECTOR = """
+[plugin]
+name = "cc"
+version = "1.0"
+[source]
+paths = ["{root}/*/*.jsonl"]
+exclude = ["{root}/skip/*"]
+format = "jsonl"
+[source.session_detection]
+method = "one-file-per-session"
+[parser]
+type = "type"
+timestamp = "timestamp"
+role = "message.role"
+content = "message.content"
+tool = "message.tool"
+file_path = "message.input.file_path"
+exclude_types = ["progress"]
+[parser.static]
+source_agent = "cc"
+[parser.project]
+method = "field"
+field = "cwd"
+"""
+
+
+def line(role, content, t, **more):
+    return json.dumps({"type": role, "timestamp": t, "cwd": "/w/x", "message": {"role": role, "content": content, **more}})
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "logs"
+    good = [line("user", "please", "2024-01-01T00:00:00Z"), "", line("assistant", "ok", "2024-01-01T00:00:01Z"), line("tool_call", "", 1704067202, tool="Edit", input={"file_path": "a.rs"}), '{"type": "progress"}', '{"trunc']
+    write(root / "p" / "s1.jsonl", "\n".join(good))
+    write(root / "p" / "s2.jsonl", "")
+    write(root / "skip" / "s3.jsonl", line("user", "no", "2024-01-01T00:00:00Z"))
+    c = connector.load(write(tmp_path / "c.toml", CONNECTOR.format(root=root)))
+    return root, c, tmp_path
+
+
+def test_jsonl(spark, tree):
+    root, c, _ = tree
+    paths = connector.discover(c)
+    assert [Path(p).name for p in paths] == ["s1.jsonl", "s2.jsonl"]
+    ev, counts = files.jsonl(spark, c, paths)
+    got = [(r.session_id, r.role, r.content, r.tool, r.path, r.project, str(r.ts)) for r in ev.orderBy("seq").collect()]
+    assert got == [("cc/s1", "user", "please", None, None, "/w/x", "2024-01-01 00:00:00"), ("cc/s1", "assistant", "ok", None, None, "/w/x", "2024-01-01 00:00:01"), ("cc/s1", "tool_call", "", "Edit", "a.rs", "/w/x", "2024-01-01 00:00:02")]
+    assert [(r.lines, r.blank, r.bad, r.events) for r in counts.collect()] == [(6, 1, 1, 3)]
+
+
+def test_ingest_twice_is_once_and_appends_are_seen(spark, tree):
+    root, c, tmp = tree
+    out, state = str(tmp / "store"), str(tmp / "state.json")
+    assert ingest.ingest(spark, c, out, state) == 2
+    before = sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect()))
+    assert ingest.ingest(spark, c, out, state) == 0
+    write(root / "q" / "s4.jsonl", line("user", "hi", "2025-01-01T00:00:00Z"))
+    with open(root / "p" / "s1.jsonl", "a") as f:
+        f.write("\n" + line("user", "thanks", "2024-01-01T00:01:00Z"))
+    import os
+
+    os.utime(root / "p" / "s1.jsonl", (2e9, 2e9))
+    assert ingest.ingest(spark, c, out, state) == 2
+    spark.catalog.clearCache()
+    after = sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect()))
+    assert len(after) == len(before) + 2 and set(before) <= set(after)
+    ingest.compact(spark, out)
+    assert sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect())) == after
+    assert ingest.drop_older(spark, out, "2024-06-01 00:00:00") == 1
+    assert {r.session_id for r in ingest.read_sessions(spark, out).collect()} == {"cc/s4"}
+
+
+def test_connector_errors(tmp_path):
+    bad = write(tmp_path / "b.toml", '[plugin]\nname=""\n[source]\npaths=[]\nformat="csv"\n[source.session_detection]\nmethod="x"\n')
+    with pytest.raises(ValueError, match="name"):
+        connector.load(bad)
+
+
+def test_markdown_sessions(spark, tmp_path):
+    text = "preface\n# aider chat started at 2024-01-01 10:00:00\n\ndropped\n#### do it\nmore\n> tool says\n> again\n\n# aider chat started at 2024-01-02 10:00:00\n#### second\n"
+    p = write(tmp_path / "h.md", text)
+    c = connector.Connector("aider", "1", [p], "markdown", detection={"method": "delimiter", "delimiter_pattern": r"^# aider chat started at (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"}, parser={"user_prefix": "#### ", "tool_prefix": "> "})
+    got = [(r.session_id, r.role, r.content, str(r.ts)) for r in files.markdown(spark, c, [p]).orderBy("session_id", "seq").collect()]
+    assert got == [("aider/h-1", "user", "do it\nmore", "2024-01-01 10:00:00"), ("aider/h-1", "tool_result", "tool says", "2024-01-01 10:00:00"), ("aider/h-1", "tool_result", "again", "2024-01-01 10:00:00"), ("aider/h-2", "user", "second", "2024-01-02 10:00:00")]
+
+
+def test_json_tree(spark, tmp_path):
+    write(tmp_path / "session/p/s.json", json.dumps({"id": "s", "messageIds": ["m2", "m1", "lost"]}))
+    write(tmp_path / "message/s/m1.json", json.dumps({"id": "m1", "sessionId": "s", "role": "user", "createdAt": "2024-01-01T00:00:00Z", "partIds": ["x"]}))
+    write(tmp_path / "message/s/m2.json", json.dumps({"id": "m2", "sessionId": "s", "createdAt": "2024-01-01T00:00:05Z", "partIds": ["y", "z"]}))
+    for m, p in (("m1", "x"), ("m2", "y"), ("m2", "z")):
+        write(tmp_path / f"part/{m}/{p}.json", json.dumps({"id": p, "messageId": m, "type": "text", "text": f"t{p}"}))
+    c = connector.Connector("oc", "1", ["x"], "json-tree")
+    got = [(r.role, r.content, r.seq) for r in files.json_tree(spark, c, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [("user", "tx", 1), ("assistant", "ty", 2), ("assistant", "tz", 3)]
+
+
+def test_sqlite(spark, tmp_path):
+    db = tmp_path / "k.db"
+    con = sqlite3.connect(db)
+    con.execute("create table kv(key text, value text)")
+    con.executemany("insert into kv values (?, ?)", [("bubble:a:1", json.dumps([{"role": "user", "text": "hi"}, {"role": "ai", "text": "yo"}, {"role": "alien", "text": "x"}, {"role": "user", "text": ""}])), ("bubble:b:1", json.dumps({"role": "user", "text": "one", "createdAt": "2024-01-01T00:00:00Z"})), ("other", "{}"), ("bubble:c:1", "no json")])
+    con.commit()
+    con.close()
+    c = connector.Connector("cur", "1", [str(db)], "sqlite", detection={"method": "key-pattern", "key_pattern": "bubble:([^:]+):"}, parser={"query": "select key, value from kv", "role": "role", "key_filter": "^bubble"})
+    got = sorted((r.session_id, r.seq, r.role, r.content) for r in sqlite.events(spark, c, str(db)).collect())
+    assert got == [("cur/a", 1, "user", "hi"), ("cur/a", 2, "assistant", "yo"), ("cur/b", 1, "user", "one")]
+
+
+def test_usage_and_speech(spark, tmp_path):
+    row = {"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "message": {"id": "m", "model": "x", "usage": {"input_tokens": 5}}}
+    write(tmp_path / "u/a.jsonl", json.dumps(row) + "\n" + json.dumps({**row, "type": "user"}) + "\nusage {")
+    write(tmp_path / "u/subagents/b.jsonl", json.dumps(row))
+    got = files.usage_logs(spark, str(tmp_path / "u")).collect()
+    assert [(r.message_id, r.input_tokens, r.cache_read) for r in got] == [("m", 5, 0)]
+    a = json.dumps({"transcription": [{"offsets": {"from": 0, "to": 1500}, "text": " hi"}]})
+    b = json.dumps({"text": "hi", "segments": [{"start": 0.0, "end": 1.5, "text": " hi"}]})
+    df = spark.createDataFrame([("a", a), ("b", b), ("c", "{}")], "file string, value string")
+    out = {r.file: r.utterances for r in files.speech(df).collect()}
+    assert [tuple(x) for x in out["a"]] == [tuple(x) for x in out["b"]] == [("hi", 0, 1500)] and out["c"] is None
+
+
+def test_small_sources(spark, tmp_path):
+    p = write(tmp_path / "p.yaml", "version: 2\nprojects:\n  - name: a\n    color: '#12'\n    workspaces: [/w/a, {path: /w/b, role: archive}]\n  - label: x\n")
+    projects, warnings = small.registry(p)
+    assert [w["path"] for w in projects[0]["workspaces"]] == ["/w/a", "/w/b"] and len(warnings) == 2
+    assert small.cached_usage(tmp_path / "none.json", 10) is None
+    assert small.commits(spark, str(tmp_path)).count() == 0
