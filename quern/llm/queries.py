@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import conversations, credentials, mixing, mojibake, tokenizer, truncation
 from quern.operators import timestamps
-from quern.session import shared_checkpoint, table
+from quern.session import shared_checkpoint, spread, table
 
 
 def _messages_with_instants(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "session_messages").select(F.col("line_id").alias("row_id"), "collector", F.col("msg_role").alias("role"), F.col("msg_content").alias("text"))
+    return spread(table(spark, d, "session_messages").select(F.col("line_id").alias("row_id"), "collector", F.col("msg_role").alias("role"), F.col("msg_content").alias("text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The documents in as many partitions as the cores ask for: the work is in the workers, not in the reading."""
-    return table(spark, d, "documents").select(*columns)
+    return spread(table(spark, d, "documents").select(*columns))
 
 
 def _counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
