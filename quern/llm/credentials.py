@@ -49,28 +49,30 @@ _PLACEHOLDER = re.compile(
     re.I,
 )
 _REFERENCE = re.compile(r"^\$|\$\{|\$\(|\{\{|%\(|#\{|^@|^&|^\*{3}|(?:^|\W)(?:os|process|sys)\.|getenv|environ|vault|secrets?\.|keyring|^file:|^/(?:run|etc|var|home|secrets)/|^arn:")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@\"'`<>/]+)@", re.I)
+# All patterns begin at the edge of a word and bound what lies between, so that no text makes them scan it again and again.
+_PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+_URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s:/@\"'`<>]{0,200}:([^\s@\"'`<>/]{1,4096})@", re.I)
 _SCHEME = re.compile(r"\b(Bearer|Basic|Token)\s+([A-Za-z0-9._~+/=:-]{6,})", re.I)
 _FORM = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(FORMS) + r")(?![A-Za-z0-9])")
 _OPTIONS = [
     re.compile(r"\bsshpass\s+-p\s*(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)"),
-    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p(?P<q>['\"]?)(?P<v>[^\s'\"=-][^\s'\"]*)(?P=q)"),
-    re.compile(r"\bredis-cli\b[^\n|;&]*?\s-a\s+(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)"),
-    re.compile(r"\bcurl\b[^\n|;]*?\s(?:-u|--user|--proxy-user)[ =]?(?P<q>['\"]?)[^\s:'\"]*:(?P<v>[^\s'\"]+)(?P=q)"),
+    re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]{0,500}?\s-p(?P<q>['\"]?)(?P<v>[^\s'\"=-][^\s'\"]*)(?P=q)"),
+    re.compile(r"\bredis-cli\b[^\n|;&]{0,500}?\s-a\s+(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)"),
+    re.compile(r"\bcurl\b[^\n|;]{0,500}?\s(?:-u|--user|--proxy-user)[ =]?(?P<q>['\"]?)[^\s:'\"]{0,200}:(?P<v>[^\s'\"]+)(?P=q)"),
     re.compile(r"--(?:password|passwd|pass|token|secret|api-?key|auth-token)[= ](?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)"),
-    re.compile(r"\b[A-Z]*(?:PASSWORD|PASS|PWD)=(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)\s+[a-z]"),
+    re.compile(r"\b[A-Z]{0,60}(?:PASSWORD|PASS|PWD)=(?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)\s+[a-z]"),
     re.compile(r"\bpassword=(?P<q>['\"]?)(?P<v>[^\s'\"&;]+)(?P=q)(?=[\s'\";&]|$)"),
     re.compile(r"[?&](?:access_token|api_?key|apikey|token|key|auth|sig|signature|password|secret|client_secret)=(?P<q>)(?P<v>[^\s&'\"#<>]+)", re.I),
     re.compile(r"\b(?:X-[A-Za-z-]*(?:Key|Token|Secret|Auth)|Private-Token|Api-Key)\s*:\s*(?P<q>)(?P<v>[^\s'\"]+)", re.I),
 ]
 _ASSIGN = re.compile(
-    r"(?P<name>[^\W\d][\w.-]*)[\"'`]?\]?\s*(?::\s*&?(?:'static\s+)?[A-Za-z]\w*\s*=|:=|=>|==?|:|>)\s*"
-    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>[^\n]*?)(?P=q)|(?P<bare>[^\s\"'`,;<>(){}\[\]|]+))"
+    r"(?<![\w.-])(?P<name>[^\W\d][\w.-]{0,120})(?![\w.-])[\"'`]?\]?\s{0,20}(?::\s*&?(?:'static\s+)?[A-Za-z]\w*\s*=|:=|=>|==?|:|>)\s{0,20}"
+    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>[^\n]{0,4096}?)(?P=q)|(?P<bare>[^\s\"'`,;<>(){}\[\]|]{1,4096}))"
 )
-_ELEMENT = re.compile(r"""(?:\b(?:name|key|id)=["'](?P<a>[^"'\n]+)["'][^<>\n]*>|<(?P<b>[A-Za-z_][\w.-]*)>)(?P<v>[^<>\n]+)</""")
-_ATTRIBUTE = re.compile(r"""\b(?:name|key|id)=["'](?P<a>[^"'\n]+)["']\s+value=["'](?P<v>[^"'\n]+)["']""")
-_WORDS = re.compile(r"^[A-Za-z]?[a-z]*(?:[_ .-][A-Za-z]?[a-z]*)+$|^[A-Z]+(?:_[A-Z]+)+$")
+_ELEMENT = re.compile(r"""(?:\b(?:name|key|id)=["'](?P<a>[^"'\n]{1,120})["'][^<>\n]{0,200}>|<(?P<b>[A-Za-z_][\w.-]{0,120})>)(?P<v>[^<>\n]{1,4096})</""")
+_ATTRIBUTE = re.compile(r"""\b(?:name|key|id)=["'](?P<a>[^"'\n]{1,120})["']\s+value=["'](?P<v>[^"'\n]+)["']""")
+_WORDS = re.compile(r"^(?:[A-Za-z][a-z]*)?(?:[_ .-](?:[A-Za-z][a-z]*)?)+$|^[A-Z]+(?:_[A-Z]+)+$")
 
 SURE, LIKELY = 2, 1  # told by form or place; told by a name and the look of the value
 
@@ -100,8 +102,13 @@ def _random_looking(value: str, quoted: bool) -> bool:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, certainty) of the literals in a text that may be credentials, none inside another."""
     found: list[tuple[int, int, int]] = []
-    for m in _PEM.finditer(text):
-        found.append((m.start(), m.end(), SURE))
+    at = 0
+    while m := _PEM_BEGIN.search(text, at):
+        end = _PEM_END.search(text, m.end())
+        if not end:
+            break
+        found.append((m.start(), end.end(), SURE))
+        at = end.end()
     for m in _URL.finditer(text):
         if _usable(m[1]):
             found.append((m.start(1), m.end(1), SURE))

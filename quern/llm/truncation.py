@@ -35,10 +35,22 @@ _MARK = re.compile(r"\s?(?:…|\.\.\.|(?:\.\.\.)?[\[(<{]+\s*[\w .+…-]{0,24}(?:
 _DIGITS = re.compile(r"\d+")
 _HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]{12,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TAIL_LETTERS = re.compile(r"[^\W\d_]+$")
 _CLOSING = ".!?:;。！？`)]}\"'”’»…"
 
 
+def _mark(text: str) -> re.Match | None:
+    """The closing mark of a text, if it has one; a mark is short, so only the end is searched."""
+    return _MARK.search(text, max(0, len(text) - 80))
+
+
+def _without_tail(s: str) -> int:
+    """Where the run of letters at the end of a text begins."""
+    j = len(s)
+    while j and s[j - 1].isalpha():
+        j -= 1
+    return j
+
+
 def _hash(s: str) -> int:
     """A hash of the text that all workers share."""
     h = 2166136261
@@ -54,6 +66,9 @@ def skeleton(token: str) -> str:
     """A token with what varies freely taken out: digits, names with underscores, and paths up to their extension."""
     got = _skeletons.get(token)
     if got is None:
+        asked = token
+        if len(token) > 256:
+            token = token[:128] + token[-128:]  # what is kept of a token is its first and last letters anyway
         s = _DIGITS.sub("9", token) if not _HEX.fullmatch(token) else "H"
         if "/" in s:
             head, _, ext = s.rpartition(".")
@@ -64,7 +79,8 @@ def skeleton(token: str) -> str:
         got = s if len(s) <= 24 else s[:8] + "~" + s[-12:]
         if len(_skeletons) >= 200_000:
             _skeletons.clear()
-        _skeletons[token] = got
+        if len(asked) <= 256:
+            _skeletons[asked] = got
     return got
 
 
@@ -131,7 +147,8 @@ def count(rows: DataFrame) -> Counts:
                 if not text:
                     continue
                 who = who or ""
-                core = _MARK.sub("", text)
+                m = _mark(text)
+                core = text[: m.start()] if m else text
                 lengths[who, "chars", len(text)] += 1
                 lengths[who, "bytes", len(text) if text.isascii() else len(text.encode("utf-8", "replace"))] += 1
                 if len(core) != len(text):
@@ -146,7 +163,7 @@ def count(rows: DataFrame) -> Counts:
                             single.update(skels[:-1])
                             pair.update(zip(("^", *skels), skels[:-1]))
                             token.update(toks[:-1])
-                        token[_TAIL_LETTERS.sub("", toks[-1])] += 1
+                        token[toks[-1][: _without_tail(toks[-1])]] += 1
             if len(token) + len(pair) > 200_000:
                 spend()
         spend()
@@ -250,14 +267,14 @@ class Features:
         """
         if who not in self.c.limits:
             return 0.0
-        mark = _MARK.search(text)
+        mark = _mark(text)
         core = text[: mark.start()] if mark else text
         near, piled = self._nearest(who, text, core)
         return min(math.log(piled), 4.0) if near == "0" and core[-1:] not in _CLOSING[:9] else 0.0
 
     def __call__(self, who: str, role: str, text: str, own: float = 0.0, limit: str | None = None) -> list[int]:
         c = self.c
-        mark = _MARK.search(text)
+        mark = _mark(text)
         core = text[: mark.start()] if mark else text
         sign = mark.group().strip()[:3] if mark else ""
         limit = self.at_limit(who, text, core) if limit is None else limit
@@ -272,8 +289,8 @@ class Features:
         i1, i2 = c.goes_on[g1], c.goes_on[g2]
         r1, r2 = _level((e1 + 0.3) / (i1 + 0.3)), _level((e2 + 0.3) / (i2 + 0.3))
         k1, k2 = _level(self.per_line * (e1 + i1)), _level(self.per_line * (e2 + i2))
-        m = _TAIL_LETTERS.search(core)
-        word = _level(self.per_line * float(c.words[_gram("w" + m.group().lower())])) if m else 9
+        run = line[_without_tail(line) :]
+        word = _level(self.per_line * float(c.words[_gram("w" + run.lower())])) if run else 9
         inside = "code" if fences % 2 else "text"
         closed = "y" if tail in _CLOSING else "n"
         multi = "m" if "\n" in text else "s"
@@ -343,7 +360,7 @@ def train(sampled: pd.DataFrame, counts: Counts, seed: int = 11) -> tuple[Regres
     limited, usable = 0, 0
     for who, text in sampled[["collector", "text"]].itertuples(index=False):
         if text and counts.limits.get(who or ""):
-            mark = _MARK.search(text)
+            mark = _mark(text)
             usable += 1
             limited += f.at_limit(who or "", text, text[: mark.start()] if mark else text) != "-" and text[-1] not in _CLOSING[:9]
     # as many artificial cuts at a limit as there are values that look so: whole values of just that length exist too
@@ -352,7 +369,7 @@ def train(sampled: pd.DataFrame, counts: Counts, seed: int = 11) -> tuple[Regres
         if not text or len(text) < 4:
             continue
         who, role = who or "", plain_role(role)
-        mark = _MARK.search(text)
+        mark = _mark(text)
         near = f.at_limit(who, text, text[: mark.start()] if mark else text)
         if near != "-" and text[-1] not in _CLOSING[:9]:
             continue
