@@ -12,7 +12,7 @@ ERROR_PATTERNS = [
     r"error\[?[E\d]{4,5}\]?:.*",
     r"thread '.*' panicked at.*",
     r"Traceback \(most recent call last\):",
-    r"\w+Error: .+",
+    r"\b\w+Error: .+",
     r"(?:TypeError|ReferenceError|SyntaxError|RangeError): .+",
     r"panic: .+",
     r"fatal error: .+",
