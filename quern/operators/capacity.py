@@ -40,7 +40,14 @@ def horizons(turns: DataFrame, as_of: str, limit_5h: int, limit_7d: int) -> Data
 
 
 def rolling(turns: DataFrame, seconds: int = 5 * HOUR) -> DataFrame:
-    """Every billable turn with the cost of its account in the window that ends with it, the start excluded."""
-    w = Window.partitionBy("account").orderBy("at").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    t = billable(turns).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    return t.select("account", "seq", F.sum("cost").over(w).alias("cost_window"))
+    """Every billable turn with the cost of its account in the window that ends with it, the start excluded.
+
+    Time is cut into blocks as long as the window; a turn counts in its own
+    block and as a forerunner in the next, so no task sees more of an account
+    than two blocks.
+    """
+    us = seconds * 1_000_000
+    t = billable(turns).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("own", F.floor(F.col("at") / us))
+    dealt = t.select("account", "seq", "cost", "at", "own", F.explode(F.array("own", F.col("own") + 1)).alias("block"))
+    w = Window.partitionBy("account", "block").orderBy("at").rangeBetween(-us + 1, 0)
+    return dealt.withColumn("cost_window", F.sum("cost").over(w)).where("block = own").select("account", "seq", "cost_window")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import blocks
+
 # Signals of the outcome and their weights.
 SATISFACTION = r"(?i)\b(thanks|thank you|works? now|fixed|perfect|great|awesome|that worked|exactly what|helped|solved)\b"
 FRUSTRATION = r"(?i)\b(still not working|doesn'?t work|still broken|gave up|never mind|forget it|too complicated|this is stupid|waste of time|frustrating)\b"
@@ -45,12 +47,12 @@ def outcome(events: DataFrame, w: dict[str, int] | None = None) -> DataFrame:
     c = F.col("content")
     user, result, call = F.col("role") == "user", F.col("role") == "tool_result", F.col("role") == "tool_call"
     edit = call & F.col("tool").isin(*EDIT_TOOLS)
-    order = Window.partitionBy("session_id").orderBy("seq")
     e = events.select(
-        "session_id", "seq", "role", edit.alias("edit"),
+        "session_id", "seq", "role", F.coalesce(edit, F.lit(False)).alias("edit"),
         (user & c.rlike(SATISFACTION)).alias("happy"), (user & c.rlike(FRUSTRATION)).alias("sad"), (user & c.rlike(COMPLETION)).alias("complete"),
         (result & c.rlike(TOOL_ERROR)).alias("error"), (result & c.rlike(TOOL_SUCCESS)).alias("fine"),
-    ).withColumn("after_edit", F.coalesce(F.lag("edit").over(order), F.lit(False)))
+    )
+    e = blocks.lag(e, "session_id", "seq", ["edit"], "prev").withColumn("after_edit", F.coalesce("prev.edit", F.lit(False)))
     at = lambda cond: F.when(cond, F.col("seq"))
     g = e.groupBy("session_id").agg(
         F.count("*").alias("turns"), F.count_if("happy").alias("n_happy"), F.count_if("sad").alias("n_sad"), F.count_if("complete").alias("n_complete"),
@@ -86,10 +88,7 @@ def content(events: DataFrame, tool_bytes: int = 1000, cap: int = 500_000) -> Da
     """
     text = F.when(F.col("role") == "tool_result", byte_prefix(F.col("content"), tool_bytes)).otherwise(F.col("content"))
     e = events.select("session_id", "seq", F.concat(F.col("role"), F.lit(": "), text).alias("line"))
-    up = Window.partitionBy("session_id").orderBy("seq")
-    down = Window.partitionBy("session_id").orderBy(F.desc("seq"))
-    n = F.octet_length("line") + 2
-    e = e.withColumns({"head": F.sum(n).over(up) - n, "tail": F.sum(n).over(down) - n})
+    e = blocks.running(e.withColumn("n", F.octet_length("line") + 2), "session_id", "seq", "n", "head", total="all").withColumn("tail", F.col("all") - F.col("head") - F.col("n"))
     half = cap // 2
     e = e.where((F.col("head") < half) | (F.col("tail") < half))
     whole = F.max(F.col("head") + F.octet_length("line"))
@@ -123,8 +122,8 @@ def code_artifacts(events: DataFrame) -> DataFrame:
 
 def solution_start(events: DataFrame) -> DataFrame:
     """session_id, from_seq: where the solution begins, at the last error or, without one, a third of the way in."""
-    order = Window.partitionBy("session_id").orderBy("seq")
-    e = events.select("session_id", "seq", (F.row_number().over(order) - 1).alias("idx"), ((F.col("role") == "tool_result") & F.col("content").rlike(TOOL_ERROR)).alias("error"))
+    e = events.select("session_id", "seq", F.lit(1).alias("one"), ((F.col("role") == "tool_result") & F.col("content").rlike(TOOL_ERROR)).alias("error"))
+    e = blocks.running(e, "session_id", "seq", "one", "idx")
     g = e.groupBy("session_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("error"), F.col("idx"))).alias("last_error"))
     return g.select("session_id", F.coalesce("last_error", F.floor(F.col("n") / 3)).cast("bigint").alias("from_idx"))
 
@@ -132,16 +131,15 @@ def solution_start(events: DataFrame) -> DataFrame:
 def rejection_windows(events: DataFrame) -> DataFrame:
     """session_id, start_idx, end_idx, attempts of sessions that tried in vain (half-open).
 
-    The state machine is a fold over the session's steps.  A step is one small
-    code (a few bits), not its text.
+    The state machine is a fold over the session's steps, of which only a place
+    and a code (5 bytes) are gathered, not the texts.
     """
     c = F.lower("content")
-    order = Window.partitionBy("session_id").orderBy("seq")
     code = (
         F.when((F.col("role") == "tool_result") & c.rlike(ERROR_SIGNALS), 1).when(F.col("role") == "tool_result", 2)
         .when(F.col("role") == "tool_call", 3).when((F.col("role") == "user") & c.rlike(POSITIVE_SIGNALS), 4)
     )
-    steps = events.select("session_id", (F.row_number().over(order) - 1).alias("idx"), code.alias("code")).where("code is not null")
+    steps = blocks.running(events.select("session_id", "seq", F.lit(1).alias("one"), code.alias("code")), "session_id", "seq", "one", "idx").where("code is not null")
     folded = steps.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("code").cast("tinyint").alias("code")))).alias("steps"))
     return folded.selectExpr("session_id", """aggregate(steps,
         named_struct('a', 0, 's', cast(null as int), 'e', cast(null as int), 'c', 0, 'out', false),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import blocks
+
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, bucket_seconds: int = 86_400) -> DataFrame:
     """Points within spans of the same key, ends included.
@@ -40,12 +42,18 @@ def delete(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return old.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def gap_sessions(events: DataFrame, by: str, at: str, order: str, gap_seconds: int) -> DataFrame:
-    """Rows with the number of their session: a new one begins after a gap longer than ``gap_seconds``."""
-    w = Window.partitionBy(by).orderBy(at, order)
+def gap_sessions(events: DataFrame, by: str, at: str, order: str, gap_seconds: int, block_seconds: int = 86_400) -> DataFrame:
+    """Rows with the number of their session: a new one begins after a gap longer than ``gap_seconds``.
+
+    Rows are cut into blocks of time, so that one busy key is no single task.
+    """
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    new = F.when(F.col("__u") - F.lag("__u").over(w) > gap_seconds * 1_000_000, 1).otherwise(0)
-    return events.withColumn("__u", us).withColumn("__n", new).withColumn("session_no", F.sum("__n").over(w)).drop("__u", "__n")
+    e = events.withColumns({"__u": us, "__o": F.struct(us, F.col(order))})
+    blk = F.floor(F.col("__u") / (block_seconds * 1_000_000))
+    e = blocks.lag(e, by, "__o", ["__u"], "__p", blk)
+    e = e.withColumn("__n", F.when(F.col("__u") - F.col("__p")["__u"] > gap_seconds * 1_000_000, 1).otherwise(0))
+    e = blocks.running(e, by, "__o", "__n", "session_no", blk)
+    return e.withColumn("session_no", F.col("session_no") + F.col("__n")).drop("__u", "__o", "__n", "__p")
 
 
 def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
