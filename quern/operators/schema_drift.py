@@ -105,9 +105,22 @@ def file_fields(lines: DataFrame) -> DataFrame:
 
     ``lines``: archive_id, agent, file_seq, file_name, raw_json.  Unreadable
     lines and lines that are no object count for nothing; a file of nothing else
-    has no rows.  Counts are added up within each task before they move.
+    has no rows.  Counts are added up within each task before they move.  Of
+    anchors neither type nor look is kept, and of the fields inside them only
+    those whose names speak of a target, so that schemas that differ in nothing
+    that matters are one.
     """
     keys = ["archive_id", "agent", "file_seq", "file_name"]
+    wanted = {agent: {w for t in ts for w in t.words} for agent, ts in TARGETS.items()}
+    anchors = {agent: set(a) for agent, a in ANCHORS.items()}
+
+    def relevant(agent: str, path: str, kind: str, look: str) -> tuple[str, str, str] | None:
+        fixed = anchors.get(agent, ())
+        if path in fixed:
+            return path, "", ""
+        if "." in path and path.split(".", 1)[0] in fixed and not _words(path.rsplit(".", 1)[1]) & wanted[agent]:
+            return None
+        return path, kind, look
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -119,7 +132,8 @@ def file_fields(lines: DataFrame) -> DataFrame:
                     continue
                 if isinstance(record, dict):
                     for f in _walk(record):
-                        seen[(*key, *f)] += 1
+                        if (kept := relevant(key[1], *f)) is not None:
+                            seen[(*key, *kept)] += 1
             if seen:
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=[*keys, "path", "type", "look", "n"])
 
@@ -148,7 +162,7 @@ def flood(source: dict[str, set[tuple[str, str]]], agent: str, rounds: int = 60,
     start = np.zeros((len(paths), len(ours)))
     for i, p in enumerate(paths):
         words = set().union(*(_words(s) for s in p.split(".")))
-        looks = {look for t, look in source[p] if t != "null"}
+        looks = {look for t, look in source[p] if t not in ("null", "")}
         for j, o in enumerate(ours):
             if j >= len(targets):
                 start[i, j] = 1.0 if p == o else 0.0
