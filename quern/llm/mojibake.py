@@ -53,7 +53,13 @@ def _byte_table(codec: str) -> dict[str, int]:
     return out
 
 
+def _leads(codec: str) -> frozenset[str]:
+    """Characters that the first byte of a UTF-8 sequence was read as."""
+    return frozenset(c for c, b in _byte_table(codec).items() if 0xC2 <= b < 0xF5)
+
+
 _TABLES: dict[str, dict[str, int]] = {c: _byte_table(c) for c in {r for _, r in CHAINS} - MULTIBYTE}
+_LEADS: dict[str, frozenset[str]] = {c: _leads(c) for c in _TABLES}
 
 
 def _utf8_again(word: str, codec: str) -> str | None:
@@ -66,6 +72,8 @@ def _utf8_again(word: str, codec: str) -> str | None:
         out = data.decode("utf-8", "replace")
         good = sum(c > "\x7f" and c != LOST for c in out)
         return out if good and good > 2 * (out.count(LOST) - word.count(LOST)) else None
+    if _LEADS[codec].isdisjoint(word):
+        return None
     table = _TABLES[codec]
     out, i, n, changed = [], 0, len(word), False
     while i < n:
@@ -103,6 +111,23 @@ def undo(word: str, chain: tuple[str, str]) -> str | None:
     return None if out == word or any(c < " " or "\x7f" <= c < "\xa0" for c in out) else out
 
 
+def undone(word: str) -> list[tuple[int, str]]:
+    """(chain, word before it) for the chains that can have made the word; a chain's number counts from 1."""
+    once = {read: _utf8_again(word, read) for read in READ_AS}
+    out = []
+    for z, chain in enumerate(CHAINS, 1):
+        written, read = chain
+        if written == "utf_8":
+            u = once[read]
+        elif written == "utf_8 utf_8":
+            u = once[read] and _utf8_again(once[read], read)
+        else:
+            u = undo(word, chain)
+        if u:
+            out.append((z, u))
+    return out
+
+
 def _pair(a: int, b: int) -> int:
     return (a * 1_000_003 ^ b * 8_191 ^ (a << 7)) & (_PAIRS - 1)
 
@@ -143,23 +168,33 @@ class Reader:
         self.total = float(model.chars.sum()) or 1.0
         self._words: dict[str, tuple[float, list[tuple[int, str, float]]]] = {}
         self._priors: dict[int, np.ndarray] = {}
+        self._steps: dict[tuple[str, str], float] = {}
 
     def likelihood(self, word: str) -> float:
         """Log probability of a word, its ends included."""
-        pairs, chars, strength = self.model.pairs, self.model.chars, 20.0
-        s, a = 0.0, 32
-        for c in (*word, " "):
-            b = ord(c)
-            unigram = (float(chars[_char(b)]) + 0.02) / (self.total + 3_000.0)
-            s += math.log((float(pairs[_pair(a, b)]) + strength * unigram) / (float(chars[_char(a)]) + strength))
+        known, s, a = self._steps, 0.0, " "
+        for b in (*word, " "):
+            step = known.get((a, b))
+            if step is None:
+                step = self._step(a, b)
+            s += step
             a = b
         return s
 
+    def _step(self, a: str, b: str) -> float:
+        pairs, chars, strength = self.model.pairs, self.model.chars, 20.0
+        x, y = ord(a), ord(b)
+        unigram = (float(chars[_char(y)]) + 0.02) / (self.total + 3_000.0)
+        got = math.log((float(pairs[_pair(x, y)]) + strength * unigram) / (float(chars[_char(x)]) + strength))
+        if len(self._steps) >= 300_000:
+            self._steps.clear()
+        self._steps[a, b] = got
+        return got
+
     def word(self, w: str) -> tuple[float, list[tuple[int, str, float]]]:
         got = self._words.get(w)
         if got is None:
-            options = [(z + 1, u) for z, chain in enumerate(CHAINS) if (u := undo(w, chain)) is not None]
-            got = (self.likelihood(w), [(z, u, self.likelihood(u)) for z, u in options])
+            got = (self.likelihood(w), [(z, u, self.likelihood(u)) for z, u in undone(w)])
             if len(self._words) >= 200_000:
                 self._words.clear()
             self._words[w] = got
@@ -210,13 +245,22 @@ def _count(documents: DataFrame, model: Model | None) -> DataFrame:
         pairs, chars = np.zeros(_PAIRS), np.zeros(_CHARS)
         chains: dict[tuple[int, int], float] = defaultdict(float)
 
+        weights: dict[str, float] = defaultdict(float)
+
         def add(word: str, weight: float) -> None:
-            a = 32
-            for c in (*word, " "):
-                b = ord(c)
-                pairs[_pair(a, b)] += weight
-                chars[_char(a)] += weight
-                a = b
+            weights[word] += weight
+            if len(weights) > 200_000:
+                spend()
+
+        def spend() -> None:
+            for word, weight in weights.items():
+                a = 32
+                for c in (*word, " "):
+                    b = ord(c)
+                    pairs[_pair(a, b)] += weight
+                    chars[_char(a)] += weight
+                    a = b
+            weights.clear()
 
         for pdf in batches:
             for source, text in zip(pdf["source"], pdf["text"]):
@@ -237,6 +281,7 @@ def _count(documents: DataFrame, model: Model | None) -> DataFrame:
                         chains[g, int(z)] += float(p[z])
                         for w in words:
                             add(next((u for k, u, _ in reader.word(w)[1] if k == z), w) if z else w, float(p[z]))
+        spend()
         for kind, table in (("pair", pairs), ("char", chars)):
             at = np.flatnonzero(table)
             if len(at):
