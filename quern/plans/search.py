@@ -145,7 +145,14 @@ def snippet(spark, d):
     return docs(spark, d).where(F.col("text").rlike(r"\A[ -~\n]*\z")).select("doc_id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
-@add("knapsack_pack")
+@add("knapsack_pack", f"""with recursive {_BASE}, {_bm25_sql(['parser', 'timeout'])}, page as (select doc_id, score from bm order by score desc, doc_id limit 50),
+    x as (select row_number() over (order by score desc, doc_id) as n, doc_id, cast(ceil((strlen(sn) + strlen(su)) / 4.0) as bigint) as full_cost, cast(ceil(strlen(su) / 4.0) as bigint) as sum_cost from (select doc_id, score, left(regexp_extract(text, '^[^\n]*'), 60) as su,
+      case when length(text) <= 200 then text else trim(case when contains(left(text, 200), ' ') then regexp_replace(left(text, 200), ' [^ ]*$', '', 's') else left(text, 200) end) || '...' end as sn from page join documents using (doc_id))),
+    f as (select cast(0 as bigint) as n, cast(600 as bigint) as room, cast(null as bigint) as doc_id, cast(null as bigint) as cost, cast(null as varchar) as mode
+      union all select x.n, case when full_cost <= room then room - full_cost when sum_cost > 0 and sum_cost <= room then room - sum_cost else room end, x.doc_id,
+        case when full_cost <= room then full_cost when sum_cost > 0 and sum_cost <= room then sum_cost end, case when full_cost <= room then 'full' when sum_cost > 0 and sum_cost <= room then 'summary' end
+      from f join x on x.n = f.n + 1)
+    select doc_id, cost, mode from f where mode is not null""")
 def knapsack_pack(spark, d):
     """The best 50 hits packed into 600 tokens."""
     page = fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout"]), 50)

@@ -101,7 +101,18 @@ def solution_window(spark, d):
     return enrich.solution_start(log_events(spark, d))
 
 
-@query("rejection_window")
+_ZERO = "{'a': 0, 's': -1, 'e': -1, 'c': 0, 'o': 0, 'i': cast(-1 as bigint), 'k': 0}"
+_KEEP = "'i': x.i, 'k': 0}"
+
+
+@query("rejection_window", f"""with {EVENTS_SQL}, n as (select session_id, row_number() over (partition by session_id order by seq) - 1 as i, case when role = 'tool_result' and regexp_matches(lower(content), '{enrich.ERROR_SIGNALS}') then 1
+      when role = 'tool_result' then 2 when role = 'tool_call' then 3 when role = 'user' and regexp_matches(lower(content), '{enrich.POSITIVE_SIGNALS}') then 4 end as k from ev),
+    l as (select session_id, list({{'a': 0, 's': -1, 'e': -1, 'c': 0, 'o': 0, 'i': i, 'k': k}} order by i) as xs from n where k is not null group by 1),
+    z as (select session_id, list_reduce(list_prepend({_ZERO}, xs), lambda z, x: case when z.o = 1 then z
+      when x.k = 1 then {{'a': z.a, 's': case when z.s >= 0 then z.s else cast(greatest(x.i - 5, 0) as integer) end, 'e': cast(x.i as integer), 'c': z.c + 1, 'o': 0, {_KEEP}
+      when x.k = 2 then {{'a': z.a, 's': z.s, 'e': z.e, 'c': 0, 'o': 0, {_KEEP} when x.k = 3 then {{'a': z.a + case when z.c > 0 then 1 else 0 end, 's': z.s, 'e': z.e, 'c': z.c, 'o': 0, {_KEEP}
+      else {{'a': 0, 's': -1, 'e': z.e, 'c': 0, 'o': case when z.a >= 2 then 1 else 0 end, {_KEEP} end) as z from l)
+    select session_id, z.s as start_idx, z.e + 1 as end_idx, z.a as attempts from z where z.o = 0 and z.a >= 2 and z.s >= 0""")
 def rejection_window(spark, d):
     return enrich.rejection_windows(log_events(spark, d))
 

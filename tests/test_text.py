@@ -78,3 +78,8 @@ def test_interval_and_prefix_joins(spark):
     m = spark.createDataFrame([("gpt-4-x",), ("zzz",), (None,), ("",)], "m string")
     k = spark.createDataFrame([("gpt", 1), ("gpt-4", 2)], "key string, v int")
     assert {r.m: r.v for r in relational.longest_prefix_join(m, k, "m", "key").collect()} == {"gpt-4-x": 2, "zzz": None, None: None, "": None}
+
+
+def test_corrections_and_paths(spark):
+    assert one(spark, T.corrections(F.col("t")), t="Please don't use npm, use pnpm. Always use cargo") == ["don't use npm, use pnpm.", "Always use cargo"]
+    assert one(spark, T.corrections(F.col("t")), t="fine") == [] and one(spark, T.file_paths(F.col("t")), t="see `src/a.rs` and /etc/hosts") == ["/etc/hosts", "src/a.rs"]
