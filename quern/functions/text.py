@@ -119,13 +119,25 @@ def error_fingerprints(text: Column) -> Column:
     return F.array_distinct(F.transform(error_messages(text), normalize_error))
 
 
+# ``\b``, ``\d`` and ``\s`` for text of any script: a Unicode digit is a digit, a no-break space a blank, and a letter
+# outside ASCII (which may stand beside an address without a blank) is no part of a word.  On ASCII text nothing differs.
+_EDGE = r"(?:(?=[\w\p{Nd}])(?<![\w\p{Nd}])|(?![\w\p{Nd}])(?<=[\w\p{Nd}]))"
+# What a match can begin with, looked at before the edge: digits are rare.
+_LEAD = {"phone": r"(?=[+(\d])", "credit_card": r"(?=\d)", "ssn": r"(?=\d)"}
+
+
+def _any_script(kind: str) -> str:
+    p = _LEAD.get(kind, "") + f"(?:{PII[kind]})"
+    return p.replace(r"\b", _EDGE).replace(r"\d", r"\p{Nd}").replace(r"\s", r"\s\x{85}\p{Z}")
+
+
 def redact(text: Column, kinds: tuple[str, ...] = tuple(PII), custom: dict[str, str] | None = None) -> Column:
-    out = reduce(lambda c, k: F.regexp_replace(c, PII[k], f"[REDACTED:{k}]"), [k for k in PII if k in kinds], text)
+    out = reduce(lambda c, k: F.regexp_replace(c, _any_script(k), f"[REDACTED:{k}]"), [k for k in PII if k in kinds], text)
     return reduce(lambda c, kv: F.regexp_replace(c, kv[1], f"[REDACTED:{kv[0]}]"), (custom or {}).items(), out)
 
 
 def has_pii(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in PII.values()])
+    return reduce(lambda a, b: a | b, [text.rlike(_any_script(k)) for k in PII])
 
 
 def session_type(text: Column, unresolved: Column | None = None) -> Column:

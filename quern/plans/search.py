@@ -142,9 +142,15 @@ def search_sort_newest(spark, d):
 
 @add("snippet", "select doc_id, case when length(text) <= 120 then text else trim(case when contains(left(text, 120), ' ') then regexp_replace(left(text, 120), ' [^ ]*$', '', 's') else left(text, 120) end) || '...' end as snippet from documents where regexp_matches(text, '^[ -~\n]*$')")
 def snippet(spark, d):
+    """Of the texts in printable ASCII, as the SQL has it; ``snippet_all`` cuts every text."""
     return docs(spark, d).where(F.col("text").rlike(r"\A[ -~\n]*\z")).select("doc_id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
+@add("snippet_all")
+def snippet_all(spark, d):
+    return docs(spark, d).where("text is not null").select("doc_id", T.snippet(F.col("text"), 120).alias("snippet"))
+
+
 @add("knapsack_pack", f"""with recursive {_BASE}, {_bm25_sql(['parser', 'timeout'])}, page as (select doc_id, score from bm order by score desc, doc_id limit 50),
     x as (select row_number() over (order by score desc, doc_id) as n, doc_id, cast(ceil((strlen(sn) + strlen(su)) / 4.0) as bigint) as full_cost, cast(ceil(strlen(su) / 4.0) as bigint) as sum_cost from (select doc_id, score, left(regexp_extract(text, '^[^\n]*'), 60) as su,
       case when length(text) <= 200 then text else trim(case when contains(left(text, 200), ' ') then regexp_replace(left(text, 200), ' [^ ]*$', '', 's') else left(text, 200) end) || '...' end as sn from page join documents using (doc_id))),
@@ -174,13 +180,29 @@ for _k, _p in T.PII.items():
 
 @add("pii_redact", f"select doc_id, md5({_RED}) as digest from documents where text is not null and {_RED} <> text and regexp_matches(text, '^[\\x00-\\x7f]*$')")
 def pii_redact(spark, d):
+    """Of the ASCII texts, as the SQL has it; ``pii_redact_all`` redacts every text."""
     dd = docs(spark, d).withColumn("r", T.redact(F.col("text")))
     return dd.where((F.col("r") != F.col("text")) & F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.md5("r").alias("digest"))
 
 
+@add("pii_redact_all")
+def pii_redact_all(spark, d):
+    dd = docs(spark, d).withColumn("r", T.redact(F.col("text")))
+    return dd.where(F.col("r") != F.col("text")).select("doc_id", F.md5("r").alias("digest"))
+
+
 @add("pii_flag", "select lang, count(*) filter (where " + " or ".join(f"regexp_matches(text, '{p}')" for p in T.PII.values()) + ") as flagged, count(*) as n from documents where text is not null and regexp_matches(text, '^[\\x00-\\x7f]*$') group by 1")
 def pii_flag(spark, d):
-    dd = table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    """Of the ASCII texts, as the SQL has it; ``pii_flag_all`` counts every text."""
+    return _flagged(table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z")))
+
+
+@add("pii_flag_all")
+def pii_flag_all(spark, d):
+    return _flagged(table(spark, d, "documents").where("text is not null"))
+
+
+def _flagged(dd: DataFrame) -> DataFrame:
     return dd.groupBy("lang").agg(F.count_if(T.has_pii(F.col("text"))).alias("flagged"), F.count("*").alias("n"))
 
 

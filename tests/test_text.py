@@ -23,6 +23,24 @@ def test_redaction(spark):
     assert one(spark, T.redact(F.col("t"), ("email",)), t="a@b.io 555-123-4567") == "[REDACTED:email] 555-123-4567"
 
 
+def test_redaction_in_any_script(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    rows = [
+        (1, "Grüße an bob@corp.io", "de", "Grüße an [REDACTED:email]"), (2, "連絡先user@example.comまで、電話は555-123-4567です", "ja", "連絡先[REDACTED:email]まで、電話は[REDACTED:phone]です"),
+        (3, "SSN “123-45-6789” 🙂", "en", "SSN “[REDACTED:ssn]” 🙂"), (4, "карта 4111 1111 1111 1111", "ru", "карта [REDACTED:credit_card]"), (5, "tél. 555\u00a0123\u00a04567", "fr", "tél. [REDACTED:phone]"),
+        (6, "nichts für ungut", "de", None), (7, "a@b.io", "en", "[REDACTED:email]"), (8, "", "de", None), (9, None, "de", None),
+    ]
+    spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = entry.queries()
+    want = {i: hashlib.md5(r.encode()).hexdigest() for i, _, _, r in rows if r}
+    assert {r.doc_id: r.digest for r in q["pii_redact_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in q["pii_flag_all"](spark, str(tmp_path)).collect()} == {("de", 1, 3), ("ja", 1, 1), ("en", 2, 2), ("ru", 1, 1), ("fr", 1, 1)}
+    assert {r.doc_id: r.snippet for r in q["snippet_all"](spark, str(tmp_path)).collect()} == {i: t for i, t, _, _ in rows if t is not None}
+
+
 def test_distance(spark):
     for a, b, want in [("ab", "ba", True), ("abc", "acb", True), ("abcd", "badc", False), ("a", "a", True), ("", "a", True), ("", "", True), ("abc", "abd", True), ("abc", "xyz", False)]:
         assert one(spark, T.osa_within(F.col("a"), F.col("b")), a=a, b=b) is want, (a, b)
