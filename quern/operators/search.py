@@ -26,7 +26,7 @@ class Query:
 def parse(text: str) -> Query:
     """A lenient reader: what it does not understand are plain words."""
     q, both = Query(), False
-    words = lambda s: [w for w in re.split(r"[^a-z0-9]+", s.lower()) if w]
+    words = lambda s: [w for w in re.split(r"[\W_]+", s.lower()) if w]
     for m in re.finditer(r'([+-]?)(?:"([^"]*)"|(\S+))', text):
         sign, quoted, plain = m[1], m[2], m[3]
         if quoted is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,12 @@ S: dict[str, str] = {}
 
 
 def add(name: str, sql: str | None = None):
+    """Register a query.  One that reads terms takes those of ASCII, as its SQL does; as ``NAME_unicode`` it takes those of every script, without SQL."""
+
     def wrap(f):
         Q[name] = f
+        if "pattern" in inspect.signature(f).parameters:
+            Q[f"{name}_unicode"] = functools.partial(f, pattern=fulltext.UNICODE)
         if sql:
             S[name] = sql
         return f
@@ -40,58 +47,58 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("fts_bm25_topk", f"with {_BASE}, {_bm25_sql(['deadlock'])} select doc_id, score from bm order by score desc, doc_id limit 10")
-def fts_bm25_topk(spark, d):
-    return fulltext.top(fulltext.bm25(docs(spark, d), ["deadlock"]), 10)
+def fts_bm25_topk(spark, d, pattern=fulltext.ASCII):
+    return fulltext.top(fulltext.bm25(docs(spark, d), ["deadlock"], pattern=pattern), 10)
 
 
 @add("fts_multi_term", f"with {_BASE}, {_bm25_sql(['parser', 'timeout', 'snapshot'])} select doc_id, score from bm order by score desc, doc_id limit 20")
-def fts_multi_term(spark, d):
-    return fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout", "snapshot"]), 20)
+def fts_multi_term(spark, d, pattern=fulltext.ASCII):
+    return fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout", "snapshot"], pattern=pattern), 20)
 
 
 @add("search_offset", f"with {_BASE}, {_bm25_sql(['parser', 'timeout', 'snapshot'])} select doc_id, score from bm order by score desc, doc_id limit 10 offset 10")
-def search_offset(spark, d):
-    return fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout", "snapshot"]), 10, 10)
+def search_offset(spark, d, pattern=fulltext.ASCII):
+    return fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout", "snapshot"], pattern=pattern), 10, 10)
 
 
 @add("fts_summary_boost", f"""with {_BASE}, {_bm25_sql(['batcher'])}, h as (select doc_id, 1.5 as bonus from documents where regexp_matches(lower(regexp_extract(text, '^[^\\n]*')), '\\bbatcher\\b'))
     select doc_id, round(score + coalesce(bonus, 0), 6) as score from bm left join h using (doc_id) order by score desc, doc_id limit 10""")
-def fts_summary_boost(spark, d):
+def fts_summary_boost(spark, d, pattern=fulltext.ASCII):
     """A term in the first line adds to the score without filtering."""
     dd = docs(spark, d)
     head = dd.where(F.lower(F.regexp_extract("text", r"^[^\n]*", 0)).rlike(r"\bbatcher\b")).select("doc_id", F.lit(1.5).alias("bonus"))
-    s = fulltext.bm25(dd, ["batcher"]).join(head, "doc_id", "left")
+    s = fulltext.bm25(dd, ["batcher"], pattern=pattern).join(head, "doc_id", "left")
     return fulltext.top(s.select("doc_id", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6).alias("score")), 10)
 
 
 @add("fts_must_not", f"with {_BASE} select doc_id from tk where list_contains(toks, 'parser') and list_contains(toks, 'digest') and not list_contains(toks, 'queue')")
-def fts_must_not(spark, d):
-    return fulltext.boolean(docs(spark, d), ["parser", "digest"], ["queue"])
+def fts_must_not(spark, d, pattern=fulltext.ASCII):
+    return fulltext.boolean(docs(spark, d), ["parser", "digest"], ["queue"], pattern=pattern)
 
 
 @add("fts_phrase", f"with {_BASE} select doc_id from tk where contains(' ' || array_to_string(toks, ' ') || ' ', ' schema mismatch ')")
-def fts_phrase(spark, d):
-    return fulltext.phrase(docs(spark, d), ["schema", "mismatch"])
+def fts_phrase(spark, d, pattern=fulltext.ASCII):
+    return fulltext.phrase(docs(spark, d), ["schema", "mismatch"], pattern=pattern)
 
 
 @add("fts_fuzzy", f"with {_BASE}, v as (select doc_id, unnest(list_distinct(toks)) as term from tk) select doc_id, count(distinct w) as hits from v, (values ('deadlok'), ('snapshto')) q(w) where damerau_levenshtein(term, w) <= 1 group by 1")
-def fts_fuzzy(spark, d):
-    return fulltext.fuzzy(docs(spark, d), ["deadlok", "snapshto"])
+def fts_fuzzy(spark, d, pattern=fulltext.ASCII):
+    return fulltext.fuzzy(docs(spark, d), ["deadlok", "snapshto"], pattern=pattern)
 
 
 @add("fts_fuzzy_fallback", f"with {_BASE}, v as (select doc_id, unnest(list_distinct(toks)) as term from tk) select doc_id, count(distinct w) as hits from v, (values ('deadlok')) q(w) where damerau_levenshtein(term, w) <= 1 group by 1 order by hits desc, doc_id limit 10")
-def fts_fuzzy_fallback(spark, d):
+def fts_fuzzy_fallback(spark, d, pattern=fulltext.ASCII):
     """The plain query first; only if it finds nothing the fuzzy one."""
     dd = docs(spark, d)
-    plain = fulltext.bm25(dd, ["deadlok"])
+    plain = fulltext.bm25(dd, ["deadlok"], pattern=pattern)
     if not plain.isEmpty():
         return fulltext.top(plain, 10)
-    return fulltext.fuzzy(dd, ["deadlok"]).orderBy(F.desc("hits"), "doc_id").limit(10)
+    return fulltext.fuzzy(dd, ["deadlok"], pattern=pattern).orderBy(F.desc("hits"), "doc_id").limit(10)
 
 
 @add("fts_vocabulary", f"with {_BASE} select term, count(*) as df from (select unnest(list_distinct(toks)) as term from tk) group by 1")
-def fts_vocabulary(spark, d):
-    return fulltext.vocabulary(docs(spark, d))
+def fts_vocabulary(spark, d, pattern=fulltext.ASCII):
+    return fulltext.vocabulary(docs(spark, d), pattern=pattern)
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -102,20 +109,20 @@ _MLT = f"""own as (select term, count(*) as tf from (select unnest(regexp_split_
 
 
 @add("fts_mlt_terms", f"with {_BASE}, {_MLT} select term, boost from b")
-def fts_mlt_terms(spark, d):
-    return fulltext.more_like(docs(spark, d), 5)
+def fts_mlt_terms(spark, d, pattern=fulltext.ASCII):
+    return fulltext.more_like(docs(spark, d), 5, pattern=pattern)
 
 
 @add("fts_mlt", f"""with {_BASE}, {_MLT}, p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(toks) as term from tk) where term in (select term from b) group by 1, 2),
     f as (select term, count(*) as df from p group by 1)
     select doc_id, round(sum(boost * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) as score from p join f using (term) join b using (term) join dl using (doc_id), st
     where doc_id <> 5 group by 1 order by score desc, doc_id limit 10""")
-def fts_mlt(spark, d):
+def fts_mlt(spark, d, pattern=fulltext.ASCII):
     dd = docs(spark, d)
-    boosts = fulltext.more_like(dd, 5)  # at most 20 rows
-    p = fulltext.postings(dd).join(F.broadcast(boosts), "term")
+    boosts = fulltext.more_like(dd, 5, pattern=pattern)  # at most 20 rows
+    p = fulltext.postings(dd, pattern=pattern).join(F.broadcast(boosts), "term")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    dl = fulltext.lengths(dd)
+    dl = fulltext.lengths(dd, pattern=pattern)
     st = dl.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     j = p.join(F.broadcast(df), "term").join(dl, "doc_id").crossJoin(F.broadcast(st)).where("doc_id <> 5")  # df: a row a boosted term, st: one row
     s = F.col("boost") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * 2.2 * F.col("tf") / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
@@ -124,18 +131,18 @@ def fts_mlt(spark, d):
 
 @add("search_filters_all", f"""with {_BASE}, {_bm25_sql(['parser'])} select doc_id, score, source, project from bm join documents using (doc_id) where source in ('claude-code', 'codex') and doc_type = 'session'
     and collected_at >= timestamp '2024-01-01' and collected_at < timestamp '2025-01-01' and model is not null""")
-def search_filters_all(spark, d):
+def search_filters_all(spark, d, pattern=fulltext.ASCII):
     """All facets at once; several agents are alternatives, ``since`` is inclusive and ``before`` exclusive."""
     meta = table(spark, d, "documents").where(
         F.col("source").isin("claude-code", "codex") & (F.col("doc_type") == "session") & F.col("model").isNotNull()
         & (F.col("collected_at") >= F.lit("2024-01-01").cast("timestamp_ntz")) & (F.col("collected_at") < F.lit("2025-01-01").cast("timestamp_ntz")))
-    return fulltext.bm25(docs(spark, d), ["parser"]).join(meta.select("doc_id", "source", "project"), "doc_id").select("doc_id", "score", "source", "project")
+    return fulltext.bm25(docs(spark, d), ["parser"], pattern=pattern).join(meta.select("doc_id", "source", "project"), "doc_id").select("doc_id", "score", "source", "project")
 
 
 @add("search_sort_newest", f"with {_BASE}, {_bm25_sql(['parser'])}, t as (select doc_id, score from bm order by score desc, doc_id limit 20) select doc_id, score, collected_at, row_number() over (order by collected_at desc, doc_id) as place from t join documents using (doc_id)")
-def search_sort_newest(spark, d):
+def search_sort_newest(spark, d, pattern=fulltext.ASCII):
     """The relevance page, re-ordered by time (the page, not the corpus)."""
-    page = fulltext.top(fulltext.bm25(docs(spark, d), ["parser"]), 20)
+    page = fulltext.top(fulltext.bm25(docs(spark, d), ["parser"], pattern=pattern), 20)
     j = page.join(table(spark, d, "documents").select("doc_id", "collected_at"), "doc_id")
     return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc("collected_at"), "doc_id")))  # 20 rows
 
@@ -159,9 +166,9 @@ def snippet_all(spark, d):
         case when full_cost <= room then full_cost when sum_cost > 0 and sum_cost <= room then sum_cost end, case when full_cost <= room then 'full' when sum_cost > 0 and sum_cost <= room then 'summary' end
       from f join x on x.n = f.n + 1)
     select doc_id, cost, mode from f where mode is not null""")
-def knapsack_pack(spark, d):
+def knapsack_pack(spark, d, pattern=fulltext.ASCII):
     """The best 50 hits packed into 600 tokens."""
-    page = fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout"]), 50)
+    page = fulltext.top(fulltext.bm25(docs(spark, d), ["parser", "timeout"], pattern=pattern), 50)
     j = page.join(docs(spark, d), "doc_id").select("doc_id", "score", T.snippet(F.col("text"), 200).alias("snippet"), F.left(F.regexp_extract("text", r"^[^\n]*", 0), F.lit(60)).alias("summary"))
     return fulltext.pack(j, 600)
 

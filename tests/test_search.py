@@ -57,3 +57,23 @@ def test_bundled_connectors():
 
     found = [connector.load(p) for p in (Path(connector.__file__).parents[1] / "connectors").glob("*.toml")]
     assert len(found) == 6 and {c.format for c in found} == set(connector.FORMATS)
+
+
+def test_every_script(spark, sf, tmp_path):
+    import re
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    assert search.parse('+größe "ошибка сети" -错误 naïve').must == ["größe"] and search.parse('"ошибка сети"').phrases == [["ошибка", "сети"]]
+    rows = [(1, "Ошибка сети при запуске"), (2, "Die Größe ist falsch"), (3, "修正後はすべて正常に動作しました。次へ"), (4, "plain words"), (5, None), (6, "x" * 41)]
+    df = spark.createDataFrame([(i, t, None, "a", None, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, doc_type string, project string, model string, collected_at timestamp_ntz")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    vocab = {r.term for r in entry.queries()["fts_vocabulary_unicode"](spark, str(tmp_path)).collect()}
+    assert vocab == {"ошибка", "сети", "при", "запуске", "die", "größe", "ist", "falsch", "修正後はすべて正常に動作しました", "次へ", "plain", "words"}
+    assert [r.doc_id for r in search.search(df, "ошибка").collect()] == [1] and [r.doc_id for r in search.search(df, '"Ошибка сети"').collect()] == [1]
+    assert [r.doc_id for r in search.search(df, "+größe").collect()] == [2]
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect():
+        want.update({w for w in re.split(r"[\W_]+", r.text.lower()) if w and len(w) <= 40})
+    assert {r.term: r.df for r in entry.queries()["fts_vocabulary_unicode"](spark, sf).collect()} == dict(want)
