@@ -120,7 +120,7 @@ def rejection_window(spark, d):
 def _fingerprints(spark, d) -> DataFrame:
     ev = log_events(spark, d).where("role = 'tool_result'")
     # a text's fingerprints are worked out once a distinct text
-    prints = ev.select("content").distinct().where(F.col("content").rlike("(?i)error|panic|fatal|Traceback|denied|No such file|HTTP/|not found|refused|timed out|ECONN|ETIMED|ENOTF|token|credential|session|login|authenticate|undefined|cannot find|40[13] ")).select("content", F.explode(T.error_fingerprints(F.col("content"))).alias("fingerprint"))
+    prints = ev.select("content").distinct().select("content", F.explode(T.error_fingerprints(F.col("content"))).alias("fingerprint"))
     return ev.join(prints, "content").select("session_id", "source_agent", "project", "seq", "ts", "fingerprint")
 
 

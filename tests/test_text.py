@@ -101,3 +101,17 @@ def test_interval_and_prefix_joins(spark):
 def test_corrections_and_paths(spark):
     assert one(spark, T.corrections(F.col("t")), t="Please don't use npm, use pnpm. Always use cargo") == ["don't use npm, use pnpm.", "Always use cargo"]
     assert one(spark, T.corrections(F.col("t")), t="fine") == [] and one(spark, T.file_paths(F.col("t")), t="see `src/a.rs` and /etc/hosts") == ["/etc/hosts", "src/a.rs"]
+
+
+def test_every_error_pattern_reaches_the_queries(spark, monkeypatch):
+    from quern.plans import sessions
+
+    hits = [
+        "error[E0308]: mismatched types", "thread 'main' panicked at x", "Traceback (most recent call last):", "KeyError: x", "TypeError: y", "panic: z", "fatal error: q", "HTTP/1.1 503 Unavailable",
+        "SQLSTATE[23000]: Integrity constraint violation", "ORA-00942: table or view does not exist", "cannot find module x", "undefined symbol y", "Connection refused by host", "ETIMEDOUT after 3 s",
+        "authentication failed for user bob", "authorization failed for bob", "Invalid API key provided", "expired session of bob", "401 Unauthorized for bob", "re-authenticate now", "Error: broken", "Permission denied", "No such file x", "File not found x",
+    ]
+    rows = [(f"s{i}", i, "tool_result", t) for i, t in enumerate([*hits, "all well", "", None])] + [("u", 99, "user", "ORA-00942: said by a user")]
+    ev = spark.createDataFrame(rows, "session_id string, seq bigint, role string, content string").selectExpr("*", "'a' as source_agent", "'p' as project", "timestamp_ntz'2024-01-01 00:00:00' as ts")
+    monkeypatch.setattr(sessions, "log_events", lambda *_: ev)
+    assert {r.seq for r in sessions.err_fingerprint(spark, "").collect()} == set(range(len(hits)))
