@@ -3,8 +3,9 @@
 1. Literals that could be credentials are taken from every text by where they
    stand (after a name, in a URL, behind an option, in a key block) or by their
    form, and indexed over the corpus with the owners they occur at.
-2. Literals that many owners share are placeholders and are dropped; of the
-   rest those are confirmed whose form or place leaves no doubt.
+2. Literals told by a name alone that a good part of the owners share are
+   placeholders and are dropped; those whose form or place leaves no doubt stay,
+   however many share them.
 3. Every text is scanned again for all confirmed literals by an automaton, which
    finds them where nothing around tells what they are, and they are redacted
    without touching the code around them.
@@ -165,7 +166,7 @@ def outermost(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def index(texts: DataFrame) -> DataFrame:
-    """literal, sure, owners, places: every candidate literal of the corpus.  ``texts``: src_table, row_id, field_name, owner, text."""
+    """literal, sure, owners, places, of_owners: every candidate literal of the corpus and the number of all owners.  ``texts``: src_table, row_id, field_name, owner, text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,13 +182,14 @@ def index(texts: DataFrame) -> DataFrame:
     found = texts.select("owner", "text").mapInPandas(run, "literal string, owner string, sure int, n bigint")
     # a literal that stands everywhere is added up by owner first
     by_owner = found.groupBy("literal", "owner").agg(F.max("sure").alias("sure"), F.sum("n").alias("n"))
-    return by_owner.groupBy("literal").agg(F.max("sure").alias("sure"), F.count("*").alias("owners"), F.sum("n").alias("places"))
+    every = texts.agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("of_owners"))  # one row
+    return by_owner.groupBy("literal").agg(F.max("sure").alias("sure"), F.count("*").alias("owners"), F.sum("n").alias("places")).crossJoin(F.broadcast(every))
 
 
-def confirmed(indexed: DataFrame, max_owners: int = 5, max_owners_likely: int = 3) -> DataFrame:
-    """literal of the credentials: those told by form or place up to ``max_owners`` owners, others up to ``max_owners_likely``."""
-    most = F.when(F.col("sure") == SURE, max_owners).otherwise(max_owners_likely)
-    return indexed.where(F.col("owners") <= most).select("literal")
+def confirmed(indexed: DataFrame, share: float = 0.05, least: int = 5) -> DataFrame:
+    """literal of the credentials: all told by form or place; of those told by a name the ones of at most ``share`` of all owners (or ``least`` owners, where these are more)."""
+    few = F.col("owners") <= F.greatest(F.lit(float(least)), F.col("of_owners") * share)
+    return indexed.where((F.col("sure") == SURE) | few).select("literal")
 
 
 def _automaton(words: list[str]) -> ahocorasick.Automaton:

@@ -41,12 +41,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    """The three fields with code and commands; the owner of a line is the workspace, of a rollout line its file."""
+    """The three fields with code and commands; the owner of a line is the workspace, of a rollout line that of its file's header, without one the file."""
     said = table(spark, d, "session_messages").where("input_command is not null or input_new_str is not null")
     fields = F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("input_command", "input_new_str")]))
     a = said.select(F.lit("session_messages").alias("src_table"), F.col("line_id").alias("row_id"), F.coalesce("cwd", "session_id").alias("owner"), fields)
-    b = table(spark, d, "rollout_records").select(
-        F.lit("rollout_records").alias("src_table"), F.col("rec_id").alias("row_id"), F.col("source_file").alias("owner"),
+    rollouts = table(spark, d, "rollout_records")
+    heads = rollouts.where("rec_type = 'Meta' and cwd is not null").groupBy("source_file").agg(F.min("cwd").alias("head_cwd"))
+    b = rollouts.where("input_content is not null and input_content != ''").join(heads, "source_file", "left").select(
+        F.lit("rollout_records").alias("src_table"), F.col("rec_id").alias("row_id"), F.coalesce("head_cwd", "source_file").alias("owner"),
         F.lit("input_content").alias("field_name"), F.col("input_content").alias("text"))
     return a.unionByName(b).where("text is not null and text != ''")
 

@@ -121,6 +121,24 @@ def test_credentials_corpus(spark):
     assert credentials.find(df.limit(0)).count() == 0
 
 
+def test_credentials_that_owners_share(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    pat, deploy, db = "ghp_" + "a1B2c3D4e5" * 4, "thunderdxunzj", "Zephyr9pixel"
+    said, rolls, want = [], [], set()
+    for i in range(8):  # in eight files of one project, in seven without header, in four workspaces
+        rolls += [(10 * i, f"f{i}", "Meta", "/work/a", None), (10 * i + 1, f"f{i}", None, None, f"curl -H x {pat}; db_password = '{db}x'")]
+        rolls += [(10 * i + 2, f"g{i}", None, None, f"sshpass -p {deploy} ssh h")]
+        want |= {("rollout_records", 10 * i + 1, pat), ("rollout_records", 10 * i + 1, db + "x"), ("rollout_records", 10 * i + 2, deploy)}
+    for i in range(30):
+        said.append((i, f"s{i}", f"/w/{i}", f"DB_PASSWORD: '{db}'" if i < 4 else "api_token: 'Shared1234'" if i < 20 else "ls", None))
+        want |= {("session_messages", i, db)} if i < 4 else set()
+    spark.createDataFrame(rolls, "rec_id bigint, source_file string, rec_type string, cwd string, input_content string").write.parquet(f"{tmp_path}/rollout_records.parquet")
+    spark.createDataFrame(said, "line_id bigint, session_id string, cwd string, input_command string, input_new_str string").write.parquet(f"{tmp_path}/session_messages.parquet")
+    assert {(r.src_table, r.row_id, r.secret_text) for r in entry.queries()["p7_found"](spark, str(tmp_path)).collect()} == want
+    assert entry.queries()["p7_redacted"](spark, str(tmp_path)).count() == 20
+
+
 def test_tokenizer_against_library(spark, sf):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokenizer.vocabulary("byte_bpe_50k.json"))
