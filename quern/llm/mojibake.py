@@ -200,23 +200,39 @@ class Reader:
             self._words[w] = got
         return got
 
-    def line(self, words: list[str], group: int) -> np.ndarray | None:
-        """Posterior of the chains, None where no chain can have made the line."""
+    def evidence(self, words: list[str]) -> np.ndarray | None:
+        """Log likelihood of a line under each chain against none, -inf for chains that cannot have made it; None where no chain can."""
         scored = [self.word(w) for w in words]
         if not any(options for _, options in scored):
             return None
-        if group not in self._priors:
-            self._priors[group] = self.model.prior(group)
-        base = sum(own for own, _ in scored)
         log = np.full(len(CHAINS) + 1, -np.inf)
-        log[0] = base
+        log[0] = 0.0
         for own, options in scored:
             for z, _, ll in options:
-                log[z] = (base if log[z] == -np.inf else log[z]) + ll - own
-        log = log + self._priors[group]
+                log[z] = (0.0 if log[z] == -np.inf else log[z]) + ll - own
+        return log
+
+    def posterior(self, evidence: np.ndarray, group: int) -> np.ndarray:
+        if group not in self._priors:
+            self._priors[group] = self.model.prior(group)
+        log = evidence + self._priors[group]
         p = np.exp(log - log.max())
         return p / p.sum()
 
+    def line(self, words: list[str], group: int) -> np.ndarray | None:
+        """Posterior of the chains, None where no chain can have made the line."""
+        e = self.evidence(words)
+        return None if e is None else self.posterior(e, group)
+
+    def pooled(self, lines: list[np.ndarray], group: int) -> int:
+        """The chain that a document's lines speak for together, 0 if none; ``lines``: evidence of its distinct lines."""
+        if not lines:
+            return 0
+        of = np.array(lines)
+        can = np.isfinite(of)
+        p = self.posterior(np.where(can.any(axis=0), np.where(can, of, 0.0).sum(axis=0), -np.inf), group)
+        return int(p.argmax()) if p[0] <= 0.5 else 0
+
 
 def foreign_words(line: str) -> list[str]:
     """Words with characters beyond ASCII; only the plain blank and tab part words, for a byte may have become another space."""
@@ -324,7 +340,8 @@ def repair(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
     """Garbled documents: doc_id, restored, chains, unrepaired.
 
     ``documents``: doc_id, source, text.  A document is garbled if a line's
-    posterior of a chain reaches the threshold and the chain explains more than
+    posterior of a chain reaches the threshold, or its lines together speak for a
+    chain and the line does not speak against it, and the chain explains more than
     characters that are only spoken about, or if a word holds U+FFFD beside
     letters or digits.  ``restored`` is the text with those lines undone;
     ``chains`` names them ('lost' for U+FFFD); ``unrepaired`` tells that
@@ -341,15 +358,20 @@ def repair(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
                 if not text or text.isascii():
                     continue
                 g, used, out = _group(source), {}, []
-                for line in text.split("\n"):
-                    words = foreign_words(line)
-                    p = reader.line(words, g) if words else None
-                    z = int(p.argmax()) if p is not None else 0
-                    if z and 1 - p[0] >= threshold:
+                lines = [(line, foreign_words(line)) for line in text.split("\n")]
+                told = {line: reader.evidence(words) for line, words in lines if words}  # a line that is repeated speaks once
+                whole = reader.pooled([e for e in told.values() if e is not None], g)
+                for line, words in lines:
+                    e, z = told.get(line), 0
+                    if e is not None:
+                        p = reader.posterior(e, g)
+                        z = int(p.argmax()) if 1 - p[0] >= threshold else 0
+                        if not z and whole and np.isfinite(e[whole]) and e[whole] > 0:
+                            z = whole
+                    if z:
                         meant = {w: u for w in words for k, u, _ in reader.word(w)[1] if k == z}
                         telling = [w for w, u in meant.items() if not _mentioned(w, u)]
-                        single = CHAINS[z - 1][0].split()[0] != "utf_8"
-                        if telling and (not single or sum(sum(c > "\x7f" for c in w) for w in telling) >= 3 and p[z] >= 0.9):
+                        if telling:
                             used["->".join(CHAINS[z - 1])] = None
                             line = " ".join("\t".join(meant.get(x, x) for x in w.split("\t")) for w in line.split(" "))
                     if any(_lossy(w) for w in words):

@@ -229,6 +229,20 @@ def test_mojibake(spark):
     assert mojibake.repair(df.limit(0), mojibake.fit(df.limit(0))).count() == 0
 
 
+def test_mojibake_with_few_letters_a_line(spark):
+    clean = ["Der Fehler tritt für jede Datei auf", "Bitte die Größe ändern", "Das läuft wieder", "Erreur réseau, réessayez", "La página está vacía", "voilà le problème", "Ошибка сети", "Да, всё готово"]
+    de = ["Der Fehler tritt für jede Datei auf", "Das läuft wieder", "plain line", "Bitte die Größe ändern"]
+    rows = [(i, "s", clean[i % len(clean)]) for i in range(800)]
+    want = {}
+    for j, (a, b) in enumerate([("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp1252", "cp1251")]):
+        want[1000 + j] = "\n".join(de)
+        rows.append((1000 + j, "s", want[1000 + j].encode(a).decode(b)))
+    rows += [(3000, "s", "A naïve café"), (3001, "s", "Search for ⁿ and Σ in the log"), (3002, "s", "∑ of α and β")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair(df, mojibake.fit(df)).collect()}
+    assert got == want
+
+
 def test_instants_feed_conversations(spark, sf):
     from quern.llm import queries
 
