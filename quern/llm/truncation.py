@@ -5,11 +5,13 @@ over hashed features of the closing characters, the punctuation and the length
 against the limits of the row's collector is trained on both; every row is then
 scored.  What the features rest on is counted over all rows:
 
-* the limits: lengths at which a collector's values pile up;
+* the limits: lengths at which different texts of a collector that nothing
+  closes pile up;
 * which tokens and pairs of tokens end lines, and which go on (hashed counts);
 * which runs of letters are whole words (hashed counts).
 
 Only the regression is fitted on a sample (``sample``: about that many rows).
+Null, empty and blank texts are no case: they are neither trained on nor scored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,16 +34,31 @@ from quern.session import shared_checkpoint
 TABLE_BITS, FEATURE_BITS = 18, 18
 _T, _D = (1 << TABLE_BITS) - 1, (1 << FEATURE_BITS) - 1
 # A sign that something was left out, at the very end; it may itself be incomplete.
-_MARK = re.compile(r"\s?(?:…|\.\.\.|(?:\.\.\.)?[\[(<{]+\s*[\w .+…-]{0,24}(?:cut|trunc|snip|omit|clip|more|abbrev)[\w .…-]{0,16}[\])>}]*)$", re.I)
+_SAYS_CUT = re.compile(r"cut|trunc|snip|omit|clip|more|abbrev", re.I)
+_IN_MARK = re.compile(r"[\w .+…-]*+")
 _DIGITS = re.compile(r"\d+")
 _HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]{12,}")
+_JOINED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:_[^\W\d_]++)+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLOSING = ".!?:;。！？`)]}\"'”’»…"
-
-
-def _mark(text: str) -> re.Match | None:
-    """The closing mark of a text, if it has one; a mark is short, so only the end is searched."""
-    return _MARK.search(text, max(0, len(text) - 80))
+_ENDS = tuple(".!?:;。！？`")
+
+
+def _mark(text: str) -> str:
+    """The closing mark of a text with the blank before it, '' if it has none: dots, or what stands in brackets, or behind an open one, and speaks of cutting."""
+    end = text.rstrip("])>}")
+    at = max(end.rfind(c) for c in "[(<{")
+    if at >= 0 and _SAYS_CUT.search(end, at + 1) and _IN_MARK.fullmatch(end[at + 1 :].lstrip()):
+        head = text[:at].rstrip("[(<{").removesuffix("...")
+    elif text.endswith("…"):
+        head = text[:-1]
+    elif text.endswith("..."):
+        head = text[:-3]
+    else:
+        return ""
+    if head[-1:].isspace():
+        head = head[:-1]
+    return text[len(head) :]
 
 
 def _without_tail(s: str) -> int:
@@ -66,21 +84,18 @@ def skeleton(token: str) -> str:
     """A token with what varies freely taken out: digits, names with underscores, and paths up to their extension."""
     got = _skeletons.get(token)
     if got is None:
-        asked = token
-        if len(token) > 256:
-            token = token[:128] + token[-128:]  # what is kept of a token is its first and last letters anyway
         s = _DIGITS.sub("9", token) if not _HEX.fullmatch(token) else "H"
         if "/" in s:
             head, _, ext = s.rpartition(".")
             tail = re.sub(r"[^\W_]+", "a", ext) if len(ext.split(":")[0]) > 6 else ext
             s = ("P." + tail) if head and "/" in head and "/" not in ext else "P"
         else:
-            s = re.sub(r"[^\W\d_]+(?:_[^\W\d_]+)+", "w_w", s)
+            s = _JOINED.sub("w_w", s)
         got = s if len(s) <= 24 else s[:8] + "~" + s[-12:]
         if len(_skeletons) >= 200_000:
             _skeletons.clear()
-        if len(asked) <= 256:
-            _skeletons[asked] = got
+        if len(token) <= 256:  # longer ones are worked out again each time
+            _skeletons[token] = got
     return got
 
 
@@ -92,6 +107,7 @@ class Counts:
     goes_on: np.ndarray = field(default_factory=lambda: np.zeros(_T + 1, np.float32))
     words: np.ndarray = field(default_factory=lambda: np.zeros(_T + 1, np.float32))
     lines: float = 0.0
+    texts: float = 0.0
     limits: dict[str, list[tuple[str, int, float]]] = field(default_factory=dict)
 
 
@@ -116,12 +132,15 @@ def _gram(s: str) -> int:
 
 
 def count(rows: DataFrame) -> Counts:
-    """All counts, in one pass over the texts.  ``rows``: collector, text."""
+    """All counts, in one pass over the texts.  ``rows``: collector, text.
+
+    Lengths are counted in different texts (a sketch of 5 % error), so that a
+    text that is said again and again makes no pile.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = {k: np.zeros(_T + 1) for k in ("ends", "goes_on", "words")}
-        lengths: dict[tuple[str, str, int], int] = defaultdict(int)
-        lines = 0
+        lines = texts = 0
         ends, goes_on, words = tables.values()
         single: Counter = Counter()  # skeletons that go on
         pair: Counter = Counter()
@@ -143,16 +162,22 @@ def count(rows: DataFrame) -> Counts:
                 c.clear()
 
         for pdf in batches:
+            stops: set[tuple[str, str, int, int]] = set()
             for who, text in zip(pdf["collector"], pdf["text"]):
-                if not text:
+                if not text or text.isspace():
                     continue
                 who = who or ""
-                m = _mark(text)
-                core = text[: m.start()] if m else text
-                lengths[who, "chars", len(text)] += 1
-                lengths[who, "bytes", len(text) if text.isascii() else len(text.encode("utf-8", "replace"))] += 1
-                if len(core) != len(text):
-                    lengths[who, "core", len(core)] += 1
+                texts += 1
+                mark = _mark(text)
+                core = text[: len(text) - len(mark)]
+                if core[-1:] not in _ENDS:
+                    data = text.encode("utf-8", "replace")
+                    h = zlib.crc32(data)
+                    if mark:
+                        stops.add((who, "core", len(core), h))
+                    else:
+                        stops.add((who, "chars", len(text), h))
+                        stops.add((who, "bytes", len(data), h))
                 for line in text.split("\n"):
                     if line:
                         lines += 1
@@ -166,53 +191,52 @@ def count(rows: DataFrame) -> Counts:
                         token[toks[-1][: _without_tail(toks[-1])]] += 1
             if len(token) + len(pair) > 200_000:
                 spend()
+            if stops:
+                yield pd.DataFrame(list(stops), columns=["who", "kind", "at", "h"]).assign(n=0.0)
         spend()
         for k, t in tables.items():
             at = np.flatnonzero(t)
             if len(at):
-                yield pd.DataFrame({"kind": k, "who": "", "at": at, "n": t[at]})
-        if lengths:
-            yield pd.DataFrame({"kind": [k[1] for k in lengths], "who": [k[0] for k in lengths], "at": [k[2] for k in lengths], "n": [float(v) for v in lengths.values()]})
-        yield pd.DataFrame({"kind": ["lines"], "who": [""], "at": [0], "n": [float(lines)]})
+                yield pd.DataFrame({"kind": k, "who": "", "at": at, "n": t[at], "h": 0})
+        yield pd.DataFrame({"kind": ["lines", "texts"], "who": "", "at": 0, "n": [float(lines), float(texts)], "h": 0})
 
-    counted = rows.select("collector", "text").mapInPandas(run, "kind string, who string, at bigint, n double").groupBy("kind", "who", "at").agg(F.sum("n").alias("n"))
+    found = rows.select("collector", "text").mapInPandas(run, "kind string, who string, at bigint, n double, h bigint")
+    length = F.col("kind").isin("chars", "bytes", "core")
+    counted = found.groupBy("kind", "who", "at").agg(F.when(F.first(length), F.approx_count_distinct("h")).otherwise(F.sum("n")).cast("double").alias("n"))
     counted = shared_checkpoint(counted)
     out = Counts()
     # at most 3 tables of 2**18 counts
-    table = counted.where(F.col("kind").isin("ends", "goes_on", "words", "lines")).select("kind", "at", "n").toArrow().to_pandas()
+    table = counted.where(~length).select("kind", "at", "n").toArrow().to_pandas()
     for k, part in table.groupby("kind"):
-        if k == "lines":
-            out.lines = float(part["n"].sum())
+        if k in ("lines", "texts"):
+            setattr(out, k, float(part["n"].sum()))
         else:
             getattr(out, k)[part["at"].to_numpy(np.int64)] = part["n"].to_numpy()
-    for r in limits(counted.where(F.col("kind").isin("chars", "bytes", "core"))).collect():
+    for r in limits(counted.where(length)).collect():
         out.limits.setdefault(r.who, []).append((r.kind, int(r.at), float(r.piled)))
     return out
 
 
-def limits(lengths: DataFrame, least: int = 5, share: float = 5e-4, times: float = 8.0, most: int = 4) -> DataFrame:
-    """Lengths at which values of a collector pile up: who, kind, at, piled (how many times the usual).  At most ``most`` a collector and kind.
+def limits(lengths: DataFrame, least: int = 5, share: float = 5e-4, times: float = 8.0) -> DataFrame:
+    """Lengths at which values of a collector pile up: who, kind, at, piled (how many times the usual).
 
-    ``lengths``: who, kind (chars, bytes, core: without a closing mark), at, n.
-    A length is a limit if it occurs ``least`` times, in ``share`` of the values
-    (of the few that end in a mark: in a tenth), and ``times`` as often as the
-    lengths around it do on average, and few values are longer.
+    ``lengths``: who, kind (chars, bytes: of texts without a closing mark; core:
+    of marked texts without the mark), at, n (different texts of that length
+    that nothing closes).  A length is a limit if ``least`` texts stop there,
+    ``share`` of all (of the few that end in a mark: a tenth), and ``times`` as
+    many as at the lengths up to 20 away on average.  Every such length counts.
+    A group has one row a length.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         at, n = pdf["at"].to_numpy(), pdf["n"].to_numpy()
-        order = np.argsort(at)
-        at, n = at[order], n[order]
-        total = np.cumsum(n)
-        rows = []
+        upto = np.concatenate([[0.0], np.cumsum(n)])
+        near = upto[np.searchsorted(at, at + 20, "right")] - upto[np.searchsorted(at, at - 20)] - n
+        piled = n / np.maximum(near / (20 + np.minimum(at - 1, 20)), 0.3)
         of_all = 0.1 if pdf["kind"].iloc[0] == "core" else share
-        for i in np.flatnonzero(n >= max(least, of_all * total[-1])):
-            near = (np.abs(at - at[i]) <= 20) & (at != at[i])
-            around = n[near].sum() / 40
-            if at[i] >= 40 and n[i] >= times * max(around, 0.3) and total[-1] - total[i] <= 0.25 * total[-1]:
-                rows.append((pdf["who"].iloc[0], pdf["kind"].iloc[0], int(at[i]), n[i] / max(around, 0.3)))
-        rows = sorted(rows, key=lambda r: -r[3])[:most]
-        return pd.DataFrame(rows, columns=["who", "kind", "at", "piled"])
+        hit = (n >= max(least, of_all * upto[-1])) & (piled >= times)
+        return pd.DataFrame({"who": pdf["who"].iloc[0], "kind": pdf["kind"].iloc[0], "at": at[hit], "piled": piled[hit]})
 
     return lengths.groupBy("who", "kind").applyInPandas(run, "who string, kind string, at bigint, piled double")
 
@@ -249,13 +273,15 @@ class Features:
         n_bytes = None
         for kind, at, times in self.c.limits.get(who, ()):
             if kind == "bytes":
+                if len(core) != len(text):
+                    continue
                 if n_bytes is None:
                     n_bytes = len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
                 d = at - n_bytes
                 ok = 0 <= d <= 3
             else:
                 d = at - (len(core) if kind == "core" else len(text))
-                ok = 0 <= d <= 1 and (kind == "chars" or len(core) != len(text))
+                ok = 0 <= d <= 1 and (kind == "core") == (len(core) != len(text))
             if ok and d < best:
                 best, piled = d, times
         return (str(best), piled) if best < 9 else ("-", 1.0)
@@ -267,16 +293,15 @@ class Features:
         """
         if who not in self.c.limits:
             return 0.0
-        mark = _mark(text)
-        core = text[: mark.start()] if mark else text
+        core = text[: len(text) - len(_mark(text))]
         near, piled = self._nearest(who, text, core)
-        return min(math.log(piled), 4.0) if near == "0" and core[-1:] not in _CLOSING[:9] else 0.0
+        return min(math.log(piled), 4.0) if near == "0" and core[-1:] not in _ENDS else 0.0
 
     def __call__(self, who: str, role: str, text: str, own: float = 0.0, limit: str | None = None) -> list[int]:
         c = self.c
         mark = _mark(text)
-        core = text[: mark.start()] if mark else text
-        sign = mark.group().strip()[:3] if mark else ""
+        core = text[: len(text) - len(mark)]
+        sign = mark.strip()[:3]
         limit = self.at_limit(who, text, core) if limit is None else limit
         fences = core.count("```")
         line = core[core.rfind("\n") + 1 :]
@@ -312,7 +337,7 @@ _LEFT_BEHIND = [("", 0.62), ("…", 0.04), ("...", 0.04), ("...[cut]", 0.04), ("
 
 
 def cut(text: str, rng: random.Random) -> str:
-    """The text cut at a random place, with what such cuts leave behind."""
+    """The text (of two characters or more) cut at a random place, with what such cuts leave behind."""
     at = rng.randrange(max(1, len(text) // 8), len(text))
     left = rng.choices([a for a, _ in _LEFT_BEHIND], [b for _, b in _LEFT_BEHIND])[0]
     return text[:at] + left
@@ -357,59 +382,58 @@ def train(sampled: pd.DataFrame, counts: Counts, seed: int = 11) -> tuple[Regres
     rng = random.Random(seed)
     f = Features(counts)
     neg, pos, keys = [], [], []
-    limited, usable = 0, 0
-    for who, text in sampled[["collector", "text"]].itertuples(index=False):
-        if text and counts.limits.get(who or ""):
-            mark = _mark(text)
-            usable += 1
-            limited += f.at_limit(who or "", text, text[: mark.start()] if mark else text) != "-" and text[-1] not in _CLOSING[:9]
+    sampled = sampled[[bool(t) and not t.isspace() for t in sampled["text"]]]
+
+    def stops(who: str, text: str) -> bool:
+        core = text[: len(text) - len(_mark(text))]
+        return f.at_limit(who, text, core) != "-" and core[-1:] not in _ENDS
+
+    limited = [bool(counts.limits.get(who or "")) and stops(who or "", text) for who, text in zip(sampled["collector"], sampled["text"])]
+    usable = sum(bool(counts.limits.get(who or "")) for who in sampled["collector"])
     # as many artificial cuts at a limit as there are values that look so: whole values of just that length exist too
-    at_limit_share = limited / max(usable, 1)
-    for who, role, text in sampled[["collector", "role", "text"]].itertuples(index=False):
-        if not text or len(text) < 4:
+    at_limit_share = sum(limited) / max(usable, 1)
+    for who, role, text, at in zip(sampled["collector"], sampled["role"], sampled["text"], limited):
+        if at:
             continue
         who, role = who or "", plain_role(role)
-        mark = _mark(text)
-        near = f.at_limit(who, text, text[: mark.start()] if mark else text)
-        if near != "-" and text[-1] not in _CLOSING[:9]:
-            continue
         neg.append(f(who, role, text, 1.0))
-        c = cut(text, rng)
-        has_limit = bool(counts.limits.get(who))
-        pos.append(f(who, role, c, 0.0, "0" if has_limit and rng.random() < at_limit_share else "-"))
+        # a text of one character has no part: it is only an intact value
+        pos.append(f(who, role, cut(text, rng), 0.0, "0" if counts.limits.get(who) and rng.random() < at_limit_share else "-") if len(text) > 1 else None)
         keys.append(rng.random() < 0.2)
     if not neg:
         return Regression(), {"rows": 0}
-    a, b, held = np.array(neg), np.array(pos), np.array(keys)
+    a, held = np.array(neg), np.array(keys)
+    cuts = np.array([p is not None for p in pos])
+    b, held_b = np.array([p for p in pos if p is not None]).reshape(-1, a.shape[1]), held[cuts]
     model = Regression()
     for again in range(2):
         keep = ~held if not again else ~held & (model.logit(a) < 1.0)
-        x, y = np.concatenate([a[keep], b[~held]]), np.concatenate([np.zeros(keep.sum()), np.ones((~held).sum())])
+        x, y = np.concatenate([a[keep], b[~held_b]]), np.concatenate([np.zeros(keep.sum()), np.ones((~held_b).sum())])
         model = Regression()
         model.fit(x, y)
-    ta, tb = model.logit(a[held]), model.logit(b[held])
+    ta, tb = model.logit(a[held]), model.logit(b[held_b])
     return model, {"rows": len(a), "held_out_recall": float((tb > 0).mean()) if len(tb) else 0.0, "held_out_flagged_intact": float((ta > 0).mean()) if len(ta) else 0.0}
 
 
-def fit(rows: DataFrame, sample: int = 30_000, counts: Counts | None = None) -> tuple[Counts, Regression, dict[str, float]]:
+def fit(rows: DataFrame, sample: int = 60_000, counts: Counts | None = None) -> tuple[Counts, Regression, dict[str, float]]:
     """``rows``: row_id, collector, role, text.  The sample is drawn by a hash of row_id."""
     counts = counts or count(rows)
-    texts = rows.where(F.length("text") >= 4)
-    n = texts.count()
-    share = min(1.0, sample / n) if n else 1.0
+    texts = rows.where("text is not null")
+    share = min(1.0, sample / counts.texts) if counts.texts else 1.0
     drawn = texts.where(F.pmod(F.xxhash64("row_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
     model, figures = train(drawn.select("row_id", "collector", "role", "text").toPandas().sort_values("row_id"), counts)
     return counts, model, figures
 
 
 def score(rows: DataFrame, counts: Counts, model: Regression) -> DataFrame:
-    """row_id, collector, logit of every row with a text; null and empty texts give no row."""
+    """row_id, collector, logit of every row with a text; null, empty and blank texts give no row."""
     shared = rows.sparkSession.sparkContext.broadcast((counts, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, m = shared.value
         f = Features(c)
         for pdf in batches:
+            pdf = pdf[[not t.isspace() for t in pdf["text"]]]
             x = [f(who or "", plain_role(role), text, 1.0) for who, role, text in zip(pdf["collector"], pdf["role"], pdf["text"])]
             if x:
                 more = np.array([f.offset(who or "", text) for who, text in zip(pdf["collector"], pdf["text"])])
@@ -427,7 +451,7 @@ def cut_rows(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def rates(rows: DataFrame, scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per collector: rows, rows with a text, cut rows and their share of the rows with a text."""
+    """Per collector: rows, rows with a text that is not blank, cut rows and their share of the rows with a text."""
     n = rows.groupBy("collector").agg(F.count("*").alias("n_rows"))
     c = scored.groupBy("collector").agg(F.count("*").alias("with_text"), F.count(F.when(F.col("logit") >= threshold, 1)).alias("cut"))
     c = c.withColumnRenamed("collector", "c")
