@@ -382,7 +382,7 @@ def train(sampled: pd.DataFrame, counts: Counts, seed: int = 11) -> tuple[Regres
     rng = random.Random(seed)
     f = Features(counts)
     neg, pos, keys = [], [], []
-    sampled = sampled[[bool(t) and not t.isspace() for t in sampled["text"]]]
+    sampled = sampled[(sampled["text"].str.len() > 0) & ~sampled["text"].str.isspace().astype(bool)]
 
     def stops(who: str, text: str) -> bool:
         core = text[: len(text) - len(_mark(text))]
@@ -433,7 +433,7 @@ def score(rows: DataFrame, counts: Counts, model: Regression) -> DataFrame:
         c, m = shared.value
         f = Features(c)
         for pdf in batches:
-            pdf = pdf[[not t.isspace() for t in pdf["text"]]]
+            pdf = pdf[~pdf["text"].str.isspace().astype(bool)]
             x = [f(who or "", plain_role(role), text, 1.0) for who, role, text in zip(pdf["collector"], pdf["role"], pdf["text"])]
             if x:
                 more = np.array([f.offset(who or "", text) for who, text in zip(pdf["collector"], pdf["text"])])
