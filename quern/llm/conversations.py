@@ -3,10 +3,10 @@
 Message rows are nodes, the turn before is a node's parent.  Root-to-leaf paths
 come out of iterative pointer jumping (:func:`resolve_threads`), which finds
 orphans and cycles on the way.  Where the parents follow from an order, as in
-session logs, runs of turns that lie together in the sorted data are contracted
-to one node each first (:func:`contract`), so that the joins of the iteration
-touch one row a run instead of one a message, and a session of any length is
-spread over as many runs as the sort made partitions.
+session logs, up to ``RUN`` turns that follow each other are contracted to one
+node first (:func:`contract`), so that the joins of the iteration touch one row
+a run instead of one a message.  Every session, the short ones too, is resolved
+by the iteration; what a turn's number is, it takes from there.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ ROLE_SPELLINGS = {
     "tool_result": ["tool_result", "toolresult", "tool-result", "tool result"],
 }
 BOOKKEEPING = ["progress", "file-history-snapshot"]
+RUN = 16  # turns that one node stands for, at most
 
 
 def speaker(role: Column) -> Column:
@@ -81,32 +82,86 @@ def resolve_threads(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """The turns among message rows: session_id, msg_uuid, line_no, speaker, utc_micros.
+    """The turns among message rows: session_id, msg_uuid, line_no, at, speaker.
 
     Expects ``session_id, msg_uuid, line_no, rec_type, msg_role, msg_content,
     msg_tool, utc_micros``; other columns are ignored.  Bookkeeping rows, rows
     with neither tool nor content, and rows without session or id are no turns.
     A msg_uuid counts once per session, at its smallest line_no (at the earliest
-    instant, if two rows share it).
+    instant, if two rows share it).  ``at`` is the instant in milliseconds,
+    rounded down; without instant it is the last of all.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"(?U)\S")
     said = messages.where(~F.coalesce(F.col("rec_type"), F.lit("")).isin(*BOOKKEEPING) & (text("msg_content") | text("msg_tool")) & F.col("session_id").isNotNull() & F.col("msg_uuid").isNotNull())
     who = speaker(F.col("msg_role"))
-    at = F.coalesce(F.col("utc_micros"), F.lit((1 << 63) - 1))
+    at = F.coalesce(F.floor(F.col("utc_micros") / 1000).cast("bigint"), F.lit((1 << 63) - 1))
     first = said.select("session_id", "msg_uuid", F.struct(F.col("line_no"), at.alias("at"), F.coalesce(who, F.lit("")).alias("speaker")).alias("m"))
     return first.groupBy("session_id", "msg_uuid").agg(F.min("m").alias("m")).select("session_id", "msg_uuid", "m.*")
 
 
 def contract(ordered: DataFrame) -> DataFrame:
-    """Sort turns over the cluster and tell each its run (session and partition), its place there and its neighbours.
+    """Sort turns over the cluster and contract those that follow each other to runs.
 
-    A session is spread by instant over as many partitions as its size asks
-    for; what a window sees is one run, never a whole session.
+    session_id, part, no, id, turns (array of msg_uuid, speaker), first, last,
+    bad (two turns that may not follow each other), answered.  A session is
+    spread by instant over as many partitions as its size asks for; what a
+    window sees is a session's turns of one partition, never a whole session.
     """
     key = ["session_id", "at", "line_no", "msg_uuid"]
-    s = ordered.repartitionByRange(*key).sortWithinPartitions(*key).withColumns({"run": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-    w = Window.partitionBy("session_id", "run").orderBy("place")
-    return s.select("session_id", "run", "msg_uuid", "speaker", F.row_number().over(w).alias("k"), F.lag("speaker").over(w).alias("prev"))
+    s = ordered.repartitionByRange(*key).sortWithinPartitions(*key).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    w = Window.partitionBy("session_id", "part").orderBy("place")
+    s = s.select("session_id", "part", "place", "msg_uuid", "speaker", F.floor((F.row_number().over(w) - 1) / RUN).cast("int").alias("no"), F.lag("speaker").over(w).alias("prev"))
+    return s.groupBy("session_id", "part", "no").agg(
+        F.min("place").alias("id"),
+        F.array_sort(F.collect_list(F.struct("place", "msg_uuid", "speaker"))).alias("turns"),  # at most RUN
+        F.min_by("speaker", "place").alias("first"), F.max_by("speaker", "place").alias("last"),
+        F.max(F.coalesce(_clash(F.col("prev"), F.col("speaker")), F.lit(False))).alias("bad"),
+        F.max(F.col("speaker") == "assistant").alias("answered"),
+    )
+
+
+def _clash(a: Column, b: Column) -> Column:
+    """Whether two turns may not follow each other."""
+    call, result, user = "tool_call", "tool_result", "user"
+    return ((a == user) & (b == user)) | ((a == call) & (b != result)) | ((b == result) & (a != call))
+
+
+def linked(runs: DataFrame) -> DataFrame:
+    """Runs with their parent: id, parent, weight and fault (what is wrong at the run, null if nothing).
+
+    The run before lies in the same partition, or is the last one of the session
+    in the partition before; only the latter asks for a window over a session,
+    of one row a partition.
+    """
+    ends = runs.groupBy("session_id", "part").agg(F.max_by(F.struct("id", "last"), "no").alias("end"))
+    w = Window.partitionBy("session_id").orderBy("part")
+    ends = ends.select("session_id", "part", F.lag("end").over(w).alias("carried"), F.lead("part").over(w).isNull().alias("final"), F.col("end")["id"].alias("end_id"))
+    near = Window.partitionBy("session_id", "part").orderBy("no")
+    own = runs.select("session_id", "part", "no", "id", F.size("turns").cast("bigint").alias("weight"), "first", "last", "bad", "answered", F.lag(F.struct("id", "last")).over(near).alias("near"))
+    at = own.join(ends, ["session_id", "part"]).withColumn("before", F.coalesce("near", "carried"))
+    fault = (
+        F.when(F.col("bad") | F.coalesce(_clash(F.col("before")["last"], F.col("first")), F.lit(False)), "turns_clash")
+        .when(F.col("before").isNull() & (F.col("first") != "user"), "no_user_first")
+        .when(F.col("final") & (F.col("id") == F.col("end_id")) & (F.col("last") == "tool_call"), "call_unanswered")
+    )
+    return at.select("session_id", "id", F.col("before")["id"].alias("parent"), "weight", "answered", fault.alias("fault"))
+
+
+def judged(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The runs of all sessions, their resolved places, and per session its size, verdict and the states of its runs.
+
+    Verdicts: ``orphan`` or ``cycle``, else the fault whose name comes first,
+    else ``unanswered`` (no assistant turn), else ``kept``.
+    """
+    runs = shared_checkpoint(contract(turns(messages)))
+    nodes = shared_checkpoint(linked(runs))
+    places = shared_checkpoint(resolve_threads(nodes.select("id", "parent", "weight")))
+    per = nodes.join(places.select("id", "state"), "id").groupBy("session_id").agg(
+        F.sum("weight").alias("turns"), F.min("fault").alias("fault"), F.max("answered").alias("answered"),
+        F.max(F.when(F.col("state") != "ok", F.col("state"))).alias("state"), F.count("*").alias("runs"),
+    )
+    verdict = F.coalesce("state", "fault", F.when(~F.col("answered"), "unanswered"), F.lit("kept"))
+    return runs, places, per.select("session_id", "turns", "runs", verdict.alias("verdict"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -118,28 +173,12 @@ def conversations(messages: DataFrame) -> DataFrame:
     line_no (then id); turns without instant come last.  A turn whose role is
     none of the four speakers breaks no rule by itself.
     """
-    rows = shared_checkpoint(contract(turns(messages)))
-    call, result, user = "tool_call", "tool_result", "user"
-    bad = lambda a, b: ((a == user) & (b == user)) | ((a == call) & (b != result)) | ((b == result) & (a != call))
-    runs = rows.groupBy("session_id", "run").agg(
-        F.count("*").alias("n"),
-        F.min_by("speaker", "k").alias("first"), F.max_by("speaker", "k").alias("last"),
-        F.max(F.coalesce(bad(F.col("prev"), F.col("speaker")), F.lit(False))).alias("bad"),
-        F.max(F.col("speaker") == "assistant").alias("answered"),
-    )
-    w = Window.partitionBy("session_id").orderBy("run")  # as many rows as the session has runs
-    name = lambda run: F.concat_ws("#", F.col("session_id"), run.cast("string"))
-    linked = runs.withColumns({"parent_run": F.lag("run").over(w), "before_role": F.lag("last").over(w), "next_run": F.lead("run").over(w)})
-    linked = linked.withColumns({"id": name(F.col("run")), "parent": F.when(F.col("parent_run").isNotNull(), name(F.col("parent_run")))})
-    broken = (
-        F.col("bad")
-        | F.when(F.col("parent_run").isNull(), F.col("first") != user).otherwise(bad(F.col("before_role"), F.col("first")))
-        | (F.col("next_run").isNull() & (F.col("last") == call))
-    )
-    linked = shared_checkpoint(linked.select("session_id", "run", "id", "parent", "next_run", "n", broken.alias("broken"), "answered"))
-    # A session in one run is resolved as it stands; only runs that have a parent or a child enter the iteration.
-    chains = resolve_threads(linked.where("parent is not null or next_run is not null").select("id", "parent", F.col("n").alias("weight")))
-    whole = linked.groupBy("session_id").agg(F.max("broken").alias("broken"), F.max("answered").alias("answered")).where("answered and not broken").select("session_id")
-    at = linked.join(whole, "session_id", "left_semi").join(chains.where("state = 'ok'").select("id", "before"), "id", "left")
-    at = at.select("session_id", "run", F.coalesce("before", F.lit(0)).alias("before"))
-    return rows.join(at, ["session_id", "run"]).select("session_id", (F.col("before") + F.col("k")).cast("int").alias("turn_no"), "msg_uuid", "speaker")
+    runs, places, sessions = judged(messages)
+    whole = sessions.where("verdict = 'kept'").select("session_id")
+    at = runs.select("session_id", "id", "turns").join(whole, "session_id", "left_semi").join(places.where("state = 'ok'").select("id", "before"), "id")
+    return at.select("session_id", "before", F.posexplode("turns").alias("k", "t")).select("session_id", (F.col("before") + F.col("k") + 1).cast("int").alias("turn_no"), "t.msg_uuid", "t.speaker")
+
+
+def report(messages: DataFrame) -> DataFrame:
+    """Per verdict: sessions, turns, and the nodes that went through the iteration."""
+    return judged(messages)[2].groupBy("verdict").agg(F.count("*").alias("sessions"), F.sum("turns").alias("turns"), F.sum("runs").alias("nodes"))

@@ -22,6 +22,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(_messages_with_instants(spark, d)).select("session_id", "turn_no", "msg_uuid")
 
 
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many sessions are kept, and why the others are not."""
+    return conversations.report(_messages_with_instants(spark, d))
+
+
 def _contents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "session_messages").select(F.col("line_id").alias("row_id"), "collector", F.col("msg_role").alias("role"), F.col("msg_content").alias("text")))
 
@@ -102,7 +107,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found,
+    "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_rates": p2_rates,
     "p7_found": p7_found, "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,

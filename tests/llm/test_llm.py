@@ -19,7 +19,7 @@ def brute_conversations(rows):
         r = re.sub(r"[ _-]", "", (role or "").strip().lower())
         r = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "toolcall": "tool_call", "toolresult": "tool_result"}.get(r, "")
         old = by.setdefault(s, {}).get(u)
-        key = (n, at if at is not None else 1 << 63)
+        key = (n, at // 1000 if at is not None else 1 << 63)
         if old is None or key < old[0]:
             by[s][u] = (key, r)
     for s, m in by.items():
@@ -42,18 +42,24 @@ def test_conversations(spark):
         at = 0
         seq = ["user", "assistant"] + ["tool_call", "tool_result"] * (n // 3) + ["assistant", "user", "assistant"] * (n // 4)
         for i, r in enumerate(seq if s % 3 else [rng.choice(roles) for _ in range(n)]):
-            at += rng.randrange(0, 3)
+            at += rng.randrange(0, 3) * 400
             row = [f"s{s}", f"u{s}-{i}", i + 1, rng.choice(["x", "progress"]) if s % 11 == 0 else "x", r, rng.choice(["text", " ", None]) if s % 7 == 0 else "text", None, None if s % 13 == 0 else at, 1]
             rows.append(tuple(row))
             if rng.random() < 0.2:
                 rows.append(tuple([*row[:2], i + 50, *row[3:]]))
     # one session holds a third of all rows
-    rows += [("hot", f"h{i}", i + 1, "x", "user" if i % 2 == 0 else "assistant", "t", None, 1000 - 1000 * (i % 2) + i if i < 0 else i, 1) for i in range(1200)]
+    rows += [("hot", f"h{i}", i + 1, "x", "user" if i % 2 == 0 else "assistant", "t", None, 700 * i, 1) for i in range(1200)]
+    # equal milliseconds fall to line_no, whatever the microseconds say
+    rows += [("tie", "t0", 1, "x", "user", "t", None, 5999, 1), ("tie", "t1", 2, "x", "assistant", "t", None, 5001, 1)]
     rows += [(None, "n", 1, "x", "user", "t", None, 1, 1), ("nouuid", None, 1, "x", "user", "t", None, 1, 1)]
     df = spark.createDataFrame(rows, MSG).repartition(4)
     got = sorted((r.session_id, r.turn_no, r.msg_uuid) for r in conversations.conversations(df).collect())
     assert got == brute_conversations(rows)
     assert conversations.conversations(df.limit(0)).count() == 0
+    rep = {r.verdict: r for r in conversations.report(df).collect()}
+    assert rep["kept"].sessions == len({g[0] for g in got}) and rep["kept"].turns == len(got)
+    assert rep["kept"].nodes >= 1200 // conversations.RUN + rep["kept"].sessions - 1  # the hot session is many nodes, every other one at least
+    assert set(rep) <= {"kept", "unanswered", "turns_clash", "no_user_first", "call_unanswered"}
 
 
 def test_threads(spark):
