@@ -51,7 +51,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.changes(schema_drift.carriers(schema_drift.file_fields(_archive_lines(spark, d))))
+    return schema_drift.changes(schema_drift.carriers(_archive_lines(spark, d)))
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.functions import deep_json
 from quern.operators import orphans, schema_drift, shredding
 from quern.operators.shredding import assemble, call_tables, shred
 
@@ -47,24 +48,79 @@ def test_drift(spark):
         ["", "  ", "[]"],  # an unreadable file has no fields and is no file to compare
         [{**base, "client": {"version": "3"}, "branch": "dev"}],
     ]
-    df = spark.createDataFrame(lines(spec), "archive_id string, agent string, file_seq int, file_name string, raw_json string")
-    got = {(r.file_name, r.field_name): r.change for r in schema_drift.changes(schema_drift.carriers(schema_drift.file_fields(df)), block=3).collect()}
+    df = spark.createDataFrame(lines(spec), DRIFT)
+    got = {(r.file_name, r.field_name): r.change for r in schema_drift.changes(schema_drift.carriers(df), block=3).collect()}
     assert got == {("f3", "version"): "moved", ("f3", "gitBranch"): "retyped", ("f4", "version"): "retyped", ("f4", "gitBranch"): "moved", ("f5", "version"): "gone", ("f5", "gitBranch"): "gone", ("f6", "version"): "new", ("f6", "gitBranch"): "new"}
-    assert schema_drift.changes(schema_drift.carriers(schema_drift.file_fields(df.limit(0)))).count() == 0
+    assert schema_drift.changes(schema_drift.carriers(df.limit(0))).count() == 0
 
 
-def test_flooding_leaves_strangers_alone():
-    got = schema_drift.flood({"type": {("string", "slug")}, "requestId": {("string", "uuid")}, "cwd": {("string", "path")}, "app_version": {("number", "dotted")}}, "claude-code")
-    assert got == {"version": "app_version"}
-    assert schema_drift.flood({"thread": {("object", "prefixed_hex")}, "thread.id": {("string", "prefixed_hex")}, "model": {("string", "slug")}}, "codex") == {"thread_id": "thread.id"}
-    assert schema_drift.flood({}, "codex") == {} and schema_drift.flood({"x": {("string", "slug")}}, "unheard-of") == {}
+DRIFT = "archive_id string, agent string, file_seq int, file_name string, raw_json string"
+
+
+def test_fields_renamed_without_a_shared_word(spark):
+    base = {"type": "user", "uuid": "u", "sessionId": "s", "cwd": "/w"}
+    spec = [[{**base, "version": "1.2.3", "gitBranch": "main"}], [{**base, "version": "1.3.0", "gitBranch": "fix-audit-7"}]] * 3
+    spec += [
+        [{**base, "cliRelease": "1.3.1", "vcsRef": "main"}],  # both moved, no word in common
+        [{**base, "requestId": "external-x", "meta": {"deep": [{"vcsRef": "fix-audit-9"}]}}],  # version gone; in an object of an array below another name
+        [{**base, "version": "1.4.0", "gitBranch": "main", "requestId": "external-y"}],
+        [{**base, "version": "1.4.0", "gitBranch": "main", "tags": {f"k{i}": "external-z" for i in range(5000)}}],  # keys that are data
+        [{**base, "gitBranch": "main", "names": {f"q{i}": i for i in range(5000)}}],
+    ]
+    df = spark.createDataFrame(lines(spec), DRIFT)
+    got = {(r.file_name, r.field_name): (r.change, r.after) for r in schema_drift.changes(schema_drift.carriers(df)).collect()}
+    assert got == {
+        ("f7", "version"): ("moved", "cliRelease string"), ("f7", "gitBranch"): ("moved", "vcsRef string"),
+        ("f8", "version"): ("gone", ""), ("f8", "gitBranch"): ("moved", "meta.deep[].vcsRef string"),
+        ("f9", "version"): ("new", "version string"), ("f9", "gitBranch"): ("moved", "gitBranch string"), ("f11", "version"): ("gone", ""),
+    }
+
+
+def test_flooding_decides():
+    node = schema_drift.Node
+    version = node("version", {"string": 0.5, "number": 0.3, "object": 0.2}, {"dotted": 0.65, "digits": 0.35})
+    branch = node("gitBranch", {"string": 0.6, "object": 0.4}, {"slug": 0.9, "path": 0.1})
+    may = lambda b: {"version": None, "gitBranch": b}
+    renamed = [node("cliRelease", {"string": 1}, {"dotted": 1}, may(None)), node("vcsRef", {"string": 1}, {"slug": 1}, may(1.0))]
+    assert schema_drift.flood(renamed, [version, branch]) == {"version": "cliRelease", "gitBranch": "vcsRef"}
+    assert schema_drift.flood(renamed, [version, branch], rounds=0) == {}
+    held = [node("git", {"object": 1}, {"dotted": 0.5, "slug": 0.5}, may(1.0)), node("git.version", {"string": 1}, {"dotted": 1}, may(None)), node("git.head", {"string": 1}, {"slug": 1}, may(1.0))]
+    assert schema_drift.flood(held, [version, branch]) == {"version": "git.version", "gitBranch": "git.head"}
+    assert schema_drift.flood(held, [version, branch], rounds=0) == {"gitBranch": "git"}  # names alone are wrong
+    strangers = [node("requestId", {"string": 1}, {"slug": 1}, may(0.0)), node("m.calls[].x.old", {"string": 1}, {"slug": 1}, may(0.2)), node("m.ms", {"number": 1}, {"digits": 1}, may(None)), node("id", {"string": 1}, {"uuid": 1}, may(None))]
+    assert schema_drift.flood(strangers, [version, branch]) == {}
+    thread = node("thread_id", {"string": 0.7, "number": 0.3}, {"prefixed_hex": 0.6, "digits": 0.4})
+    assert schema_drift.flood([node("thread", {"object": 1}, {"prefixed_hex": 1}, {"thread_id": 1.0}), node("thread.id", {"string": 1}, {"prefixed_hex": 1}, {"thread_id": 1.0})], [thread]) == {"thread_id": "thread.id"}
+    assert schema_drift.flood([], [thread]) == {} and schema_drift.flood(renamed, []) == {}
+    many = [node(f"map.k{i}", {"string": 1}, {"uuid": 1}, may(None)) for i in range(50_000)]
+    assert schema_drift.flood([*many, *renamed], [version, branch]) == {"version": "cliRelease", "gitBranch": "vcsRef"}
 
 
 def test_consistent_table(spark):
-    rows = [(1, "a", "claude-code", 1, "f1", 1, '{"version": {"major": 2, "minor": 3}, "gitBranch": {"name": "main", "dirty": false}}'), (2, "a", "claude-code", 2, "f2", 1, '{"cliVersion": [1,0,6], "branch": "dev"}'), (3, "b", "codex", 1, "f3", 1, '{"thread": {"id": 42}}'), (4, "b", "codex", 1, "f3", 2, "nope")]
+    deep = '{"version": "9.1.1", "x": ' + '{"y": [' * 3000 + "1" + "]}" * 3000 + "}"
+    rows = [(1, "a", "claude-code", 1, "f1", 1, '{"version": {"major": 2, "minor": 3}, "gitBranch": {"name": "main", "dirty": false}}'), (2, "a", "claude-code", 2, "f2", 1, '{"cliVersion": [1,0,6], "branch": "dev", "type": "user", "n": 1.50, "input": {"a": [1, null]}, "z": null}'), (3, "b", "codex", 1, "f3", 1, '{"thread": {"id": 42}}'), (4, "b", "codex", 1, "f3", 2, "nope"), (5, "b", "codex", 1, "f3", 3, "[1]"), (6, "a", "claude-code", 3, "f4", 1, deep), (7, "c", "other", 1, "f5", 1, '{"a.b": "c"}'), (8, "c", "other", 1, "f5", 2, None)]
     df = spark.createDataFrame(rows, "raw_id bigint, archive_id string, agent string, file_seq int, file_name string, line_no int, raw_json string")
-    got = {r.raw_id: (r.version, r.git_branch, r.thread_id) for r in schema_drift.consistent_table(df).collect()}
-    assert got == {1: ("2.3", "main", None), 2: ("1.0.6", "dev", None), 3: (None, None, "42"), 4: (None, None, None)}
+    table = {r.raw_id: r for r in schema_drift.consistent_table(df).collect()}
+    got = {k: (r.version, r.git_branch, r.thread_id) for k, r in table.items()}
+    assert got == {1: ("2.3", "main", None), 2: ("1.0.6", "dev", None), 3: (None, None, "42"), 4: (None, None, None), 5: (None, None, None), 6: ("9.1.1", None, None), 7: (None, None, None), 8: (None, None, None)}
+    assert table[2].fields == {"type": "user", "n": "1.5", "input": '{"a": [1, null]}', "z": None} and table[1].fields == {} and table[4].fields is None
+    assert table[7].fields == {"a.b": "c"} and json.loads(table[6].fields["x"][:0] or "1") == 1 and len(table[6].fields["x"]) > 20_000
+
+
+def test_deep_json():
+    for t in ['{"a":[1,2.5,-3e4,{"b":null,"c":[true,false,[]],"d":{}}],"e":"x\\u00e9\\n"}', "[]", " 1 ", "[1,", '{"a"}', '{"a":1,}', "[1 2]", "", "[1]]", "01", "1.", "-", '{"a":1,"a":2}']:
+        for written in (False, True):
+            try:
+                want = repr(json.loads(t, parse_float=str, parse_int=str) if written else json.loads(t))
+            except ValueError:
+                want = "bad"
+            try:
+                got = repr(deep_json._loads(t, written))
+            except ValueError:
+                got = "bad"
+            assert got == want
+    text = '{"a": [' * 40_000 + "1" + "]}" * 40_000
+    assert deep_json.dumps(deep_json.loads(text)) == text
 
 
 def test_orphans(spark):
