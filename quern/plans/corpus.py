@@ -67,6 +67,17 @@ def p5_calls(spark: SparkSession, d: str) -> DataFrame:
     return shredding.calls(_archive_lines(spark, d))
 
 
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with whether it could be read and the numbers of its calls and files: the parent table of p5_calls."""
+    at = table(spark, d, "raw_lines").select("raw_id", "archive_id", "agent", "file_name", "line_no")
+    return shredding.read_lines(_archive_lines(spark, d)).join(at, "raw_id").select("raw_id", "archive_id", "agent", "file_name", "line_no", "readable", "n_calls", "n_files")
+
+
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that the lines are shredded into, with their levels."""
+    return shredding.columns(_archive_lines(spark, d))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     period = F.date_format("arrived_at", "yyyy-MM").alias("period")
     parts = table(spark, d, "oc_parts").select(F.lit("oc_parts").alias("ref_table"), period, F.col("part_id").alias("row_key"), F.col("message_id").alias("key"))
@@ -88,7 +99,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_changes": p3_changes, "p3_table": p3_table,
     "p4_found": p4_found, "p4_times": p4_times,
-    "p5_found": p5_found, "p5_calls": p5_calls,
+    "p5_found": p5_found, "p5_calls": p5_calls, "p5_lines": p5_lines, "p5_columns": p5_columns,
     "p6_found": p6_found, "p6_report": p6_report,
 }
 

@@ -24,11 +24,68 @@ def test_calls_and_files():
     assert call_tables([], "path") == ([], []) and call_tables(None, "path") == ([], [])
 
 
+def brute_calls(record):
+    """Calls and files by plain recursion over the record."""
+    calls, files = [], set()
+
+    def unpacked(x):
+        while isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
+            try:
+                x = json.loads(x)
+            except ValueError:
+                break
+        return x
+
+    def walk(x, around, owner, named):
+        if isinstance(x, list):
+            for y in x:
+                walk(y, around, owner, named)
+        elif isinstance(x, dict):
+            no = None
+            if "tool" in x:
+                no = len(calls)
+                calls.append((no, around, x["tool"] if isinstance(x["tool"], str) else None))
+            for k, v in x.items():
+                if no is not None and k == "input":
+                    v = unpacked(v)
+                walk(v, around if no is None else no, no if k == "input" and no is not None else owner, k == "path")
+        elif named and owner is not None and isinstance(x, str) and x:
+            files.add((owner, x))
+
+    walk(record, -1, None, False)
+    return calls, files
+
+
+CALLS = st.recursive(
+    st.none() | st.integers() | st.sampled_from(["", "p", "q", '{"path":"r","tool":"x"}', '[{"path":["s",""]}]', '"{}"', "{"]),
+    lambda c: st.lists(c, max_size=3) | st.dictionaries(st.sampled_from(["tool", "input", "path", "a"]), c, max_size=4), max_leaves=30)
+
+
+@given(CALLS)
+@settings(max_examples=400, deadline=None)
+def test_calls_against_recursion(record):
+    calls, files = call_tables(json.loads(json.dumps(record)), "path")
+    want, found = brute_calls(record)
+    assert sorted(calls) == sorted(want) and set(files) == found
+
+
+def test_calls_nested_beyond_any_stack(spark):
+    n = 5000
+    text = '{"tool":"t","input":{"path":"p","in":[' * n + "1" + "]}}" * n
+    df = spark.createDataFrame([(1, "codex", text), (2, "codex", '{"tool":"a","input":{"path":"p"}}')], "raw_id bigint, agent string, raw_json string")
+    got = {(r.raw_id, r.call_no): r.parent_no for r in shredding.files(df).collect()}
+    assert got == {(1, i): i - 1 for i in range(n)} | {(2, 0): -1}
+    assert {(r.raw_id, r.readable, r.n_calls, r.n_files) for r in shredding.read_lines(df).collect()} == {(1, True, n, n), (2, True, 1, 1)}
+
+
 def test_shredding_edge_rows(spark):
     rows = [(1, "codex", None), (2, "codex", ""), (3, "codex", "{"), (4, "other", '{"tool":"a","input":{"path":"p"}}'), (5, "codex", '{"tool":"a","input":{"path":"p"}}'), (5, "codex", '{"tool":"a","input":{"path":"p"}}'), (None, None, "[]"), (6, "codex", json.dumps({"tool": "a", "input": {"path": "x" * 100_000}}))]
     df = spark.createDataFrame(rows, "raw_id bigint, agent string, raw_json string")
     got = sorted((r.raw_id, r.call_no, r.parent_no, len(r.file_path)) for r in shredding.files(df).collect())
     assert got == [(5, 0, -1, 1), (5, 0, -1, 1), (6, 0, -1, 100_000)]
+    assert sorted((r.raw_id or 0, r.readable, r.n_calls, r.n_files) for r in shredding.read_lines(df).collect()) == [(0, True, 0, 0), (1, False, 0, 0), (2, False, 0, 0), (3, False, 0, 0), (4, True, 1, 0), (5, True, 1, 1), (5, True, 1, 1), (6, True, 1, 1)]
+    levels = [(r.path, r.entry_no, r.rep, r["def"], r.value) for r in shredding.columns(spark.createDataFrame([(1, "codex", '{"a":[{"b":1},{},{"b":[2,3]}],"c":"x"}')], df.schema)).collect()]
+    assert sorted(levels) == sorted([("a[]", 0, 0, 1, None), ("a[]", 1, 1, 2, "{}"), ("a[]", 2, 1, 1, None), ("a[].b", 0, 0, 3, "1"), ("a[].b", 1, 1, 2, None), ("a[].b", 2, 1, 2, None), ("a[].b[]", 0, 0, 3, None), ("a[].b[]", 1, 1, 2, None), ("a[].b[]", 2, 1, 4, "2"), ("a[].b[]", 3, 2, 4, "3"), ("c", 0, 0, 1, '"x"')])
     assert shredding.files(df.limit(0)).count() == 0 and shredding.calls(df.limit(0)).count() == 0
 
 
