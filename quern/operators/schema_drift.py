@@ -139,21 +139,27 @@ def fields(record: dict, scalars: _Scalars) -> Iterator[tuple[str, str, str, tup
                 yield path, type_of(v), *scalars(v)
 
 
+TYPES = ["null", "array", "boolean", "number", "object", "string"]  # bits of a mask of types, in this order
+_BIT = {t: 1 << i for i, t in enumerate(TYPES)}
+
+
 def observed(lines: DataFrame) -> DataFrame:
-    """All that the corpus shows of its fields, from one pass: archive_id, agent, file_seq, file_name, path, type, look, word, n.
+    """All that the corpus shows of its fields, from one pass: archive_id, agent, file_seq, file_name, fields, path, types, looks, words.
 
     ``lines``: archive_id, agent, file_seq, file_name, raw_json.  Unreadable
     lines and lines that are no object count for nothing; a file of nothing else
-    has no rows.  Rows with a word (its hash) are of the agent, not of a file:
-    each task gives the smallest ``SKETCH`` of a path.  Counts are added up
-    within each task before they move.
+    has no rows.  A row is either of a file (``fields``: its paths with a mask of
+    their types) or of an agent's ``path`` (counts of types and looks, and the
+    smallest ``SKETCH`` hashes of its values' words); a task gives at most one of
+    each, and one more file row a batch.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scalars = _Scalars()
+        kinds: dict[tuple[str, str], Counter] = {}
         said: dict[tuple[str, str], set[int]] = {}
         for pdf in batches:
-            files: dict[tuple, Counter] = {}
+            files: dict[tuple, dict[str, int]] = {}
             for *key, text in zip(*(pdf[k] for k in KEYS), pdf["raw_json"]):
                 try:
                     record = deep_json.loads(text)
@@ -161,23 +167,46 @@ def observed(lines: DataFrame) -> DataFrame:
                     continue
                 if not isinstance(record, dict):
                     continue
-                seen = files.setdefault(tuple(key), Counter())
+                seen = files.setdefault(tuple(key), {})
                 for path, kind, look, words in fields(record, scalars):
-                    seen[path, kind, look] += 1
+                    seen[path] = seen.get(path, 0) | _BIT[kind]
+                    of_path = (key[1], path)
+                    if (n := kinds.get(of_path)) is None:
+                        n = kinds[of_path] = Counter()
+                    n[kind, look] += 1
                     if words:
-                        of = said.setdefault((key[1], path), set())
+                        of = said.setdefault(of_path, set())
                         of.update(words)
                         if len(of) > 4 * SKETCH:
-                            said[key[1], path] = set(sorted(of)[:SKETCH])
-            rows = [(*k, *f, None, n) for k, seen in files.items() for f, n in seen.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=[*KEYS, "path", "type", "look", "word", "n"]).astype({"word": "Int64"})
-        rows = [(agent, path, w) for (agent, path), of in said.items() for w in sorted(of)[:SKETCH]]
+                            said[of_path] = set(sorted(of)[:SKETCH])
+            if files:
+                rows = [(*k, [{"path": p, "mask": m} for p, m in seen.items()], None, None, None, None) for k, seen in files.items()]
+                yield pd.DataFrame(rows, columns=[*KEYS, "fields", "path", "types", "looks", "words"])
+        rows = []
+        for (agent, path), n in kinds.items():
+            looks: Counter = Counter()
+            types: Counter = Counter()
+            for (kind, look), k in n.items():
+                if kind != "null":
+                    types[kind] += k
+                    looks[look] += k
+            rows.append((None, agent, None, None, None, path, dict(types), dict(looks), sorted(said.get((agent, path), ()))[:SKETCH]))
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=[*KEYS, "fields", "path", "types", "looks", "words"]).astype({"file_seq": "Int32"})
+                rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["agent", "path", "word"]).assign(archive_id=None, file_seq=pd.array([None] * len(rows), "Int32"), file_name=None, type=None, look=None, n=1)[[*KEYS, "path", "type", "look", "word", "n"]]
+            yield pd.DataFrame(rows, columns=[*KEYS, "fields", "path", "types", "looks", "words"]).astype({"file_seq": "Int32"})
+
+    out = "archive_id string, agent string, file_seq int, file_name string, fields array<struct<path: string, mask: int>>, path string, types map<string, bigint>, looks map<string, bigint>, words array<bigint>"
+    return lines.select(*KEYS, "raw_json").mapInPandas(run, out)
+
 
-    out = "archive_id string, agent string, file_seq int, file_name string, path string, type string, look string, word bigint, n bigint"
-    return lines.select(*KEYS, "raw_json").mapInPandas(run, out).groupBy(*KEYS, "path", "type", "look", "word").agg(F.sum("n").alias("n"))
+def file_fields(seen: DataFrame) -> DataFrame:
+    """archive_id, agent, file_seq, file_name, fields (path, mask), has: the fields of each file and which of the followed ones stand at their usual place."""
+    each = seen.where("path is null").select(*KEYS, F.inline("fields")).repartition(*KEYS)  # one shuffle for both groupings
+    of = each.groupBy(*KEYS, "path").agg(F.bit_or("mask").alias("mask")).groupBy(*KEYS).agg(F.collect_list(F.struct("path", "mask")).alias("fields"))
+    has = F.filter(_targets_of(), lambda t: F.exists("fields", lambda f: (f["path"] == t) & (f["mask"] > _BIT["null"])))
+    return of.withColumn("has", has)
 
 
 @dataclass
@@ -294,17 +323,15 @@ def _targets_of(column: str = "agent") -> Column:
     return out
 
 
-def paths(seen: DataFrame) -> DataFrame:
+def paths(seen: DataFrame, files: DataFrame) -> DataFrame:
     """Per agent and path what the corpus shows: files, looks and types (counts), words (sketch), and beside (field -> files in which both stand)."""
-    here = seen.where("word is null").groupBy(*KEYS, "path").agg(F.max(F.col("type") != "null").alias("said"))
-    here = here.where("said")
-    usual = here.where(F.array_contains(_targets_of(), F.col("path"))).groupBy(*KEYS).agg(F.collect_set("path").alias("has"))  # at most as many as fields are followed
-    at = here.join(usual, KEYS, "left")
+    here = files.select("agent", "has", F.inline("fields")).where(F.col("mask") > _BIT["null"])
     beside = [F.count_if(F.array_contains("has", t)).alias(f"beside_{i}") for i, t in enumerate(NAMES)]
-    stats = at.groupBy("agent", "path").agg(F.count("*").alias("files"), *beside)
-    counts = lambda c: seen.where("word is null and type != 'null'").groupBy("agent", "path", c).agg(F.sum("n").alias("n")).groupBy("agent", "path").agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(c + "s"))
-    words = seen.where("word is not null").groupBy("agent", "path").agg(F.slice(F.array_sort(F.collect_set("word")), 1, SKETCH).alias("words"))  # at most SKETCH a task
-    out = stats.join(counts("look"), ["agent", "path"], "left").join(counts("type"), ["agent", "path"], "left").join(words, ["agent", "path"], "left")
+    stats = here.groupBy("agent", "path").agg(F.count("*").alias("files"), *beside)
+    of = seen.where("path is not null")
+    counts = lambda c: of.select("agent", "path", F.explode(c).alias("k", "n")).groupBy("agent", "path", "k").agg(F.sum("n").alias("n")).groupBy("agent", "path").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(c))
+    words = of.select("agent", "path", F.explode("words").alias("w")).distinct().groupBy("agent", "path").agg(F.slice(F.array_sort(F.collect_list("w")), 1, SKETCH).alias("words"))  # at most SKETCH a task
+    out = stats.join(counts("looks"), ["agent", "path"], "left").join(counts("types"), ["agent", "path"], "left").join(words, ["agent", "path"], "left")
     return out.withColumn("beside", F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*[F.col(f"beside_{i}") for i in range(len(NAMES))]))).drop(*[f"beside_{i}" for i in range(len(NAMES))])
 
 
@@ -330,7 +357,8 @@ def carriers(lines: DataFrame) -> DataFrame:
     or in at most ``BESIDE`` of its files, stands beside it.
     """
     seen = shared_checkpoint(observed(lines))
-    known = shared_checkpoint(paths(seen))
+    files = shared_checkpoint(file_fields(seen))
+    known = shared_checkpoint(paths(seen, files))
     usual = {(r.agent, r.path): r for r in known.where(F.array_contains(_targets_of(), F.col("path"))).collect()}  # one row a followed field
     targets = {}
     for agent, names in TARGETS.items():
@@ -344,12 +372,10 @@ def carriers(lines: DataFrame) -> DataFrame:
     pairs = known.withColumn("may", may).where("size(may) > 0").withColumn("__t", F.explode("may")).withColumn("shared", shared)
     able = pairs.groupBy("agent", "path").agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), "shared"))).alias("may"), F.any_value("looks").alias("looks"), F.any_value("types").alias("types"))
     able = able.select("agent", "path", F.to_json(F.struct("path", "may", "looks", "types")).alias("node"))
-    inside = seen.where("word is null").groupBy(*KEYS, "path").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") != "null", F.col("type")))), "+").alias("types"))  # at most six types
-    inside = shared_checkpoint(inside)
-    files = inside.select(*KEYS).distinct()
-    nodes = inside.join(able, ["agent", "path"]).select(*KEYS, F.concat(F.when(F.col("types") == "", "-").otherwise("+"), "node").alias("node"))
-    schemas = files.join(nodes.groupBy(*KEYS).agg(F.to_json(F.array_sort(F.collect_list("node"))).alias("schema")), KEYS, "left").withColumn("key", F.md5("schema"))
-    schemas = shared_checkpoint(schemas)
+    inside = files.select(*KEYS, F.inline("fields")).join(able, ["agent", "path"])
+    empty = F.when(F.col("mask") == _BIT["null"], "-").otherwise("+")
+    nodes = inside.groupBy(*KEYS).agg(F.to_json(F.array_sort(F.collect_list(F.concat(empty, "node")))).alias("schema"), F.map_from_entries(F.collect_list(F.struct("path", "mask"))).alias("masks"))
+    schemas = shared_checkpoint(files.select(*KEYS).join(nodes, KEYS, "left").withColumn("key", F.md5("schema")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -362,9 +388,11 @@ def carriers(lines: DataFrame) -> DataFrame:
 
     one = schemas.where("schema is not null").groupBy("agent", "key").agg(F.any_value("schema").alias("schema"))
     matched = one.select("agent", "key", "schema").mapInPandas(run, "agent string, key string, field_name string, path string")
-    asked = schemas.select(*KEYS, "key", F.explode(_targets_of()).alias("field_name"))
+    asked = schemas.select(*KEYS, "key", "masks", F.explode(_targets_of()).alias("field_name"))
     found = asked.join(matched, ["agent", "key", "field_name"], "left")
-    return found.join(inside, [*KEYS, "path"], "left").select(*KEYS, "field_name", "path", "types")
+    mask = F.try_element_at("masks", F.col("path"))
+    types = F.array_join(F.filter(F.array(*[F.when(mask.bitwiseAND(_BIT[t]) > 0, t) for t in TYPES[1:]]), lambda t: t.isNotNull()), "+")
+    return found.select(*KEYS, "field_name", "path", F.when(F.col("path").isNotNull(), types).alias("types"))
 
 
 def changes(found: DataFrame, block: int = 1024) -> DataFrame:
