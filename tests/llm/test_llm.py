@@ -2,6 +2,7 @@ import base64
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -116,17 +117,38 @@ def test_credentials_corpus(spark):
     rows += [("t", 100 + i, "f", f"w{i}", 'password = "Shared1234"') for i in range(9)]  # shared by many owners
     rows += [("t", 200, "f", "o4", "echo mwGJzngw0n3vUUkcc2ozgdvEzUi and xmwGJzngw0n3vUUkcc2ozgdvEzUix"), ("t", 201, "f", None, None), ("t", 202, "f", "o", ""), ("t", 203, "f", "o", "a" * 500_000)]
     df = spark.createDataFrame(rows, schema)
-    found = credentials.find(df)
-    got = sorted((r.row_id, r.secret_text) for r in found.collect())
+    done = credentials.find(df)
+    got = sorted((r.row_id, p.secret_text) for r in done.collect() for p in r.places)
     want = sorted([(i, s) for i, (_, ss) in enumerate(SECRETS) for s in ss] + [(200, "mwGJzngw0n3vUUkcc2ozgdvEzUi")])
     assert got == want
-    red = {r.row_id: r.redacted for r in credentials.redact(df, found).collect()}
+    red = {r.row_id: r.redacted for r in done.collect()}
     assert red[8] == 'const MOT_DE_PASSE: &str = "REDACTED";' and red[200].startswith("echo REDACTED and xmw") and len(red) == len({r for r, _ in want})
-    small = credentials.scan(df.where("text is not null"), credentials.confirmed(credentials.index(df.where("text is not null"))), shard_chars=40)
-    assert {(r.row_id, r.secret_text) for r in small.collect()} >= set(want)
+    assert sorted((r.row_id, p.secret_text) for r in credentials.find(df.repartition(7)).collect() for p in r.places) == want
     assert credentials.find(df.limit(0)).count() == 0
 
 
+def test_credentials_of_any_length_and_distance():
+    long = "aB3" * 3000
+    cases = [
+        (f"api_key = '{long}'", long), (f"postgres://{'u' * 900}:s3cretPw@h/db", "s3cretPw"), (f"mysql -h {'x' * 3000} -pAb3dEf9h db", "Ab3dEf9h"), (f"curl {'--a ' * 2000}-u {'u' * 900}:Zx9Qw8Er h", "Zx9Qw8Er"),
+        (f"redis-cli -h {'h' * 3000} -a Zx9Qw8Er", "Zx9Qw8Er"), (f"{'long_' * 200}password = 'Zx9Qw8Er'", "Zx9Qw8Er"), (f"password{' ' * 3000}={' ' * 3000}'Zx9Qw8Er'", "Zx9Qw8Er"), (f"<x name='password' a='{'b' * 3000}'>Zx9Qw8Er</x>", "Zx9Qw8Er"), (f"<{'k' * 500}.password>Zx9Qw8Er</", "Zx9Qw8Er"),
+        (f"https://h/?token={long}", long),
+    ]
+    for text, want in cases:
+        assert [text[a:b] for a, b, _ in credentials.candidates(text)] == [want]
+    start = time.time()
+    for text in ["mysql " * 100_000, "curl a " * 80_000, "name='a' " * 60_000, "x://" * 100_000, "password" * 60_000, "X-" * 200_000, "a" * 600_000, "<a " * 150_000, "password='" * 50_000, "-----BEGIN " * 50_000]:
+        credentials.candidates(text)
+    assert time.time() - start < 60
+
+
+def test_literals_inside_others_and_beside_letters(spark):
+    schema = "src_table string, row_id bigint, field_name string, owner string, text string"
+    rows = [("t", 1, "f", "a", "password = 'Zx9Qw8Er'"), ("t", 2, "f", "b", "password = 'Zx9Qw8Er-Ty7Ui6Op'"), ("t", 3, "f", "c", "say Zx9Qw8Er-Ty7Ui6Op and Zx9Qw8Er"), ("t", 4, "f", "d", "mysql -h a -pAb3dEf9h db"), ("t", 5, "f", "e", "mysql -h b -pAb3dEf9h db; xAb3dEf9h"), ("t", 5, "f", "e", "mysql -h b -pAb3dEf9h db; xAb3dEf9h"), ("t", 6, "f", "f", "--token=éß9$$xyz"), ("t", 7, "f", "f", "echo éß9$$xyz")]
+    got = sorted((r.row_id, p.secret_text) for r in credentials.find(spark.createDataFrame(rows, schema)).collect() for p in r.places)
+    assert got == [(1, "Zx9Qw8Er"), (2, "Zx9Qw8Er-Ty7Ui6Op"), (3, "Zx9Qw8Er"), (3, "Zx9Qw8Er-Ty7Ui6Op"), (4, "Ab3dEf9h"), (5, "Ab3dEf9h"), (5, "Ab3dEf9h"), (6, "éß9$$xyz"), (7, "éß9$$xyz")]
+
+
 def test_credentials_that_owners_share(spark, tmp_path):
     import __spark_entry__ as entry
 
