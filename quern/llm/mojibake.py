@@ -8,9 +8,12 @@ often each source uses each chain, and the character model of the text as it was
 meant; weak evidence is pooled over a line's words and over a source's records.
 Each line is then repaired by its posterior.
 
-The model is two tables of fixed size (hashed character pairs and characters)
-and the weights of the chains in hashed groups of sources, so what travels to
-the executors is bounded whatever the corpus holds.
+The texts are read twice: once for their distinct lines, of which only the words
+beyond ASCII are kept and counted, and once to be repaired; all rounds of the
+estimation run over the counted lines.  The character model is two tables of
+fixed size (hashed character pairs and characters) whatever the corpus holds;
+the weights of the chains are a table of one row a source that never leaves the
+cluster.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import shared_checkpoint
+
 # Fixed values: (encoding the text was written in, encoding it was read in).  Twice garbled text is tried as pairs of the first.
 READ_AS = ["cp1252", "cp1250", "cp1251", "cp437", "mac_roman", "cp850", "koi8_r", "cp866", "iso8859_2", "gbk", "cp932", "big5", "cp949"]
 CHAINS: list[tuple[str, str]] = [
@@ -36,8 +41,8 @@ CHAINS: list[tuple[str, str]] = [
 ]
 MULTIBYTE = {"gbk", "cp932", "big5", "cp949"}
 LOST = "�"
-PAIR_BITS, CHAR_BITS, SOURCE_BITS = 18, 14, 10
-_PAIRS, _CHARS, _SOURCES = 1 << PAIR_BITS, 1 << CHAR_BITS, 1 << SOURCE_BITS
+PAIR_BITS, CHAR_BITS = 18, 14
+_PAIRS, _CHARS = 1 << PAIR_BITS, 1 << CHAR_BITS
 
 
 def _byte_table(codec: str) -> dict[str, int]:
@@ -111,8 +116,22 @@ def undo(word: str, chain: tuple[str, str]) -> str | None:
     return None if out == word or any(c < " " or "\x7f" <= c < "\xa0" for c in out) else out
 
 
+_undone: dict[str, list[tuple[int, str]]] = {}
+
+
 def undone(word: str) -> list[tuple[int, str]]:
-    """(chain, word before it) for the chains that can have made the word; a chain's number counts from 1."""
+    """(chain, word before it) for the chains that can have made the word; a chain's number counts from 1.  Remembered by the worker, for it rests on no model."""
+    got = _undone.get(word)
+    if got is None:
+        got = _undo_all(word)
+        if len(word) <= 64:
+            if len(_undone) >= 200_000:
+                _undone.clear()
+            _undone[word] = got
+    return got
+
+
+def _undo_all(word: str) -> list[tuple[int, str]]:
     once = {read: _utf8_again(word, read) for read in READ_AS}
     out = []
     for z, chain in enumerate(CHAINS, 1):
@@ -136,28 +155,13 @@ def _char(a: int) -> int:
     return (a * 2_654_435_761 >> 8) & (_CHARS - 1)
 
 
-def _group(source: str | None) -> int:
-    h = 0
-    for c in source or "":
-        h = (h * 131 + ord(c)) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & (_SOURCES - 1)
-
-
 @dataclass
 class Model:
-    """Counts of the corpus and weights of the chains (index 0: no chain) by group of sources."""
+    """Counts of the corpus and the weights of the chains in it (index 0: no chain)."""
 
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(_PAIRS, np.float32))
     chars: np.ndarray = field(default_factory=lambda: np.zeros(_CHARS, np.float32))
-    priors: dict[int, np.ndarray] = field(default_factory=dict)
-    clean: float = 0.95
-
-    def prior(self, group: int) -> np.ndarray:
-        got = self.priors.get(group)
-        if got is None:
-            got = np.full(len(CHAINS) + 1, (1 - self.clean) / len(CHAINS))
-            got[0] = self.clean
-        return np.log(got)
+    overall: np.ndarray = field(default_factory=lambda: np.array([0.95] + [0.05 / len(CHAINS)] * len(CHAINS)))
 
 
 class Reader:
@@ -167,7 +171,6 @@ class Reader:
         self.model = model
         self.total = float(model.chars.sum()) or 1.0
         self._words: dict[str, tuple[float, list[tuple[int, str, float]]]] = {}
-        self._priors: dict[int, np.ndarray] = {}
         self._steps: dict[tuple[str, str], float] = {}
 
     def likelihood(self, word: str) -> float:
@@ -212,25 +215,24 @@ class Reader:
                 log[z] = (0.0 if log[z] == -np.inf else log[z]) + ll - own
         return log
 
-    def posterior(self, evidence: np.ndarray, group: int) -> np.ndarray:
-        if group not in self._priors:
-            self._priors[group] = self.model.prior(group)
-        log = evidence + self._priors[group]
+    def prior(self, weights: np.ndarray | None) -> np.ndarray:
+        """Log prior of the chains of a source; ``weights``: expected lines by chain, None for a source without any.  A source with few lines leans on the corpus."""
+        overall = self.model.overall
+        return np.log(overall if weights is None else (np.asarray(weights) + 50 * overall) / (np.sum(weights) + 50))
+
+    @staticmethod
+    def posterior(evidence: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        log = evidence + prior
         p = np.exp(log - log.max())
         return p / p.sum()
 
-    def line(self, words: list[str], group: int) -> np.ndarray | None:
-        """Posterior of the chains, None where no chain can have made the line."""
-        e = self.evidence(words)
-        return None if e is None else self.posterior(e, group)
-
-    def pooled(self, lines: list[np.ndarray], group: int) -> int:
+    def pooled(self, lines: list[np.ndarray], prior: np.ndarray) -> int:
         """The chain that a document's lines speak for together, 0 if none; ``lines``: evidence of its distinct lines."""
         if not lines:
             return 0
         of = np.array(lines)
         can = np.isfinite(of)
-        p = self.posterior(np.where(can.any(axis=0), np.where(can, of, 0.0).sum(axis=0), -np.inf), group)
+        p = self.posterior(np.where(can.any(axis=0), np.where(can, of, 0.0).sum(axis=0), -np.inf), prior)
         return int(p.argmax()) if p[0] <= 0.5 else 0
 
 
@@ -253,90 +255,104 @@ def _lossy(word: str) -> bool:
     return LOST in core and any(c.isalnum() for c in core)
 
 
-def _count(documents: DataFrame, model: Model | None) -> DataFrame:
-    """One pass: expected counts under the model (all lines taken as clean if there is none), added up within tasks."""
+_FOREIGN = r"[^\x00-\x7F]"
+
+
+def foreign_lines(documents: DataFrame) -> DataFrame:
+    """source, words, n: the distinct lines with words beyond ASCII, of which only these are kept, and how often they stand."""
+    line = documents.where(F.col("text").rlike(_FOREIGN)).select("source", F.explode(F.split("text", "\n")).alias("line"))
+    words = F.filter(F.split("line", "[ \t]"), lambda w: w.rlike(_FOREIGN))
+    return line.select("source", F.array_join(words, " ").alias("words")).where("words != ''").groupBy("source", "words").agg(F.count("*").alias("n"))
+
+
+def _with_weights(df: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Add ``weights`` of the row's source; Spark decides by the size of the table how it is joined."""
+    if weights is None:
+        return df.withColumn("weights", F.lit(None).cast("array<double>"))
+    w = weights.withColumnRenamed("source", "__source")
+    return df.join(w, df["source"].eqNullSafe(w["__source"]), "left").drop("__source")
+
+
+def _expected(lines: DataFrame, weights: DataFrame | None, model: Model | None) -> DataFrame:
+    """kind, source, at, n: expected counts under the model (all lines taken as clean if there is none), added up within tasks.  Kinds: pair, char, chain."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model) if model else None
         pairs, chars = np.zeros(_PAIRS), np.zeros(_CHARS)
-        chains: dict[tuple[int, int], float] = defaultdict(float)
-
-        weights: dict[str, float] = defaultdict(float)
-
-        def add(word: str, weight: float) -> None:
-            weights[word] += weight
-            if len(weights) > 200_000:
-                spend()
+        chains: dict[tuple[str | None, int], float] = defaultdict(float)
+        words_of: dict[str, float] = defaultdict(float)
 
         def spend() -> None:
-            for word, weight in weights.items():
+            for word, weight in words_of.items():
                 a = 32
                 for c in (*word, " "):
                     b = ord(c)
                     pairs[_pair(a, b)] += weight
                     chars[_char(a)] += weight
                     a = b
-            weights.clear()
+            words_of.clear()
 
         for pdf in batches:
-            for source, text in zip(pdf["source"], pdf["text"]):
-                if not text or text.isascii():
+            for source, text, n, own in zip(pdf["source"], pdf["words"], pdf["n"], pdf["weights"]):
+                words = text.split(" ")
+                e = reader.evidence(words) if reader else None
+                if e is None:
+                    chains[source, 0] += n
+                    for w in words:
+                        words_of[w] += n
                     continue
-                g = _group(source)
-                for line in text.split("\n"):
-                    words = foreign_words(line)
-                    if not words:
-                        continue
-                    p = reader.line(words, g) if reader else None
-                    if p is None:
-                        chains[g, 0] += 1.0
-                        for w in words:
-                            add(w, 1.0)
-                        continue
-                    for z in np.flatnonzero(p > 1e-3):
-                        chains[g, int(z)] += float(p[z])
-                        for w in words:
-                            add(next((u for k, u, _ in reader.word(w)[1] if k == z), w) if z else w, float(p[z]))
+                p = reader.posterior(e, reader.prior(own))
+                for z in np.flatnonzero(p > 1e-3):
+                    chains[source, int(z)] += n * float(p[z])
+                    for w in words:
+                        words_of[next((u for k, u, _ in reader.word(w)[1] if k == z), w) if z else w] += n * float(p[z])
+            if len(words_of) > 200_000:
+                spend()
         spend()
         for kind, table in (("pair", pairs), ("char", chars)):
             at = np.flatnonzero(table)
             if len(at):
-                yield pd.DataFrame({"kind": kind, "at": at, "n": table[at]})
+                yield pd.DataFrame({"kind": kind, "source": None, "at": at, "n": table[at]})
         if chains:
-            yield pd.DataFrame({"kind": "chain", "at": [g * 100 + z for g, z in chains], "n": list(chains.values())})
+            yield pd.DataFrame({"kind": "chain", "source": [k[0] for k in chains], "at": [k[1] for k in chains], "n": list(chains.values())})
 
-    return documents.select("source", "text").mapInPandas(run, "kind string, at bigint, n double").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    rows = _with_weights(lines, weights).select("source", "words", "n", "weights")
+    return rows.mapInPandas(run, "kind string, source string, at bigint, n double").groupBy("kind", "source", "at").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, rounds: int = 2) -> Model:
-    """EM over all documents.  ``documents``: source, text.
+def fit(documents: DataFrame, tolerance: float = 1e-3, most: int = 50) -> tuple[Model, DataFrame]:
+    """EM over all documents until no chain's weight in the corpus moves by more than ``tolerance``.  ``documents``: source, text.
 
-    Each round brings at most 2**18 + 2**14 counts and one weight a chain and
-    group of sources (2**10) to the driver.
+    Returns the model and the weights of the chains by source (source, weights).
+    Each round brings at most 2**18 + 2**14 counts and one weight a chain to the
+    driver.  ``most`` rounds are a guard, not the rule: a few settle it.
     """
-    model: Model | None = None
-    for _ in range(rounds + 1):
-        rows = _count(documents, model).toArrow().to_pandas()
+    lines = shared_checkpoint(foreign_lines(documents))
+    model, weights = None, None
+    for _ in range(most):
+        rows = shared_checkpoint(_expected(lines, weights, model))
+        table = rows.where("kind != 'chain'").select("kind", "at", "n").toArrow().to_pandas()
         new = Model()
-        at, n = rows["at"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        kind = rows["kind"].to_numpy()
-        for name, table in (("pair", new.pairs), ("char", new.chars)):
-            of = kind == name
-            table[at[of]] = n[of]
-        if model is not None:
-            weights: dict[int, np.ndarray] = {}
-            overall = np.full(len(CHAINS) + 1, 0.5)
-            for a, x in zip(at[kind == "chain"], n[kind == "chain"]):
-                weights.setdefault(int(a) // 100, np.zeros(len(CHAINS) + 1))[int(a) % 100] += x
-                overall[int(a) % 100] += x
-            overall /= overall.sum()
-            # a source with few lines leans on the corpus
-            new.priors = {g: (w + 50 * overall) / (w.sum() + 50) for g, w in weights.items()}
+        for kind, of in table.groupby("kind"):
+            (new.pairs if kind == "pair" else new.chars)[of["at"].to_numpy(np.int64)] = of["n"].to_numpy()
+        if model is None:
+            model = new
+            continue
+        chain = rows.where("kind = 'chain'")
+        overall = np.full(len(CHAINS) + 1, 0.5)
+        for r in chain.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a chain
+            overall[r["at"]] += r["n"]
+        new.overall = overall / overall.sum()
+        by = F.map_from_entries(F.collect_list(F.struct("at", "n")))  # an entry a chain
+        weights = chain.groupBy("source").agg(by.alias("m")).select("source", F.transform(F.sequence(F.lit(0), F.lit(len(CHAINS))), lambda z: F.coalesce(F.try_element_at("m", z.cast("bigint")), F.lit(0.0))).alias("weights"))
+        moved = np.abs(new.overall - model.overall).max()
         model = new
-    return model or Model()
+        if moved <= tolerance:
+            break
+    return model, weights
 
 
-def repair(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def repair(documents: DataFrame, fitted: tuple[Model, DataFrame], threshold: float = 0.5) -> DataFrame:
     """Garbled documents: doc_id, restored, chains, unrepaired.
 
     ``documents``: doc_id, source, text.  A document is garbled if a line's
@@ -347,24 +363,22 @@ def repair(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
     ``chains`` names them ('lost' for U+FFFD); ``unrepaired`` tells that
     characters stay lost.  Null and empty texts are never garbled.
     """
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    model, weights = fitted
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)
         for pdf in batches:
             rows = []
-            for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
-                if not text or text.isascii():
-                    continue
-                g, used, out = _group(source), {}, []
+            for doc, text, own in zip(pdf["doc_id"], pdf["text"], pdf["weights"]):
+                prior, used, out = reader.prior(own), {}, []
                 lines = [(line, foreign_words(line)) for line in text.split("\n")]
                 told = {line: reader.evidence(words) for line, words in lines if words}  # a line that is repeated speaks once
-                whole = reader.pooled([e for e in told.values() if e is not None], g)
+                whole = reader.pooled([e for e in told.values() if e is not None], prior)
                 for line, words in lines:
                     e, z = told.get(line), 0
                     if e is not None:
-                        p = reader.posterior(e, g)
+                        p = reader.posterior(e, prior)
                         z = int(p.argmax()) if 1 - p[0] >= threshold else 0
                         if not z and whole and np.isfinite(e[whole]) and e[whole] > 0:
                             z = whole
@@ -382,4 +396,5 @@ def repair(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
                     rows.append((doc, restored, ",".join(used), LOST in restored))
             yield pd.DataFrame(rows, columns=["doc_id", "restored", "chains", "unrepaired"])
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, restored string, chains string, unrepaired boolean")
+    read = _with_weights(documents.select("doc_id", "source", "text").where(F.col("text").rlike(_FOREIGN)), weights)
+    return read.select("doc_id", "text", "weights").mapInPandas(run, "doc_id bigint, restored string, chains string, unrepaired boolean")
