@@ -73,7 +73,7 @@ def _shape(raw: Column) -> Column:
 
 def _wall(y: str, mo: str, d: str) -> Column:
     """Microseconds of the wall-clock reading from the staged columns, null if date or time isn't valid."""
-    return F.expr(f"""case when {y} between 1900 and 2200 and {mo} between 1 and 12 and __h between 0 and 23
+    return F.expr(f"""case when {y} between 1 and 9999 and {mo} between 1 and 12 and __h between 0 and 23
         and __mi between 0 and 59 and __s between 0 and 59
         and {d} between 1 and day(last_day(make_date({y}, {mo}, 1)))
         then ((datediff(make_date({y}, {mo}, {d}), date'1970-01-01') * 24L + __h) * 60 + __mi) * 60000000L + __s * 1000000L + __us end""")

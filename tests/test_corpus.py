@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -196,3 +197,14 @@ def test_many_keys_over_several_bitmaps(spark):
     live = spark.range(100_000).where("id % 1000 <> 7").selectExpr("concat('k', id) as key")
     got = {r.key for r in orphans.orphan_references(refs, live).collect()}
     assert got == {f"k{i}" for i in range(100_000) if i % 1000 == 7}
+
+
+@given(st.lists(st.one_of(st.integers(0, 32_767), st.integers(100, 140)), max_size=60), st.lists(st.integers(0, 200), max_size=60), st.integers(0, 20_000), st.integers(0, 12_000))
+@settings(max_examples=150, deadline=None)
+def test_compressed_bitmaps(a, b, start, length):
+    for x in (set(a), set(a) | set(range(start, start + length)), set(range(start % 7, 32_768, 3))):
+        packed = orphans.compress(list(x))
+        assert set(np.flatnonzero(orphans.expand(packed))) == x and len(packed) <= 1 + min(2 * len(x), 4096)
+        for y in (None, set(b), set(range(50, 50 + length))):
+            assert set(orphans.and_not(packed, None if y is None else orphans.compress(list(y))).tolist()) == x - (y or set())
+    assert len(orphans.compress(list(range(9000)))) == 5

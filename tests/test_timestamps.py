@@ -18,7 +18,7 @@ ROWS = [
     ("2024-01-14T12:06:18+05:45[Asia/Kathmandu]", None),
     ("20230710T184648Z", None), ("1690060155110590", None), ("1688333826436", None), ("1688629928", None),
     ("2023-07-04T00:06:07.061999999Z", None), ("2023-07-10T18:47:18,851Z", None), ("2024-13-01 00:00:00Z", None),
-    ("2024-07-01 24:00:00Z", None), ("2024-07-01", "UTC"), ("2024-07-01T05", "UTC"), ("", "UTC"), (None, "UTC"), ("yesterday", "UTC"), ("2023/07/04 22:48:48 +0545", None),
+    ("2024-07-01 24:00:00Z", None), ("2024-07-01", "UTC"), ("2024-07-01T05", "UTC"), ("", "UTC"), (None, "UTC"), ("yesterday", "UTC"), ("2023/07/04 22:48:48 +0545", None), ("1850-07-01 12:00:00 UTC", None), ("9999-12-31T23:59:59.250Z", None), ("0000-12-31T23:59:59Z", None),
 ]
 
 
