@@ -28,33 +28,41 @@ def canonical_role(role: Column) -> Column:
     return F.when(r.isin("human", "user"), "user").when(r.isin("ai", "assistant"), "assistant").when(bare == "toolcall", "tool_call").when(bare == "toolresult", "tool_result").when(r == "system", "system")
 
 
-def log_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the claude-code and codex logs; a message sent again counts once, rows of no role are dropped."""
+def log_events(spark: SparkSession, d: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Events of the claude-code and codex logs; a message sent again counts once, rows of no role are dropped.
+
+    ``derived`` columns are worked out on each event as it is read, before
+    copies are looked for; of an event only what is used afterwards moves, so
+    that flags of a text travel in place of the text.
+    """
     zones = table(spark, d, "workspaces").select("cwd", "project")
-    m = table(spark, d, "session_messages").where(~F.col("rec_type").isin(*BOOKKEEPING))
-    first = Window.partitionBy("session_id", "msg_uuid").orderBy("line_no", "line_id")
-    m = m.withColumn("rn", F.row_number().over(first)).where("rn = 1").join(zones, "cwd", "left")
+    nul = F.lit(None).cast("string")
+    m = table(spark, d, "session_messages").where(F.col("rec_type").isNull() | ~F.col("rec_type").isin(*BOOKKEEPING))
     a = m.select(
-        F.concat(F.lit("claude-code/"), "session_id").alias("session_id"), F.lit("claude-code").alias("source_agent"), "project", F.lit(None).cast("string").alias("model"),
-        canonical_role(F.col("msg_role")).alias("role"), F.coalesce("msg_content", F.lit("")).alias("content"), F.col("msg_tool").alias("tool"),
-        F.col("line_no").cast("bigint").alias("seq"), F.col("received_at").alias("ts"), F.col("input_file_path").alias("path"), F.col("input_command").alias("command"),
+        F.concat(F.lit("claude-code/"), "session_id").alias("session_id"), F.lit("claude-code").alias("source_agent"), nul.alias("model"), canonical_role(F.col("msg_role")).alias("role"),
+        F.coalesce("msg_content", F.lit("")).alias("content"), F.col("msg_tool").alias("tool"), F.col("line_no").cast("bigint").alias("seq"), F.col("received_at").alias("ts"),
+        F.col("input_file_path").alias("path"), F.col("input_command").alias("command"), "cwd", F.coalesce("msg_uuid", F.concat(F.lit("line "), "line_id")).alias("__of"), F.col("line_id").alias("__id"),
     )
     r = table(spark, d, "rollout_records")
-    header = r.where("rec_type = 'Meta'").groupBy("source_file").agg(F.min("cwd").alias("cwd"), F.min("model").alias("model")).join(zones, "cwd", "left").drop("cwd")
-    once = Window.partitionBy("source_file", "line_no").orderBy("rec_id")
-    r = r.where("msg_role is not null").withColumn("rn", F.row_number().over(once)).where("rn = 1").drop("model", "cwd").join(header, "source_file", "left")
-    b = r.select(
-        F.concat(F.lit("codex/"), F.regexp_replace("source_file", r"\.jsonl$", "")).alias("session_id"), F.lit("codex").alias("source_agent"), "project", "model",
-        canonical_role(F.col("msg_role")).alias("role"), F.coalesce("msg_content", F.lit("")).alias("content"), F.col("msg_tool").alias("tool"),
-        F.col("line_no").cast("bigint").alias("seq"), F.col("received_at").alias("ts"), F.col("input_path").alias("path"), F.col("input_command").alias("command"),
+    header = r.where("rec_type = 'Meta'").groupBy("source_file").agg(F.min("cwd").alias("cwd"), F.min("model").alias("model"))
+    b = r.where("msg_role is not null").select(
+        F.concat(F.lit("codex/"), F.regexp_replace("source_file", r"\.jsonl$", "")).alias("session_id"), F.lit("codex").alias("source_agent"), canonical_role(F.col("msg_role")).alias("role"),
+        F.coalesce("msg_content", F.lit("")).alias("content"), F.col("msg_tool").alias("tool"), F.col("line_no").cast("bigint").alias("seq"), F.col("received_at").alias("ts"),
+        F.col("input_path").alias("path"), F.col("input_command").alias("command"), F.col("source_file").alias("__of"), F.col("rec_id").alias("__id"),
     )
-    return a.unionByName(b).where("role is not null")
+    a, b = (x.withColumns(derived or {}) for x in (a, b))
+    first = F.row_number().over(Window.partitionBy("session_id", "__of").orderBy("seq", "__id"))
+    once = F.row_number().over(Window.partitionBy("__of", "seq").orderBy("__id"))
+    a = a.withColumn("__n", first).where("__n = 1")
+    b = b.withColumn("__n", once).where("__n = 1").join(header.withColumnRenamed("source_file", "__of"), "__of", "left")
+    out = a.unionByName(b).where("role is not null").join(zones, "cwd", "left")
+    return out.select(*EVENT_COLUMNS, *(derived or {}))
 
 
 EVENTS_SQL = """raw as (
   select 'claude-code/' || session_id as session_id, 'claude-code' as source_agent, project, cast(null as varchar) as model, msg_role, coalesce(msg_content, '') as content,
     msg_tool as tool, cast(line_no as bigint) as seq, received_at as ts, input_file_path as path, input_command as command
-  from (select *, row_number() over (partition by session_id, msg_uuid order by line_no, line_id) as rn from session_messages where rec_type not in ('progress', 'file-history-snapshot')) m
+  from (select *, row_number() over (partition by session_id, coalesce(msg_uuid, 'line ' || line_id) order by line_no, line_id) as rn from session_messages where rec_type is null or rec_type not in ('progress', 'file-history-snapshot')) m
   left join workspaces using (cwd) where rn = 1
   union all
   select 'codex/' || regexp_replace(r.source_file, '\\.jsonl$', ''), 'codex', h.project, h.model, r.msg_role, coalesce(r.msg_content, ''), r.msg_tool, cast(r.line_no as bigint), r.received_at, r.input_path, r.input_command

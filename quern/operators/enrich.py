@@ -28,38 +28,45 @@ POSITIVE_SIGNALS = "thanks|works|great|perfect|done|looks good"
 FENCE = r"```([a-zA-Z0-9_+#-]*)\n([\s\S]*?)```"
 
 
-def manifest(events: DataFrame) -> DataFrame:
-    """One row a session: start, end, all events counted as turns, first and last role, distinct files, first model."""
-    return events.groupBy("session_id").agg(
+def signals() -> dict[str, Column]:
+    """What an event's text tells of the outcome, and its size: columns to be worked out where the text is read."""
+    c = F.col("content")
+    user, result = F.col("role") == "user", F.col("role") == "tool_result"
+    return {
+        "edit": F.coalesce((F.col("role") == "tool_call") & F.col("tool").isin(*EDIT_TOOLS), F.lit(False)),
+        "happy": user & c.rlike(SATISFACTION), "sad": user & c.rlike(FRUSTRATION), "complete": user & c.rlike(COMPLETION),
+        "error": result & c.rlike(TOOL_ERROR), "fine": result & c.rlike(TOOL_SUCCESS), "n_bytes": F.octet_length(c),
+    }
+
+
+def _with(events: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return events.withColumns({k: v for k, v in columns.items() if k not in events.columns})
+
+
+def _manifest() -> list[Column]:
+    return [
         F.first("source_agent").alias("source_agent"), F.max("project").alias("project"), F.min_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))).alias("model"),
         F.min_by("ts", "seq").alias("started"), F.max_by("ts", "seq").alias("ended"), F.count("*").alias("turns"),
-        F.min_by("role", "seq").alias("first_role"), F.max_by("role", "seq").alias("last_role"), F.count_distinct("path").alias("n_files"),
-        F.sum(F.octet_length("content")).alias("content_bytes"))
+        F.min_by("role", "seq").alias("first_role"), F.max_by("role", "seq").alias("last_role"), F.count_distinct("path").alias("n_files"), F.sum("n_bytes").alias("content_bytes")]
 
 
-def outcome(events: DataFrame, w: dict[str, int] | None = None) -> DataFrame:
-    """session_id, score, outcome.
+def manifest(events: DataFrame) -> DataFrame:
+    """One row a session: start, end, all events counted as turns, first and last role, distinct files, first model."""
+    return _with(events, {"n_bytes": F.octet_length("content")}).groupBy("session_id").agg(*_manifest())
 
-    The event before the last is found by a window; everything else is one
-    aggregation, in which a "last" is the value at the greatest matching seq.
-    """
-    w = WEIGHTS | (w or {})
-    c = F.col("content")
-    user, result, call = F.col("role") == "user", F.col("role") == "tool_result", F.col("role") == "tool_call"
-    edit = call & F.col("tool").isin(*EDIT_TOOLS)
-    e = events.select(
-        "session_id", "seq", "role", F.coalesce(edit, F.lit(False)).alias("edit"),
-        (user & c.rlike(SATISFACTION)).alias("happy"), (user & c.rlike(FRUSTRATION)).alias("sad"), (user & c.rlike(COMPLETION)).alias("complete"),
-        (result & c.rlike(TOOL_ERROR)).alias("error"), (result & c.rlike(TOOL_SUCCESS)).alias("fine"),
-    )
-    e = blocks.lag(e, "session_id", "seq", ["edit"], "prev").withColumn("after_edit", F.coalesce("prev.edit", F.lit(False)))
+
+def _outcome_parts() -> list[Column]:
     at = lambda cond: F.when(cond, F.col("seq"))
-    g = e.groupBy("session_id").agg(
-        F.count("*").alias("turns"), F.count_if("happy").alias("n_happy"), F.count_if("sad").alias("n_sad"), F.count_if("complete").alias("n_complete"),
+    return [
+        F.count("*").alias("n_turns"), F.count_if("happy").alias("n_happy"), F.count_if("sad").alias("n_sad"), F.count_if("complete").alias("n_complete"),
         F.max(at(F.col("happy"))).alias("last_happy"), F.max(at(F.col("sad"))).alias("last_sad"), F.max("error").alias("any_error"),
         F.max_by("error", at(F.col("error") | F.col("fine"))).alias("last_tool_error"), F.max(F.col("role") == "user").alias("any_user"),
-        F.max_by(F.struct("role", "edit", "error", "after_edit"), "seq").alias("end"))
-    short = F.col("turns") < w["min_turns"]
+        F.max_by(F.struct("role", "edit", "error", "after_edit"), "seq").alias("end")]
+
+
+def _score(w: dict[str, int]) -> tuple[Column, Column]:
+    """Score and label from the parts."""
+    short = F.col("n_turns") < w["min_turns"]
     satisfied = F.col("last_happy").isNotNull() & (F.col("last_sad").isNull() | (F.col("last_happy") > F.col("last_sad")))
     final_edit = F.when(F.col("end.role") == "tool_result", F.col("end.after_edit")).otherwise(F.col("end.edit"))
     score = (
@@ -70,7 +77,32 @@ def outcome(events: DataFrame, w: dict[str, int] | None = None) -> DataFrame:
         + F.when(F.col("last_tool_error").isNull(), 0).when(F.col("last_tool_error"), w["tool_failure"]).otherwise(w["tool_success"])
     )
     label = F.when(F.col("score") >= w["success_threshold"], "success").when(F.col("score") <= w["failure_threshold"], "failure").when(short & F.col("any_user"), "abandoned").otherwise("unknown")
-    return g.withColumn("score", score.cast("bigint")).select("session_id", "score", label.alias("outcome"))
+    return score.cast("bigint"), label
+
+
+def _marked(events: DataFrame) -> DataFrame:
+    e = blocks.lag(_with(events, signals()), "session_id", "seq", ["edit"], "prev")
+    return e.withColumn("after_edit", F.coalesce("prev.edit", F.lit(False))).drop("prev")
+
+
+def outcome(events: DataFrame, w: dict[str, int] | None = None) -> DataFrame:
+    """session_id, score, outcome.
+
+    The event before the last is found by a window; everything else is one
+    aggregation, in which a "last" is the value at the greatest matching seq.
+    Events that bring the columns of ``signals`` need no text.
+    """
+    score, label = _score(WEIGHTS | (w or {}))
+    return _marked(events).groupBy("session_id").agg(*_outcome_parts()).withColumn("score", score).select("session_id", "score", label.alias("outcome"))
+
+
+def facts(events: DataFrame, w: dict[str, int] | None = None) -> DataFrame:
+    """Manifest, score and outcome of each session, from one aggregation."""
+    score, label = _score(WEIGHTS | (w or {}))
+    g = _marked(events).groupBy("session_id").agg(*_manifest(), *_outcome_parts()).withColumn("score", score).withColumn("outcome", label)
+    return g.select(
+        "session_id", "source_agent", "project", "model", "started", "ended", "turns", "first_role", "last_role", "n_files", "content_bytes", "score", "outcome",
+        (F.col("any_error") & ~(F.col("last_happy").isNotNull() & (F.col("last_sad").isNull() | (F.col("last_happy") > F.col("last_sad"))))).alias("unresolved"))
 
 
 def byte_prefix(text: Column, n: int) -> Column:
@@ -121,34 +153,57 @@ def code_artifacts(events: DataFrame) -> DataFrame:
 
 
 def solution_start(events: DataFrame) -> DataFrame:
-    """session_id, from_seq: where the solution begins, at the last error or, without one, a third of the way in."""
-    e = events.select("session_id", "seq", F.lit(1).alias("one"), ((F.col("role") == "tool_result") & F.col("content").rlike(TOOL_ERROR)).alias("error"))
+    """session_id, from_idx: where the solution begins, at the last error of a tool or, without one, a third of the way in."""
+    e = _with(events, {"error": signals()["error"]}).select("session_id", "seq", F.lit(1).alias("one"), "error")
     e = blocks.running(e, "session_id", "seq", "one", "idx")
     g = e.groupBy("session_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("error"), F.col("idx"))).alias("last_error"))
     return g.select("session_id", F.coalesce("last_error", F.floor(F.col("n") / 3)).cast("bigint").alias("from_idx"))
 
 
-def rejection_windows(events: DataFrame) -> DataFrame:
+def step() -> dict[str, Column]:
+    """What an event is to the search for failed attempts: 1 a failed result, 2 another result, 3 a call, 4 a welcome message, null nothing."""
+    role, text = F.col("role"), F.lower("content")
+    one = F.when((role == "tool_result") & text.rlike(ERROR_SIGNALS), 1).when(role == "tool_result", 2).when(role == "tool_call", 3)
+    return {"step": one.when((role == "user") & text.rlike(POSITIVE_SIGNALS), 4).cast("int")}
+
+
+def welcome() -> dict[str, Column]:
+    return {"welcome": (F.col("role") == "user") & F.lower("content").rlike(POSITIVE_SIGNALS)}
+
+
+def rejection_windows(events: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
     """session_id, start_idx, end_idx, attempts of sessions that tried in vain (half-open).
 
-    The state machine is a fold over the session's steps, of which only a place
-    and a code (5 bytes) are gathered, not the texts.
+    A welcome message resets everything, so a session falls into spans between
+    such messages, and a span into the parts that lie in blocks.  All that a part
+    needs of those before it is whether their last result failed: its calls are
+    counted in two sums, and the parts' sums are put together.
     """
-    c = F.lower("content")
-    code = (
-        F.when((F.col("role") == "tool_result") & c.rlike(ERROR_SIGNALS), 1).when(F.col("role") == "tool_result", 2)
-        .when(F.col("role") == "tool_call", 3).when((F.col("role") == "user") & c.rlike(POSITIVE_SIGNALS), 4)
+    e = _with(events, step())
+    steps = blocks.running(e.select("session_id", "seq", F.lit(1).alias("one"), "step"), "session_id", "seq", "one", "idx").where("step is not null")
+    s = steps.select("session_id", F.floor(F.col("idx") / block).alias("blk"), "idx", "step")
+    before = Window.partitionBy("session_id", "blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("part", F.coalesce(F.count_if(F.col("step") == 4).over(before), F.lit(0)))
+    since = Window.partitionBy("session_id", "blk", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("last_result", F.last(F.when(F.col("step").isin(1, 2), F.col("step")), ignorenulls=True).over(since))
+    parts = s.groupBy("session_id", "blk", "part").agg(
+        F.count_if((F.col("step") == 3) & (F.col("last_result") == 1)).alias("sure"),  # calls behind a failure of this part
+        F.count_if((F.col("step") == 3) & F.col("last_result").isNull()).alias("carried"),  # calls before any result of this part
+        F.min(F.when(F.col("step") == 1, F.col("idx"))).alias("first_error"), F.max(F.when(F.col("step") == 1, F.col("idx"))).alias("last_error"),
+        F.max_by("step", F.when(F.col("step").isin(1, 2), F.col("idx"))).alias("end_result"), F.max(F.col("step") == 4).alias("welcomed"),
     )
-    steps = blocks.running(events.select("session_id", "seq", F.lit(1).alias("one"), code.alias("code")), "session_id", "seq", "one", "idx").where("code is not null")
-    folded = steps.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("code").cast("tinyint").alias("code")))).alias("steps"))
-    return folded.selectExpr("session_id", """aggregate(steps,
-        named_struct('a', 0, 's', cast(null as int), 'e', cast(null as int), 'c', 0, 'out', false),
-        (z, x) -> if(z.out, z, case x.code
-            when 1 then named_struct('a', z.a, 's', coalesce(z.s, greatest(x.idx - 5, 0)), 'e', x.idx, 'c', z.c + 1, 'out', false)
-            when 2 then named_struct('a', z.a, 's', z.s, 'e', z.e, 'c', 0, 'out', false)
-            when 3 then named_struct('a', if(z.c > 0, z.a + 1, z.a), 's', z.s, 'e', z.e, 'c', z.c, 'out', false)
-            else named_struct('a', 0, 's', cast(null as int), 'e', z.e, 'c', 0, 'out', z.a >= 2) end)) as z""").where(
-        "not z.out and z.a >= 2 and z.s is not null").selectExpr("session_id", "z.s as start_idx", "z.e + 1 as end_idx", "z.a as attempts")
+    # what lies between two welcome messages is one span; its number is that of the messages before it
+    welcomes = s.groupBy("session_id", "blk").agg(F.count_if(F.col("step") == 4).alias("n"))
+    base = welcomes.select("session_id", "blk", F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    spans = parts.join(base, ["session_id", "blk"]).withColumn("span", F.col("base") + F.col("part"))
+    w = Window.partitionBy("session_id", "span").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("pending", F.last("end_result", ignorenulls=True).over(w) == 1)
+    g = spans.groupBy("session_id", "span").agg(
+        F.sum(F.col("sure") + F.when(F.col("pending"), F.col("carried")).otherwise(0)).alias("attempts"), F.min("first_error").alias("first_error"), F.max("last_error").alias("last_error"), F.max("welcomed").alias("welcomed"))
+    # out: a welcome message after two attempts; else the last span decides, while the last error of all is kept
+    t = g.groupBy("session_id").agg(F.max(F.col("welcomed") & (F.col("attempts") >= 2)).alias("out"), F.max_by(F.struct("attempts", "first_error", "welcomed"), "span").alias("z"), F.max("last_error").alias("last_error"))
+    t = t.where("not out and not z.welcomed and z.attempts >= 2 and z.first_error is not null")
+    return t.select("session_id", F.greatest(F.col("z.first_error") - 5, F.lit(0)).cast("int").alias("start_idx"), (F.col("last_error") + 1).cast("int").alias("end_idx"), F.col("z.attempts").cast("int").alias("attempts"))
 
 
 def escalations(prints: DataFrame, least: int = 3) -> DataFrame:
@@ -176,7 +231,12 @@ def alternatives(prints: DataFrame, ended_well: DataFrame, failed: DataFrame, mo
 
 
 def ended_well(events: DataFrame, last: int = 5) -> DataFrame:
-    """session_id of sessions with a welcome user message among the last events."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq"))
-    e = events.select("session_id", "seq", ((F.col("role") == "user") & F.lower("content").rlike(POSITIVE_SIGNALS)).alias("good"))
-    return e.withColumn("rn", F.row_number().over(w)).where(f"rn <= {last} and good").select("session_id").distinct()
+    """session_id of sessions with a welcome user message among the last events.
+
+    The last events of each block are found first, those of the session among
+    them, so that no session is sorted as a whole.
+    """
+    e = _with(events, welcome()).select("session_id", "seq", "welcome", F.floor(F.col("seq") / blocks.BLOCK).alias("blk"))
+    near = e.withColumn("rn", F.row_number().over(Window.partitionBy("session_id", "blk").orderBy(F.desc("seq")))).where(F.col("rn") <= last)
+    w = Window.partitionBy("session_id").orderBy(F.desc("seq"))  # a few rows a block
+    return near.withColumn("rn", F.row_number().over(w)).where(f"rn <= {last} and welcome").select("session_id").distinct()

@@ -50,19 +50,18 @@ _FACTS = f"""{_OUTCOME}, facts as (
 
 def session_facts(spark: SparkSession, d: str) -> DataFrame:
     """One row a session with its outcome; every report derives from it."""
-    ev = log_events(spark, d)
-    return enrich.manifest(ev).join(enrich.outcome(ev).select("session_id", "outcome"), "session_id")
+    return enrich.facts(log_events(spark, d, enrich.signals())).drop("score", "unresolved")
 
 
 @query("outcome_detect", f"{_OUTCOME} select session_id, score, outcome from outcomes")
 def outcome_detect(spark, d):
-    return enrich.outcome(log_events(spark, d))
+    return enrich.outcome(log_events(spark, d, enrich.signals()))
 
 
 @query("manifest", f"""with {EVENTS_SQL} select session_id, min_by(ts, seq) as started, max_by(ts, seq) as ended, count(*) as turns, min_by(role, seq) as first_role,
     max_by(role, seq) as last_role, count(distinct path) as n_files from ev group by 1""")
 def manifest(spark, d):
-    return enrich.manifest(log_events(spark, d)).select("session_id", "started", "ended", "turns", "first_role", "last_role", "n_files")
+    return enrich.manifest(log_events(spark, d, {"n_bytes": F.octet_length("content")})).select("session_id", "started", "ended", "turns", "first_role", "last_role", "n_files")
 
 
 @query("content_concat", f"""with {EVENTS_SQL} select session_id, md5(string_agg(role || ': ' || case when role = 'tool_result' then left(content, 1000) else content end, chr(10) || chr(10) order by seq)) as digest from ev group by 1""")
@@ -90,15 +89,14 @@ def final_artifact(spark, d):
 @query("signal_last_wins", f"""{_FLAGS} select session_id, coalesce(max(seq) filter (where happy), -1) as last_happy, coalesce(max(seq) filter (where sad), -1) as last_sad,
     coalesce(max(seq) filter (where happy) > coalesce(max(seq) filter (where sad), -1), false) as satisfied from f group by 1""")
 def signal_last_wins(spark, d):
-    c, user = F.col("content"), F.col("role") == "user"
-    g = log_events(spark, d).groupBy("session_id").agg(F.max(F.when(user & c.rlike(enrich.SATISFACTION), F.col("seq"))).alias("last_happy"), F.max(F.when(user & c.rlike(enrich.FRUSTRATION), F.col("seq"))).alias("last_sad"))
+    g = log_events(spark, d, enrich.signals()).groupBy("session_id").agg(F.max(F.when(F.col("happy"), F.col("seq"))).alias("last_happy"), F.max(F.when(F.col("sad"), F.col("seq"))).alias("last_sad"))
     return g.na.fill(-1, ["last_happy", "last_sad"]).withColumn("satisfied", F.col("last_happy") > F.col("last_sad"))
 
 
 @query("solution_window", f"""{_FLAGS}, i as (select session_id, err, row_number() over (partition by session_id order by seq) - 1 as idx from f)
     select session_id, cast(coalesce(max(idx) filter (where err), count(*) // 3) as bigint) as from_idx from i group by 1""")
 def solution_window(spark, d):
-    return enrich.solution_start(log_events(spark, d))
+    return enrich.solution_start(log_events(spark, d, enrich.signals()))
 
 
 _ZERO = "{'a': 0, 's': -1, 'e': -1, 'c': 0, 'o': 0, 'i': cast(-1 as bigint), 'k': 0}"
@@ -114,14 +112,17 @@ _KEEP = "'i': x.i, 'k': 0}"
       else {{'a': 0, 's': -1, 'e': z.e, 'c': 0, 'o': case when z.a >= 2 then 1 else 0 end, {_KEEP} end) as z from l)
     select session_id, z.s as start_idx, z.e + 1 as end_idx, z.a as attempts from z where z.o = 0 and z.a >= 2 and z.s >= 0""")
 def rejection_window(spark, d):
-    return enrich.rejection_windows(log_events(spark, d))
+    return enrich.rejection_windows(log_events(spark, d, enrich.step()))
+
 
+def _prints() -> dict:
+    return {"prints": F.when(F.col("role") == "tool_result", T.error_fingerprints(F.col("content")))}
 
-def _fingerprints(spark, d) -> DataFrame:
-    ev = log_events(spark, d).where("role = 'tool_result'")
-    # a text's fingerprints are worked out once a distinct text
-    prints = ev.select("content").distinct().select("content", F.explode(T.error_fingerprints(F.col("content"))).alias("fingerprint"))
-    return ev.join(prints, "content").select("session_id", "source_agent", "project", "seq", "ts", "fingerprint")
+
+def _fingerprints(spark, d, events: DataFrame | None = None) -> DataFrame:
+    """session_id, source_agent, project, seq, ts, fingerprint of tool results; worked out where the text is read."""
+    ev = log_events(spark, d, _prints()) if events is None else events
+    return ev.where("size(prints) > 0").select("session_id", "source_agent", "project", "seq", "ts", F.explode("prints").alias("fingerprint"))
 
 
 def _sql_norm(e: str) -> str:
@@ -183,9 +184,9 @@ def agg_new_errors(spark, d):
       and a.session_id in (select session_id from facts where outcome in ('failure', 'abandoned')) and b.session_id in (select session_id from good))
     select session_id, alternative from (select *, row_number() over (partition by session_id order by alternative) as rn from pairs) where rn <= 5""")
 def alternatives_semi(spark, d):
-    ev = log_events(spark, d)
+    ev = log_events(spark, d, enrich.signals() | enrich.welcome() | _prints())
     failed = enrich.outcome(ev).where("outcome in ('failure', 'abandoned')").select("session_id")
-    return enrich.alternatives(_fingerprints(spark, d), enrich.ended_well(ev), failed)
+    return enrich.alternatives(_fingerprints(spark, d, ev), enrich.ended_well(ev), failed)
 
 
 _RATE = "coalesce(100.0 * count(*) filter (where outcome = 'success') / nullif(count(*), 0), 0)"
