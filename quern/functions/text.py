@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # What counts as an error message, in order.
 ERROR_PATTERNS = [
@@ -66,6 +69,7 @@ PROBLEM = {
     "investigation": r"(?i)\b(explain|how does|what is|why|understand|investigate|explore|look into|figure out)\b",
     "documentation": r"(?i)\b(document|readme|changelog|docstring|comment|docs)\b",
 }
+# Names of configuration files and of documentation.
 CONFIG_FILE = r"Dockerfile|Makefile|docker-compose\.ya?ml|\.env|\.(?:toml|yaml|yml|json|ini|cfg|conf)$"
 DOC_FILE = r"\.(?:md|rst|txt|adoc)$"
 # Tags of file extensions and of commands.
@@ -87,6 +91,15 @@ PATH_PATTERNS = [
     r"(?:^|\s)([~/][^\s,\)]+|/\S+)",
     r"(?:^|\s)((?:\w[\w\-]*/)+[\w\-]+\.[a-z]{1,8})(?:\s|$|,|\))",
 ]
+FILE_EXTENSIONS = [
+    "rs", "py", "js", "ts", "tsx", "jsx", "go", "java", "c", "cpp", "h", "hpp", "cs", "php", "rb", "swift", "kt", "scala", "sh", "bash", "zsh", "fish",
+    "toml", "yaml", "yml", "json", "xml", "html", "css", "scss", "sass", "md", "txt", "rst", "adoc", "sql", "db", "sqlite", "db3", "lock", "sum", "mod",
+    "gitignore", "dockerignore", "env", "dockerfile", "makefile", "cmakelists", "gradle", "pom",
+]
+TASK_EXTENSIONS = ["rs", "py", "ts", "js", "tsx", "jsx", "go", "java", "c", "cpp", "h", "hpp", "rb", "php", "sh", "yaml", "yml", "toml", "json", "md"]
+TASK_FOLDERS = [
+    "src/", "tests?/", None, "lib/", "cmd/", "pkg/", "internal/", "api/", "components?", "handlers?", "middlewares?", "utils?", "helpers?", "models?", "views?", "controllers?", "services?", "routes?", "config/",
+]  # in this order; None: any path with a known extension
 CORRECTIONS = [
     r"(?i)don'?t use\s+(\S+).*?(?:use|try|prefer)\s+(\S+)",
     r"(?i)(?:use|try|prefer)\s+(\S+)\s+instead\s+of\s+(\S+)",
@@ -95,11 +108,19 @@ CORRECTIONS = [
     r"(?i)prefer\s+(\S+)\s+over\s+(\S+)",
     r"(?i)(\S+)\s+is\s+(?:not\s+)?preferred",
 ]
+# Commands that stand in for each other.
 COMPETING_TOOLS = [("pnpm", "npm"), ("pnpm", "yarn"), ("yarn", "npm"), ("bun", "npm"), ("cargo", "rustup"), ("pip", "conda"), ("pytest", "unittest"), ("vitest", "jest"), ("pnpm", "bun")]
-STOP_WORDS = (
-    "about after all also and are because been being but can could did does doing each for from get got had has have her how into its just like make may new "
-    "not now old one other our out over see should some such than that the their them then there these this was way were who will with would you"
-).split()
+# Words that tell nothing about a text.
+STOP_WORDS = [
+    "about", "after", "all", "also", "and", "are", "because", "been", "being", "but", "can", "could", "did", "does", "doing", "each", "for", "from", "get", "got",
+    "had", "has", "have", "her", "how", "into", "its", "just", "like", "make", "may", "new", "not", "now", "old", "one", "other", "our", "out", "over",
+    "see", "should", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "this", "was", "way", "were", "who", "will", "with", "would", "you",
+]
+
+
+def quoted(words: str) -> str:
+    """A text as a pattern that matches it and nothing else, in the notation that all engines share."""
+    return "".join(c if c.isalnum() or c in " _-" else "\\" + c for c in words)
 
 
 def normalize_error(e: Column) -> Column:
@@ -178,9 +199,34 @@ def file_paths(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in PATH_PATTERNS]))))
 
 
+def path_like(path: Column) -> Column:
+    """Whether a text looks like a file's path: by how it begins, or by a known extension; addresses and coloured text do not."""
+    other = path.rlike(r"^(?:https?|ftp)://") | path.contains("\x1b")
+    return ~other & (path.rlike(r"^(?:~/|\.{1,2}/|/[\p{L}\p{N}])") | path.rlike(r"\.(?:" + "|".join(FILE_EXTENSIONS) + r")$"))
+
+
+def resolve_path(path: Column, project: Column, home: Column) -> Column:
+    """A path made absolute: as it is, below the home folder, or below the project; without a project as it is."""
+    joined = F.concat(F.regexp_replace(project, "/+$", ""), F.lit("/"), path)
+    return F.when(path.startswith("/"), path).when(path.startswith("~/") & home.isNotNull(), F.concat(F.regexp_replace(home, "/+$", ""), F.lit("/"), F.substring(path, 3, 1 << 30))).when(project.isNotNull(), joined).otherwise(path)
+
+
+def task_paths(task: str) -> list[str]:
+    """File paths that a task names, in the order of the patterns and then of the text."""
+    name = r"[a-zA-Z0-9_/\-.]+\."
+    patterns = [name + "(?:" + "|".join(TASK_EXTENSIONS) + ")" if f is None else f + name + "[a-z]{2,4}" for f in TASK_FOLDERS]
+    return list(dict.fromkeys(m[0] for p in patterns for m in re.finditer(p, task)))
+
+
+def path_parts(path: Column) -> Column:
+    """struct(name, extension, parent): the last part of a path, what stands behind its last dot, and what stands before."""
+    name = F.regexp_extract(path, r"[^/]*$", 0)
+    return F.struct(name.alias("name"), F.nullif(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1), F.lit("")).alias("extension"), F.nullif(F.regexp_replace(path, r"/?[^/]*$", ""), F.lit("")).alias("parent"))
+
+
 def corrections(text: Column) -> Column:
-    """First match of each correction pattern, trimmed, of 5 to 200 bytes, distinct."""
-    hits = F.transform(F.array(*[F.regexp_extract(text, p, 0) for p in CORRECTIONS]), F.trim)
+    """First match of each correction pattern, trimmed and without closing punctuation, of 5 to 200 bytes, distinct."""
+    hits = F.transform(F.array(*[F.regexp_extract(text, p, 0) for p in CORRECTIONS]), lambda x: F.trim(F.regexp_replace(F.trim(x), r"[.!?,]+$", "")))
     return F.array_distinct(F.filter(hits, lambda x: F.octet_length(x).between(5, 200)))
 
 
@@ -194,9 +240,35 @@ def token_cost(snippet_: Column, summary: Column) -> Column:
     return F.ceil((F.octet_length(snippet_) + F.octet_length(F.coalesce(summary, F.lit("")))) / 4)
 
 
+def _osa(a: str, b: str) -> int:
+    """Edit distance in which a swap of neighbours counts as one edit."""
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        before, last = last, row
+    return last[-1]
+
+
+@F.pandas_udf(IntegerType())
+def _osa_column(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def osa_within(a: Column, b: Column, d: int = 1) -> Column:
-    """Edit distance at most d, a swap of neighbours counting as one edit (exact for d = 1)."""
+    """Whether the edit distance is at most d, a swap of neighbours counting as one edit.
+
+    Up to one edit in built-in functions; beyond that the values that can be
+    within it (a swap is two edits to the built-in distance) are worked out.
+    """
     lev = F.levenshtein(a, b)
+    if d > 1:
+        return F.when(lev <= d, True).when(lev > 2 * d, False).otherwise(_osa_column(a, b) <= d)
     n = F.length(a)
     swap = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, n)) == b)
     return (lev <= d) | ((F.length(b) == n) & (n >= 2) & (lev == 2) & swap) if d == 1 else lev <= d

@@ -131,15 +131,18 @@ def content(events: DataFrame, tool_bytes: int = 1000, cap: int = 500_000) -> Da
     return g.select("session_id", F.when(F.col("bytes") > cap, cut).otherwise(F.col("content")).alias("content"))
 
 
-def summary(events: DataFrame, limit: int = 80) -> DataFrame:
-    """session_id, summary: the first user prompt on one line, cut at a blank, or a fixed text."""
+NO_PROMPT = "Session with no user prompt"
+
+
+def summary(events: DataFrame, limit: int = 80, missing: str | None = NO_PROMPT) -> DataFrame:
+    """session_id, summary: the first user prompt on one line, cut at a blank, or ``missing``."""
     first = events.where("role = 'user'").groupBy("session_id").agg(F.min_by("content", "seq").alias("p"))
     clean = F.trim(F.regexp_replace("p", r"\s+", " "))
     cut = F.left(F.col("clean"), F.lit(limit))
     at_blank = F.concat(F.when(cut.contains(" "), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut), F.lit("..."))
     out = first.withColumn("clean", clean).select("session_id", F.when(F.length("clean") <= limit, F.col("clean")).otherwise(at_blank).alias("prompt"))
     every = events.select("session_id").distinct()
-    return every.join(out, "session_id", "left").select("session_id", F.coalesce(F.nullif(F.col("prompt"), F.lit("")), F.lit("Session with no user prompt")).alias("summary"))
+    return every.join(out, "session_id", "left").select("session_id", F.coalesce(F.nullif(F.col("prompt"), F.lit("")), F.lit(missing)).alias("summary"))
 
 
 def code_artifacts(events: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ UNICODE, ASCII = r"[^\p{L}\p{N}]+", r"[^a-z0-9]+"
 
 
 def tokens(text: Column, pattern: str = UNICODE) -> Column:
-    """Lower-cased runs of letters and digits of at most 40 characters."""
-    return F.filter(F.split(F.lower(text), pattern), lambda t: (t != "") & (F.length(t) <= 40))
+    """Lower-cased runs of letters and digits of at most 40 bytes."""
+    return F.filter(F.split(F.lower(text), pattern), lambda t: (t != "") & (F.octet_length(t) <= 40))
 
 
 def lengths(docs: DataFrame, pattern: str = UNICODE) -> DataFrame:
@@ -68,11 +68,11 @@ def vocabulary(docs: DataFrame, pattern: str = UNICODE) -> DataFrame:
     return postings(docs, None, pattern).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def fuzzy_terms(vocab: DataFrame, word: str, d: int = 1) -> DataFrame:
-    """Terms of the vocabulary within the distance of a word; lengths are compared before distances."""
+def fuzzy_terms(vocab: DataFrame, word: str, d: int = 1, *by: str) -> DataFrame:
+    """Terms of the vocabulary (and the columns ``by``) within the distance of a word; lengths are compared before distances."""
     w = word.lower()
     near = vocab.where(F.length("term").between(len(w) - d, len(w) + d))
-    return near.where(osa_within(F.col("term"), F.lit(w), d)).select("term")
+    return near.where(osa_within(F.col("term"), F.lit(w), d)).select(*by, "term")
 
 
 def fuzzy(docs: DataFrame, words: list[str], d: int = 1, pattern: str = UNICODE) -> DataFrame:

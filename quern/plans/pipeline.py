@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.adapters import EVENTS_SQL, USAGE_SQL, log_events, usage_turns
 from quern.operators import capacity, enrich, relational
-from quern.plans import sessions
+from quern.plans import search, sessions
 from quern.session import table
 
 Q: dict = {}
@@ -72,10 +72,7 @@ def stream_window_counts(spark, d):
     select c.commit_id, f.session_id from c join facts f on c.project = f.project and c.ts between f.started and f.ended + interval 2 hour""")
 def interval_commits(spark, d):
     """Version-control commands within the sessions of their project, up to two hours after the end."""
-    m = table(spark, d, "session_messages").where("input_command like 'git %'").join(table(spark, d, "workspaces").select("cwd", "project"), "cwd")
-    c = m.select(F.col("line_id").alias("commit_id"), F.col("received_at").alias("ts"), "project")
-    f = sessions.session_facts(spark, d).where("project is not null").select("session_id", "project", "started", (F.col("ended") + F.expr("interval 2 hours")).alias("until"))
-    return relational.interval_join(c, f, "project", "ts", "started", "until").select("commit_id", "session_id")
+    return search.commits_in_sessions(spark, d)
 
 
 @add("commit_index", f"""{sessions._FACTS}, h as (select md5(session_id) as full_hash, session_id, started from facts), k as (select full_hash as hash, session_id, started from h union all select left(full_hash, 3), session_id, started from h)

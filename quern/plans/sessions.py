@@ -103,26 +103,29 @@ _ZERO = "{'a': 0, 's': -1, 'e': -1, 'c': 0, 'o': 0, 'i': cast(-1 as bigint), 'k'
 _KEEP = "'i': x.i, 'k': 0}"
 
 
-@query("rejection_window", f"""with {EVENTS_SQL}, n as (select session_id, row_number() over (partition by session_id order by seq) - 1 as i, case when role = 'tool_result' and regexp_matches(lower(content), '{enrich.ERROR_SIGNALS}') then 1
+_REJECT = f"""n as (select session_id, row_number() over (partition by session_id order by seq) - 1 as i, case when role = 'tool_result' and regexp_matches(lower(content), '{enrich.ERROR_SIGNALS}') then 1
       when role = 'tool_result' then 2 when role = 'tool_call' then 3 when role = 'user' and regexp_matches(lower(content), '{enrich.POSITIVE_SIGNALS}') then 4 end as k from ev),
     l as (select session_id, list({{'a': 0, 's': -1, 'e': -1, 'c': 0, 'o': 0, 'i': i, 'k': k}} order by i) as xs from n where k is not null group by 1),
     z as (select session_id, list_reduce(list_prepend({_ZERO}, xs), lambda z, x: case when z.o = 1 then z
       when x.k = 1 then {{'a': z.a, 's': case when z.s >= 0 then z.s else cast(greatest(x.i - 5, 0) as integer) end, 'e': cast(x.i as integer), 'c': z.c + 1, 'o': 0, {_KEEP}
       when x.k = 2 then {{'a': z.a, 's': z.s, 'e': z.e, 'c': 0, 'o': 0, {_KEEP} when x.k = 3 then {{'a': z.a + case when z.c > 0 then 1 else 0 end, 's': z.s, 'e': z.e, 'c': z.c, 'o': 0, {_KEEP}
-      else {{'a': 0, 's': -1, 'e': z.e, 'c': 0, 'o': case when z.a >= 2 then 1 else 0 end, {_KEEP} end) as z from l)
-    select session_id, z.s as start_idx, z.e + 1 as end_idx, z.a as attempts from z where z.o = 0 and z.a >= 2 and z.s >= 0""")
+      else {{'a': 0, 's': -1, 'e': z.e, 'c': 0, 'o': case when z.a >= 2 then 1 else 0 end, {_KEEP} end) as z from l),
+    rejected as (select session_id, z.s as start_idx, z.e + 1 as end_idx, z.a as attempts from z where z.o = 0 and z.a >= 2 and z.s >= 0)"""
+
+
+@query("rejection_window", f"with {EVENTS_SQL}, {_REJECT} select session_id, start_idx, end_idx, attempts from rejected")
 def rejection_window(spark, d):
     return enrich.rejection_windows(log_events(spark, d, enrich.step()))
 
 
 def _prints() -> dict:
-    return {"prints": F.when(F.col("role") == "tool_result", T.error_fingerprints(F.col("content")))}
+    return {"prints": T.error_fingerprints(F.col("content"))}
 
 
 def _fingerprints(spark, d, events: DataFrame | None = None) -> DataFrame:
-    """session_id, source_agent, project, seq, ts, fingerprint of tool results; worked out where the text is read."""
+    """session_id, source_agent, project, role, seq, ts, fingerprint of every event; worked out where the text is read."""
     ev = log_events(spark, d, _prints()) if events is None else events
-    return ev.where("size(prints) > 0").select("session_id", "source_agent", "project", "seq", "ts", F.explode("prints").alias("fingerprint"))
+    return ev.where("size(prints) > 0").select("session_id", "source_agent", "project", "role", "seq", "ts", F.explode("prints").alias("fingerprint"))
 
 
 def _sql_norm(e: str) -> str:
@@ -133,8 +136,8 @@ def _sql_norm(e: str) -> str:
 
 _PATS = [p.replace("'", "''") for p in T.ERROR_PATTERNS]
 _MATCHES = "list_concat(" * (len(_PATS) - 1) + f"regexp_extract_all(content, '{_PATS[0]}', 0)" + "".join(f", regexp_extract_all(content, '{p}', 0))" for p in _PATS[1:])
-_FP = f"""fp as (select distinct session_id, source_agent, project, seq, ts, case when strlen(n) > 200 and strlen(regexp_replace(n, ' [^ ]*$', '')) > 150 then regexp_replace(n, ' [^ ]*$', '') else n end as fingerprint
-    from (select session_id, source_agent, project, seq, ts, {_sql_norm('m')} as n from (select session_id, source_agent, project, seq, ts, unnest({_MATCHES}) as m from ev where role = 'tool_result')))"""
+_FP = f"""fp as (select distinct session_id, source_agent, project, role, seq, ts, case when strlen(n) > 200 and strlen(regexp_replace(n, ' [^ ]*$', '')) > 150 then regexp_replace(n, ' [^ ]*$', '') else n end as fingerprint
+    from (select session_id, source_agent, project, role, seq, ts, {_sql_norm('m')} as n from (select session_id, source_agent, project, role, seq, ts, unnest({_MATCHES}) as m from ev)))"""
 
 
 @query("err_fingerprint", f"with {EVENTS_SQL}, {_FP} select session_id, seq, fingerprint from fp")
@@ -142,9 +145,9 @@ def err_fingerprint(spark, d):
     return _fingerprints(spark, d).select("session_id", "seq", "fingerprint")
 
 
-@query("escalation", f"with {EVENTS_SQL}, {_FP} select session_id, count(distinct fingerprint) as fingerprints, min(seq) as first_seq, max(seq) as last_seq from fp group by 1 having count(distinct fingerprint) >= 3")
+@query("escalation", f"with {EVENTS_SQL}, {_FP} select session_id, count(distinct fingerprint) as fingerprints, min(seq) as first_seq, max(seq) as last_seq from fp where role = 'tool_result' group by 1 having count(distinct fingerprint) >= 3")
 def escalation(spark, d):
-    return enrich.escalations(_fingerprints(spark, d))
+    return enrich.escalations(_fingerprints(spark, d).where("role = 'tool_result'"))
 
 
 _RECUR = f"""{_FACTS}, {_FP}, per as (select session_id, source_agent, project, fingerprint, count(*) as n, max(ts) as last_ts from fp group by 1, 2, 3, 4)
@@ -345,12 +348,6 @@ def file_paths_extract(spark, d):
     return e.where(F.size("p") > 0).select("session_id", "seq", F.array_join("p", "|").alias("paths"))
 
 
-@query("corrections")
-def corrections(spark, d):
-    e = log_events(spark, d).where("role = 'user'").select("project", F.explode(T.corrections(F.col("content"))).alias("correction"))
-    return e.groupBy("project", "correction").agg(F.count("*").alias("n"))
-
-
 @query("rules_commands", f"""with {EVENTS_SQL} select project, cmd as command, n from (select *, row_number() over (partition by project order by n desc, cmd) as rn from (select project, regexp_split_to_array(trim(command), '\\s+')[1] as cmd, count(*) as n from ev where command is not null and project is not null group by 1, 2)) where rn <= 5""")
 def rules_commands(spark, d):
     """The commands a project uses most."""

@@ -28,17 +28,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return s
 
 
-def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the cluster names in ``spark.checkpoint.dir`` (or the caller has set).
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where neither that nor a folder set by the caller exists (tests, one
-    machine) a temporary one is made.
+    Only on one machine (tests) a temporary one is made; on a cluster that
+    names none this is an error, for a folder of the driver is nobody else's.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from quern import reports
 from quern.functions import dates
+from quern.index import Index
 from quern.operators import search
 from quern.sources import connector
 
@@ -14,23 +15,101 @@ def test_parse():
     assert search.parse("").should == [] and search.parse('"').should == []
 
 
-def test_search(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plain = search.search(docs, "parser timeout").collect()
-    assert plain and [r.score for r in plain] == sorted((r.score for r in plain), reverse=True)
-    assert search.search(docs, "deadlok").first().fuzzy
-    assert all("parser" in r.text.lower() for r in docs.join(search.search(docs, "+parser agent:codex"), "doc_id").collect())
-    assert search.search(docs, "+parser -parser").count() == 0
-    with pytest.raises(ValueError):
-        search.search(docs, "")
-    packed = search.search(docs, "parser", token_budget=60).collect()
-    assert sum(-(-len(r.snippet.encode()) // 4) for r in packed) <= 60
-    assert search.search(docs.limit(0), "parser").count() == 0
-    pack = search.context_pack(docs, "fix the parser in src/cache/queue.rs", 200)
-    assert sum(-(-len(s.encode()) // 4) for v in pack.values() for s in v) <= 200
+@pytest.fixture(scope="module")
+def index(spark, sf, tmp_path_factory):
+    ix = Index.create(spark, str(tmp_path_factory.mktemp("index")), buckets=8)
+    ix.rebuild(search.documents_as_sessions(spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")))
+    return ix
+
+
+def test_search(spark, sf, index):
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    page, second = search.search(index, search.Search(query="parser timeout"))
+    rows = page.collect()
+    assert rows and not second and [r.score for r in rows] == sorted((r.score for r in rows), reverse=True) and page.columns == search.RESULT
+    assert search.search(index, search.Search(query="deadlok"))[1]
+    assert all("parser" in texts[r.session_id].lower() for r in search.search(index, search.Search(query="+parser agent:codex"))[0].collect())
+    assert search.search(index, search.Search(query="+parser -parser agent:codex", fuzzy=False, error="none at all"))[0].count() == 0
+    for bad in (search.Search(), search.Search(query=""), search.Search(project="x")):
+        with pytest.raises(ValueError):
+            search.search(index, bad)
+    packed = search.search(index, search.Search(query="parser", token_budget=60))[0].collect()
+    assert packed and sum(r.token_count for r in packed) <= 60
+    assert search.search(index, search.Search(session=rows[0].session_id))[0].first().session_id == rows[0].session_id
+    assert search.search(index, search.Search(session="nobody"))[0].count() == 0
+    assert search.search(index, search.Search(like="nobody"))[0].count() == 0
     assert len(search.hint("q" * 200, 3, "x")) <= 120
 
 
+def test_context_pack(spark, index):
+    notes = spark.createDataFrame([("src/cache/queue.rs", "error", f"E{i}", i) for i in range(5)] + [("src/cache/queue.rs", "gotcha", "slow", 1), ("other.rs", "error", "x", 1)], "path string, kind string, note string, n int")
+    pack = search.context_pack(index, "fix the parser in src/cache/queue.rs", 2000, ["Use cargo"], notes)
+    assert pack["conventions"] == "Use cargo" and pack["file_notes"] == "**src/cache/queue.rs**\n  - slow\n  - Error: E4\n  - Error: E3\n  - Error: E2"
+    assert search.fit({"a": "one two three", "b": "x" * 8, "c": "y"}, 5) == {"a": "one two three", "b": "xxxx...", "c": ""}
+    assert search.fit({"a": "first line\nsecond line", "b": "", "c": "z"}, 4) == {"a": "first line...", "b": "", "c": ""}
+    small = search.context_pack(index, "parser", 5)
+    assert sum(-(-len(v) // 4) for v in small.values()) <= 6
+
+
+def test_pack():
+    row = lambda sn, su="": {"snippet": sn, "summary": su, "token_count": 0}
+    assert [r["snippet"] for r in search.pack([row("a" * 40), row("b" * 8), row("c" * 400), row("d" * 4)], 13)] == ["a" * 40, "b" * 8, "c..."]
+    assert [r["snippet"] for r in search.pack([row("a" * 40), row("b" * 40, "s" * 40), row("d" * 4)], 12)] == ["a" * 40, "d" * 4]
+    cut = search.pack([row("word " * 40, "sum")], 10)
+    assert len(cut) == 1 and cut[0]["snippet"].endswith("...") and cut[0]["token_count"] <= 10
+    assert search.pack([row("x" * 400, "sum")], 1) == [{**row("", "sum"), "token_count": 1}]
+    assert search.pack([row("")], 0) == [] and search.pack([row("")], 1)[0]["token_count"] == 0
+    assert '"fuzzy_fallback": true' in search.as_json("q", [], 1, True) and "fuzzy" not in search.as_json("q", [], 1, False)
+
+
+DOC = "doc_id string, session_id string, doc_type string, content string, tags array<string>, extra int"
+
+
+def test_index_by_session(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    with pytest.raises(FileNotFoundError):
+        Index.open(spark, path)
+    ix = Index.create(spark, path, buckets=4)
+    assert ix.documents().count() == 0 and ix.postings(["a"]).count() == 0 and ix.stats()["docs"] == 0
+    doc = lambda i, text, s=None, kind="session": (i, s or i, kind, text, ["t"], 1)
+    ix.add(spark.createDataFrame([doc("a", "red fox"), doc("b", "blue fox"), doc("a#1", "code fox", "a", "code_artifact")], DOC))
+    assert ix.counts()[0] == 3 and {r.term: r.df for r in ix.vocabulary().collect()} == {"red": 1, "blue": 1, "code": 1, "fox": 3}
+    ix.add(spark.createDataFrame([doc("a", "green owl")], DOC))  # replaces the session, its artifact too
+    assert {r.doc_id: r.content for r in ix.documents().collect()} == {"a": "green owl", "b": "blue fox"}
+    assert {r.term: r.df for r in ix.vocabulary().collect()} == {"green": 1, "owl": 1, "blue": 1, "fox": 1} and ix.counts()[1]["content"] == 2.0
+    again = Index.open(spark, path)
+    with again.batch():
+        again.delete(spark.createDataFrame([("b",)], "session_id string"))
+        with again.batch():
+            again.add(spark.createDataFrame([doc("c", None), doc("d", "")], DOC))
+        assert Index.open(spark, path).counts()[0] == 2  # nothing is committed before the outermost ends
+    assert {r.doc_id for r in Index.open(spark, path).documents().collect()} == {"a", "c", "d"}
+    with pytest.raises(RuntimeError), again.batch():
+        again.delete(spark.createDataFrame([("a",)], "session_id string"))
+        raise RuntimeError
+    assert ix.counts()[0] == 3
+    # two writers from one version: the second fails, and what is valid stays
+    one, two = Index.open(spark, path), Index.open(spark, path)
+    with pytest.raises(FileExistsError), one.batch():
+        one.delete(spark.createDataFrame([("c",)], "session_id string"))
+        two.delete(spark.createDataFrame([("d",)], "session_id string"))
+    assert {r.doc_id for r in ix.documents().collect()} == {"a", "c"}
+    ix.optimize()
+    s = ix.stats()
+    assert s["segments"] == 1 and s["docs"] == 2 and {r.doc_id for r in ix.documents().collect()} == {"a", "c"} and {r.term for r in ix.vocabulary().collect()} == {"green", "owl"}
+    ix.rebuild(spark.createDataFrame([doc("z", "new")], DOC))
+    assert {r.doc_id for r in Index.open(spark, path).documents().collect()} == {"z"}
+    ix.rebuild(spark.createDataFrame([], DOC))
+    assert ix.documents().count() == 0 and search.search(ix, search.Search(query="x"))[0].count() == 0
+
+
+def test_a_search_reads_its_terms_only(index):
+    import re
+
+    plan = index.postings(["parser"], ["content"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and re.search(r"PushedFilters: \[[^]]*(?:In|EqualTo)\(term", plan)
+
+
 def test_dates():
     now = datetime(2024, 5, 1, tzinfo=timezone.utc)
     assert dates.moment("7d", now) == now - timedelta(days=7) and dates.moment("2024-01-02", now) == datetime(2024, 1, 2, tzinfo=timezone.utc)
@@ -66,14 +145,16 @@ def test_every_script(spark, sf, tmp_path):
     import __spark_entry__ as entry
 
     assert search.parse('+größe "ошибка сети" -错误 naïve').must == ["größe"] and search.parse('"ошибка сети"').phrases == [["ошибка", "сети"]]
-    rows = [(1, "Ошибка сети при запуске"), (2, "Die Größe ist falsch"), (3, "修正後はすべて正常に動作しました。次へ"), (4, "plain words"), (5, None), (6, "x" * 41)]
+    rows = [(1, "Ошибка сети при запуске"), (2, "Die Größe ist falsch"), (3, "修正後は次へ"), (4, "plain words"), (5, None), (6, "x" * 41)]
     df = spark.createDataFrame([(i, t, None, "a", None, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, doc_type string, project string, model string, collected_at timestamp_ntz")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    vocab = {r.term for r in entry.queries()["fts_vocabulary_unicode"](spark, str(tmp_path)).collect()}
-    assert vocab == {"ошибка", "сети", "при", "запуске", "die", "größe", "ist", "falsch", "修正後はすべて正常に動作しました", "次へ", "plain", "words"}
-    assert [r.doc_id for r in search.search(df, "ошибка").collect()] == [1] and [r.doc_id for r in search.search(df, '"Ошибка сети"').collect()] == [1]
-    assert [r.doc_id for r in search.search(df, "+größe").collect()] == [2]
+    vocab = {r.term for r in entry.queries()["fts_vocabulary"](spark, str(tmp_path)).collect()}
+    assert vocab == {"ошибка", "сети", "при", "запуске", "die", "größe", "ist", "falsch", "修正後は次へ", "plain", "words"}
+    ix = Index.create(spark, str(tmp_path / "ix"))
+    ix.rebuild(search.documents_as_sessions(df))
+    ids = lambda q: [r.session_id for r in search.search(ix, search.Search(query=q))[0].collect()]
+    assert ids("ошибка") == ["1"] == ids('"Ошибка сети"') and ids("+größe") == ["2"] and ids("修正後は次へ") == ["3"]
     want = Counter()
     for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect():
-        want.update({w for w in re.split(r"[\W_]+", r.text.lower()) if w and len(w) <= 40})
-    assert {r.term: r.df for r in entry.queries()["fts_vocabulary_unicode"](spark, sf).collect()} == dict(want)
+        want.update({w for w in re.split(r"[\W_]+", r.text.lower()) if w and len(w.encode()) <= 40})
+    assert {r.term: r.df for r in entry.queries()["fts_vocabulary"](spark, sf).collect()} == dict(want)

@@ -36,9 +36,9 @@ def test_redaction_in_any_script(spark, tmp_path):
     spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     q = entry.queries()
     want = {i: hashlib.md5(r.encode()).hexdigest() for i, _, _, r in rows if r}
-    assert {r.doc_id: r.digest for r in q["pii_redact_all"](spark, str(tmp_path)).collect()} == want
-    assert {tuple(r) for r in q["pii_flag_all"](spark, str(tmp_path)).collect()} == {("de", 1, 3), ("ja", 1, 1), ("en", 2, 2), ("ru", 1, 1), ("fr", 1, 1)}
-    assert {r.doc_id: r.snippet for r in q["snippet_all"](spark, str(tmp_path)).collect()} == {i: t for i, t, _, _ in rows if t is not None}
+    assert {r.doc_id: r.digest for r in q["pii_redact"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in q["pii_flag"](spark, str(tmp_path)).collect()} == {("de", 1, 3), ("ja", 1, 1), ("en", 2, 2), ("ru", 1, 1), ("fr", 1, 1)}
+    assert {r.doc_id: r.snippet for r in q["snippet"](spark, str(tmp_path)).collect()} == {i: t for i, t, _, _ in rows if t is not None}
 
 
 def test_distance(spark):
@@ -99,7 +99,7 @@ def test_interval_and_prefix_joins(spark):
 
 
 def test_corrections_and_paths(spark):
-    assert one(spark, T.corrections(F.col("t")), t="Please don't use npm, use pnpm. Always use cargo") == ["don't use npm, use pnpm.", "Always use cargo"]
+    assert one(spark, T.corrections(F.col("t")), t="Please don't use npm, use pnpm. Always use cargo") == ["don't use npm, use pnpm", "Always use cargo"]
     assert one(spark, T.corrections(F.col("t")), t="fine") == [] and one(spark, T.file_paths(F.col("t")), t="see `src/a.rs` and /etc/hosts") == ["/etc/hosts", "src/a.rs"]
 
 
@@ -115,3 +115,23 @@ def test_every_error_pattern_reaches_the_queries(spark, monkeypatch):
     ev = spark.createDataFrame(rows, "session_id string, seq bigint, role string, content string").selectExpr("*", "'a' as source_agent", "'p' as project", "timestamp_ntz'2024-01-01 00:00:00' as ts")
     monkeypatch.setattr(sessions, "log_events", lambda *_: ev)
     assert {r.seq for r in sessions.err_fingerprint(spark, "").collect()} == set(range(len(hits)))
+
+
+def test_paths_and_distances(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import text as T
+
+    rows = [("~/a", True), ("./x", True), ("../x", True), ("/usr/x", True), ("/-", False), ("//x", False), ("https://h/a.py", False), ("a.py", True), ("a.unknown", False), ("a\x1b.py", False), ("", False), ("Dockerfile", False), (None, None)]
+    got = spark.createDataFrame(rows, "p string, want boolean").select("want", T.path_like(F.col("p")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+    rows = [("/a", "/p", "/a"), ("~/x", "/p", "/home/me/x"), ("b/c", "/p/", "/p/b/c"), ("b", None, "b")]
+    got = spark.createDataFrame(rows, "p string, project string, want string").select("want", T.resolve_path(F.col("p"), F.col("project"), F.lit("/home/me")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+    assert T.task_paths("see lib/x.rs, src/a/b.py and src/a/b.py; models_x.yaml") == ["src/a/b.py", "lib/x.rs", "models_x.yaml"]
+    got = spark.createDataFrame([("a/b/c.tar.gz",), (".env",), ("Makefile",), ("/x",)], "p string").select(T.path_parts(F.col("p")).alias("x")).collect()
+    assert [tuple(r.x) for r in got] == [("c.tar.gz", "gz", "a/b"), (".env", None, None), ("Makefile", None, None), ("x", None, None)]
+    pairs = [("abcd", "badc", 2), ("abcd", "badc", 1), ("kitten", "sitting", 2), ("ca", "abc", 2), ("ab", "ba", 1), (None, "a", 2), ("", "ab", 2)]
+    df = spark.createDataFrame(pairs, "a string, b string, d int")
+    got = [df.where(F.col("d") == d).select(T.osa_within(F.col("a"), F.col("b"), d).alias("x")).collect() for d in (2, 1)]
+    assert [r.x for r in got[0]] == [True, False, False, None, True] and [r.x for r in got[1]] == [False, True]
