@@ -125,6 +125,7 @@ def _prints() -> dict:
 def _fingerprints(spark, d, events: DataFrame | None = None) -> DataFrame:
     """session_id, source_agent, project, role, seq, ts, fingerprint of every event; worked out where the text is read."""
     ev = log_events(spark, d, _prints()) if events is None else events
+    ev = ev if "prints" in ev.columns else ev.withColumns(_prints())
     return ev.where("size(prints) > 0").select("session_id", "source_agent", "project", "role", "seq", "ts", F.explode("prints").alias("fingerprint"))
 
 
