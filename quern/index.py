@@ -1,18 +1,14 @@
 """A stored full-text index of documents: built, opened, updated by session, searched by term.
 
-An index is a folder of segments.  A commit adds a segment of documents and one
-of postings, and tombstones for the sessions that it replaces or deletes; what
-is valid, and the counts that scores need, stand in its version record, so a
-search reads the postings of its terms and nothing else of the text.  Postings
-lie in folders by a hash of the term, sorted by term.  ``optimize`` merges the
-segments into one.
+A commit adds a segment of documents and one of postings; what is valid, and the
+counts that scores need, stand in its version record, so a search reads the
+postings of its terms and nothing else of the text.  Postings lie in folders by
+a hash of the term, sorted by term.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.fulltext import UNICODE, tokens
-from quern.storage import Store, Versions
+from quern.segments import SEGMENT, Segments
 
 TEXT_FIELDS = ["content", "summary", "solution_summary", "code_content"]
 DOCUMENT = T.StructType([
@@ -32,12 +28,6 @@ DOCUMENT = T.StructType([
     *[T.StructField(f, T.StringType()) for f in TEXT_FIELDS],
 ])
 _LENGTHS = [f"n_{f}" for f in TEXT_FIELDS]
-_SEGMENT = T.StructField("segment", T.IntegerType())
-_STORED = {
-    "documents": T.StructType([*DOCUMENT.fields, *[T.StructField(n, T.IntegerType()) for n in _LENGTHS], _SEGMENT]),
-    "postings": T.StructType([*[T.StructField(c, T.StringType()) for c in ("session_id", "doc_id", "field", "term")], T.StructField("dl", T.IntegerType()), T.StructField("tf", T.LongType()), _SEGMENT, T.StructField("bucket", T.IntegerType())]),
-    "tombstones": T.StructType([T.StructField("session_id", T.StringType()), _SEGMENT]),
-}
 
 
 def as_documents(df: DataFrame) -> DataFrame:
@@ -45,56 +35,21 @@ def as_documents(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENT.fields])
 
 
-class Index:
-    """``Index.create(spark, path)``, ``Index.open(spark, path)``."""
+class Index(Segments):
+    """``Index.create(spark, path, buckets=64, pattern=UNICODE)``, ``Index.open(spark, path)``."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.store = spark, Store(spark, path)
-        self._versions = Versions(self.store)
-        self._depth, self._open = 0, None
+    kinds = {
+        "documents": T.StructType([*DOCUMENT.fields, *[T.StructField(n, T.IntegerType()) for n in _LENGTHS], SEGMENT]),
+        "postings": T.StructType([*[T.StructField(c, T.StringType()) for c in ("session_id", "doc_id", "field", "term")], T.StructField("dl", T.IntegerType()), T.StructField("tf", T.LongType()), SEGMENT, T.StructField("bucket", T.IntegerType())]),
+    }
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, buckets: int = 64, pattern: str = UNICODE) -> Index:
-        """An empty index; one that is there is opened as it is."""
-        ix = cls(spark, path)
-        if ix._versions.latest() is None:
-            ix._versions.commit(0, {"segments": [], "tombstones": [], "next": 1, "buckets": buckets, "pattern": pattern, "docs": 0, "tokens": dict.fromkeys(TEXT_FIELDS, 0)})
-        return ix
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
-        ix = cls(spark, path)
-        if ix._versions.latest() is None:
-            raise FileNotFoundError(f"there is no index at {path}: ingest first")
-        return ix
-
-    # what is valid -------------------------------------------------------------------------------
-
-    def state(self) -> dict[str, Any]:
-        if self._open is not None:
-            return self._open[1]
-        return self._versions.latest()[1]
-
-    def _read(self, kind: str, numbers: list[int]) -> DataFrame | None:
-        """Rows of segments of a kind; segments are folders, so others are never read."""
-        if not numbers:
-            return None
-        paths = [self.store.url(f"{kind}/segment={n}") for n in numbers]
-        return self.spark.read.schema(_STORED[kind]).option("basePath", self.store.url(kind)).parquet(*paths)
-
-    def _alive(self, rows: DataFrame, state: dict[str, Any]) -> DataFrame:
-        """Rows of sessions that no later segment replaced or deleted."""
-        dead = self._read("tombstones", state["tombstones"])
-        if dead is None:
-            return rows.drop("segment")
-        last = dead.groupBy("session_id").agg(F.max("segment").alias("__dead"))
-        return rows.join(last, "session_id", "left").where(F.col("__dead").isNull() | (F.col("segment") >= F.col("__dead"))).drop("segment", "__dead")
+        return super().create(spark, path, buckets=buckets, pattern=pattern, docs=0, tokens=dict.fromkeys(TEXT_FIELDS, 0))
 
     def documents(self) -> DataFrame:
         """The documents that are valid, with the lengths of their text fields."""
-        state = self.state()
-        rows = self._read("documents", state["segments"])
-        return self.spark.createDataFrame([], T.StructType(_STORED["documents"].fields[:-1])) if rows is None else self._alive(rows, state)
+        return self.rows("documents")
 
     def postings(self, terms: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
         """field, term, doc_id, tf, dl.  With ``terms`` only their folders are listed, and only their row groups read."""
@@ -106,7 +61,7 @@ class Index:
             rows = rows.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % state["buckets"] for t in terms})) & F.col("term").isin(*terms)) if terms else rows.where("false")
         if fields is not None:
             rows = rows.where(F.col("field").isin(*fields))
-        return self._alive(rows.drop("bucket"), state).select("field", "term", "doc_id", "tf", "dl")
+        return self.alive(rows.drop("bucket"), state).select("field", "term", "doc_id", "tf", "dl")
 
     def vocabulary(self, field: str = "content") -> DataFrame:
         """term, df of a field."""
@@ -119,97 +74,34 @@ class Index:
 
     def stats(self) -> dict[str, Any]:
         """Documents, segments, files, bytes and fields."""
-        s = self.state()
-        files, size = (sum(x) for x in zip(*[self.store.size(k) for k in ("documents", "postings", "tombstones")]))
-        return {"docs": s["docs"], "segments": len(s["segments"]), "files": files, "bytes": size, "fields": [f.name for f in DOCUMENT.fields]}
-
-    # changes -------------------------------------------------------------------------------------
-
-    @contextmanager
-    def batch(self) -> Iterator[Index]:
-        """Changes inside are committed together when the outermost batch ends; an error leaves the index as it was."""
-        if self._depth == 0:
-            number, record = self._versions.latest()
-            self._open = (number, {**record, "tombstones": list(record["tombstones"])})
-        self._depth += 1
-        try:
-            yield self
-            if self._depth == 1:
-                number, record = self._open
-                if record != self._versions.latest()[1]:
-                    record |= self._totals()
-                    self._versions.commit(number, record)
-        finally:
-            self._depth -= 1
-            if self._depth == 0:
-                self._open = None
-
-    def _totals(self) -> dict[str, Any]:
+        return {"docs": self.state()["docs"], **self.size(), "fields": [f.name for f in DOCUMENT.fields]}
+
+    def totals(self) -> dict[str, Any]:
         got = self.documents().agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _LENGTHS]).first()
         return {"docs": got["docs"], "tokens": {f: got[f"n_{f}"] for f in TEXT_FIELDS}}
 
-    def _next(self) -> int:
-        record = self._open[1]
-        n = record["next"]
-        record["next"] = n + 1
-        return n
-
-    def _write(self, docs: DataFrame, n: int, postings: DataFrame | None = None) -> None:
+    def write(self, rows: dict[str, DataFrame], n: int) -> None:
+        docs, posted = as_documents(rows["documents"]), rows.get("postings")
         state = self.state()
-        dest = lambda kind: self.store.url(f"{kind}/segment={n}")
         words = lambda f: tokens(F.coalesce(F.col(f), F.lit("")), state["pattern"])
-        docs.withColumns({f"n_{f}": F.size(words(f)) for f in TEXT_FIELDS}).write.mode("overwrite").parquet(dest("documents"))
-        if postings is None:
+        docs.withColumns({f"n_{f}": F.size(words(f)) for f in TEXT_FIELDS}).write.mode("overwrite").parquet(self.place("documents", n))
+        if posted is None:
             said = F.array(*[F.struct(F.lit(f).alias("field"), words(f).alias("terms")) for f in TEXT_FIELDS])
-            each = docs.select("session_id", "doc_id", F.inline(said)).select("session_id", "doc_id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-            postings = each.groupBy("session_id", "doc_id", "field", "term").agg(F.max("dl").alias("dl"), F.count("*").alias("tf"))
+            stored = self.spark.read.schema(self.kinds["documents"]).parquet(self.place("documents", n))  # what was written, not what it was made from
+            each = stored.select("session_id", "doc_id", F.inline(said)).select("session_id", "doc_id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+            posted = each.groupBy("session_id", "doc_id", "field", "term").agg(F.max("dl").alias("dl"), F.count("*").alias("tf"))
         bucket = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(state["buckets"])).cast("int")
         # by range, so that a term that every document has is spread over many tasks
-        rows = postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(dest("postings"))
+        by = posted.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
+        by.write.mode("overwrite").partitionBy("bucket").parquet(self.place("postings", n))
 
     def add(self, docs: DataFrame) -> None:
         """Add documents; all that the index has of their sessions, artifacts too, gives way to them."""
-        with self.batch():
-            n, record = self._next(), self._open[1]
-            rows = as_documents(docs)
-            self._write(rows, n)
-            if record["segments"]:
-                self._bury(self.spark.read.parquet(self.store.url(f"documents/segment={n}")), n)
-            record["segments"] = [*record["segments"], n]
-
-    def delete(self, sessions: DataFrame) -> None:
-        """Delete the documents of sessions (a column ``session_id``)."""
-        with self.batch():
-            self._bury(sessions, self._next())
-
-    def _bury(self, sessions: DataFrame, n: int) -> None:
-        sessions.select(F.col("session_id").cast("string")).where("session_id is not null").distinct().write.mode("overwrite").parquet(self.store.url(f"tombstones/segment={n}"))
-        self._open[1]["tombstones"].append(n)
+        self.put({"documents": docs}, "documents")
 
     def rebuild(self, docs: DataFrame) -> None:
         """Replace everything by these documents."""
-        with self.batch():
-            n, record = self._next(), self._open[1]
-            self._write(as_documents(docs), n)
-            record["segments"], record["tombstones"] = [n], []
-
-    def optimize(self) -> None:
-        """Merge the segments into one and delete what no version uses any more.  Searches that began before may end first: only folders of older versions go."""
-        with self.batch():
-            state = self.state()
-            if state["segments"] and (len(state["segments"]) > 1 or state["tombstones"]):
-                docs = self.documents()
-                posted = self._alive(self._read("postings", state["segments"]).drop("bucket"), state)
-                n, record = self._next(), self._open[1]
-                self._write(docs, n, posted)
-                record["segments"], record["tombstones"] = [n], []
-        number, record = self._versions.latest()
-        for kind in ("documents", "postings", "tombstones"):
-            for name in self.store.names(kind):
-                if name.startswith("segment=") and int(name[8:]) not in record["segments"]:
-                    self.store.delete(f"{kind}/{name}")
-        self._versions.forget_before(number)
+        self.replace_all({"documents": docs})
 
 
 def term_score(idf: Column, tf: Column, dl: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:

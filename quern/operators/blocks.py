@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import shared_checkpoint
+
 BLOCK = 4096
 
 
@@ -39,3 +41,18 @@ def running(df: DataFrame, part: str, seq: str, value: str, out: str, block: int
     if total:
         base = base.withColumn(total, F.sum("__sum").over(Window.partitionBy(part)))
     return d.withColumn("__own", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(base.drop("__sum"), [part, "__blk"], "left").withColumn(out, F.col("__own") + F.col("__base")).drop("__blk", "__own", "__base")
+
+
+def numbered(df: DataFrame, by: str, order: list[Column | str], out: str) -> DataFrame:
+    """Add ``out``: the place of a row in its group by an order, from 1.
+
+    Rows are sorted over the cluster; what a window sees is a group's rows of
+    one partition, and one row a partition of the group.
+    """
+    keys = [F.col(by), *[F.col(o) if isinstance(o, str) else o for o in order]]
+    s = shared_checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    sizes = s.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.withColumn("__base", before).drop("__n")
+    own = F.row_number().over(Window.partitionBy(by, "__part").orderBy("__place"))
+    return s.withColumn("__own", own).join(base, [by, "__part"]).withColumn(out, (F.col("__own") + F.col("__base")).cast("bigint")).drop("__own", "__base", "__part", "__place")

@@ -91,13 +91,16 @@ def markdown_events(files: DataFrame, user: str = "#### ", tool: str = "> ", ass
     starts = lambda p: F.col("line").startswith(p) if p else F.lit(False)
     role = F.when(starts(user), "user").when(starts(assistant), "assistant").when(starts(tool), "tool_result")
     cut = F.when(starts(user), F.substring("line", len(user) + 1, 1 << 30)).when(starts(assistant), F.substring("line", len(assistant) + 1, 1 << 30)).when(starts(tool), F.substring("line", len(tool) + 1, 1 << 30)).otherwise(F.col("line"))
-    w = Window.partitionBy("file").orderBy("n")
-    marked = lines.withColumns({"is_d": F.col("line").rlike(delimiter), "role": role, "body": cut})
-    marked = marked.withColumns({"session_no": F.sum(F.col("is_d").cast("int")).over(w), "begun": F.when(F.col("is_d"), F.regexp_extract("line", delimiter, 1))}).where("not is_d or begun is not null")
-    ws = Window.partitionBy("file", "session_no").orderBy("n")
-    marked = marked.withColumns({"event_no": F.sum(F.when(F.col("role").isNotNull() & ~F.col("is_d"), 1).otherwise(0)).over(ws), "started": F.max("begun").over(Window.partitionBy("file", "session_no"))})
-    body = marked.where("event_no > 0 and not is_d")
-    g = body.groupBy("file", "session_no", "event_no", "started").agg(F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("x"))
+    marked = lines.withColumns({"is_d": F.col("line").rlike(delimiter).cast("int"), "role": role, "body": cut})
+    marked = marked.withColumn("starts", F.when(F.col("role").isNotNull() & (F.col("is_d") == 0), 1).otherwise(0))
+    # running counts over a file's lines, in blocks
+    marked = blocks.running(marked, "file", "n", "is_d", "session_no").withColumn("session_no", F.col("session_no") + F.col("is_d"))
+    marked = blocks.running(marked, "file", "n", "starts", "event").withColumn("event", F.col("event") + F.col("starts"))
+    begun = marked.where("is_d = 1").groupBy("file", "session_no").agg(F.max(F.regexp_extract("line", delimiter, 1)).alias("started"))
+    g = marked.where("is_d = 0 and event > 0").groupBy("file", "session_no", "event").agg(F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("n", "body"))).alias("x"))
+    g = g.where("role is not null")  # what stands behind a delimiter before any role belongs to nothing
+    first = g.groupBy("file", "session_no").agg(F.min("event").alias("first"))
+    g = g.join(first, ["file", "session_no"]).join(begun, ["file", "session_no"], "left").withColumn("event_no", F.col("event") - F.col("first") + 1)
     text = F.array_join(F.transform("x", lambda v: v["body"]), "\n")
     return g.select("file", "session_no", "event_no", "role", "started", F.regexp_replace(text, r"\s+$", "").alias("content"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -79,9 +80,45 @@ def load(path: str | Path) -> Connector:
     return c
 
 
+def expanded(pattern: str) -> str:
+    """A path pattern with home and variables filled in."""
+    return os.path.expandvars(os.path.expanduser(pattern))
+
+
 def discover(c: Connector) -> list[str]:
-    """Files of a connector: its globs, home and variables expanded, without what the exclusions match."""
-    full = lambda p: os.path.expandvars(os.path.expanduser(p))
-    out = {f for p in c.paths for f in glob.glob(full(p), recursive=True) if os.path.isfile(f)}
-    gone = {f for p in c.exclude for f in glob.glob(full(p), recursive=True)}
+    """Files of a connector on the driver's own disk: its globs, without what the exclusions match (``ingest.listing`` does the same on any file system)."""
+    out = {f for p in c.paths for f in glob.glob(expanded(p), recursive=True) if os.path.isfile(f)}
+    gone = {f for p in c.exclude for f in glob.glob(expanded(p), recursive=True)}
     return sorted(out - gone)
+
+
+def of_path(path: str, connectors: list[Connector]) -> Connector | None:
+    """The first connector, in order of names, one of whose patterns a path fits and none of whose exclusions it does."""
+    fits = lambda patterns: any(re.fullmatch(pattern_of(p), path) for p in patterns)
+    return next((c for c in sorted(connectors, key=lambda c: c.name) if fits(c.paths) and not fits(c.exclude)), None)
+
+
+def pattern_of(glob_: str) -> str:
+    """A glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not, ``{a,b}`` are alternatives."""
+    out, i, g, depth = "", 0, expanded(glob_), 0
+    while i < len(g):
+        c = g[i]
+        if g.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if g.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        depth += (c == "{") - (c == "}")
+        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "(?:" if c == "{" else ")" if c == "}" else "|" if c == "," and depth else re.escape(c)
+        i += 1
+    return out
+
+
+# What in a path tells the agent, first that fits.
+PATH_HINTS = [(".claude", "claude-code"), ("aider", "aider"), ("codex", "codex"), ("opencode", "opencode")]
+
+
+def guess(path: str) -> str | None:
+    """The connector that a single file is read with if none is named."""
+    return next((name for part, name in PATH_HINTS if part in path), None)

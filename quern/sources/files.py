@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.adapters import EVENT_COLUMNS, canonical_role
-from quern.operators import relational
-from quern.sources.connector import Connector
+from quern.operators import blocks, relational
+from quern.sources.connector import Connector, expanded
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, seq, value: the lines of text files in their order.  Large files are split; blank lines are kept (and counted) here."""
+    """file, seq, value: the lines of text files in their order.
+
+    Large files are read in splits: lines are numbered within a split, and the
+    splits' sizes are added up, so that no file is sorted as a whole.  Blank
+    lines are kept (and counted) here.
+    """
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    w = Window.partitionBy("file").orderBy("block", "at")
-    return raw.select("file", F.row_number().over(w).cast("bigint").alias("seq"), "value")
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return raw.withColumn("own", own).join(base, ["file", "block"]).select("file", (F.col("own") + F.col("base")).cast("bigint").alias("seq"), "value")
 
 
 def stem(file: Column) -> Column:
@@ -59,12 +70,63 @@ def jsonl(spark: SparkSession, c: Connector, paths: list[str]) -> tuple[DataFram
     model = p.get("model") or {}
     named_model = F.lit(model.get("value")) if model.get("source") == "static" else _get(model.get("field"))
     paths_of = (p.get("file_paths") or {}).get("tool_call_field") or p.get("file_path")
+    named_paths = F.coalesce(_get(paths_of, "array<string>"), F.when(_get(paths_of).isNotNull(), F.array(_get(paths_of))), F.array().cast("array<string>"))
+    at = lambda k: _get(p.get(k), "bigint")
+    counted = F.when(at("tokens_in").isNotNull() | at("tokens_out").isNotNull(), F.struct(at("tokens_in").alias("input"), at("tokens_out").alias("output")))
     ev = marked.where("role is not null").select(
         F.concat(F.lit(c.agent + "/"), named).alias("session_id"), F.lit(c.agent).alias("source_agent"), where.alias("project"), named_model.cast("string").alias("model"), "role",
         F.coalesce(_get(p.get("content")), F.lit("")).alias("content"), tool.alias("tool"), "seq", relational.parse_time(_get(p.get("timestamp"))).cast("timestamp_ntz").alias("ts"),
-        _get(paths_of).alias("path"), _get(p.get("command")).alias("command"),
+        F.get(named_paths, F.lit(0)).alias("path"), _get(p.get("command")).alias("command"), F.lit(c.static.get("source_version")).alias("source_version"), counted.alias("tokens"), named_paths.alias("file_paths"), "file",
     )
-    return ev.select(*EVENT_COLUMNS), counts
+    if project.get("method") == "git_root":
+        ev = git_roots(ev)
+    if model.get("source") == "metadata":
+        ev = model_of_metadata(spark, ev, model["path"], model.get("field", "model"))
+    return ev.select(*EVENT_COLUMNS, *EXTRA_COLUMNS), counts
+
+
+EXTRA_COLUMNS = ["source_version", "tokens", "file_paths"]
+
+
+def git_roots(events: DataFrame) -> DataFrame:
+    """Events with the nearest folder above their file that holds ``.git`` as project, null if none does.  Looked up once a folder, where Spark reads the folders' file system."""
+
+    @F.pandas_udf("string")
+    def root(folders: pd.Series) -> pd.Series:
+        def up(f: str | None) -> str | None:
+            here = Path(f) if f else None
+            while here is not None and here != here.parent:
+                if (here / ".git").exists():
+                    return str(here)
+                here = here.parent
+            return None
+
+        return folders.map(up).astype(object)
+
+    folder = F.regexp_replace(F.regexp_extract("file", r"^(.*)/[^/]*$", 1), "^file:/+", "/")
+    e = events.withColumn("__folder", folder)
+    known = e.select("__folder").distinct().withColumn("__root", root("__folder"))
+    return e.join(known, "__folder", "left").drop("project", "__folder").withColumnRenamed("__root", "project")
+
+
+def model_of_metadata(spark: SparkSession, events: DataFrame, template: str, field: str) -> DataFrame:
+    """Events with the model that a metadata file of their session names; ``template`` is its path with ``{session_id}``."""
+    found = spark.read.text(expanded(template).replace("{session_id}", "*"), wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("at"))
+    head, tail = (re.escape(Path(x).name if i == 0 and not x.endswith("/") else "" if i == 0 else x) for i, x in enumerate(template.split("{session_id}")))
+    ident = F.regexp_extract("at", f"{head}([^/]*){tail}$", 1)
+    models = found.select(ident.alias("__id"), _get(field).alias("__model")).where("__id != '' and __model is not null").groupBy("__id").agg(F.max("__model").alias("__model"))
+    own = F.regexp_extract("session_id", "^[^/]*/(.*)$", 1)
+    return events.withColumn("__id", own).join(models, "__id", "left").withColumn("model", F.coalesce("model", "__model")).drop("__id", "__model")
+
+
+def backfilled(events: DataFrame, project: Column | None = None, model: Column | None = None) -> DataFrame:
+    """Events with project, model and file paths filled in where they lack them: from the arguments, and paths from the text."""
+    from quern.functions import text as T
+
+    said = F.filter(T.file_paths(F.col("content")), T.path_like)
+    out = events.withColumns({"project": F.coalesce("project", project if project is not None else F.lit(None)), "model": F.coalesce("model", model if model is not None else F.lit(None))})
+    own = F.col("file_paths") if "file_paths" in events.columns else F.when(F.col("path").isNotNull(), F.array("path"))
+    return out.withColumn("file_paths", F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(said))
 
 
 def split_by_gap(events: DataFrame, gap_seconds: int) -> DataFrame:
@@ -101,8 +163,7 @@ def json_tree(spark: SparkSession, c: Connector, base: str) -> DataFrame:
     extra = p.select(F.col("id").alias("part_id"), "tool").dropDuplicates(["part_id"])
     when = m.select(F.col("id").alias("message_id"), F.try_to_timestamp("created").cast("timestamp_ntz").alias("ts")).dropDuplicates(["message_id"])
     e = e.join(extra, "part_id", "left").join(when, "message_id", "left")
-    order = Window.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_last(), "mpos", "ppos")
-    e = e.withColumn("seq", F.row_number().over(order).cast("bigint")).withColumn("role", role_of(F.col("role"), c.role_map)).where("role is not null")
+    e = blocks.numbered(e, "session_id", [F.col("ts").asc_nulls_last(), "mpos", "ppos"], "seq").withColumn("role", role_of(F.col("role"), c.role_map)).where("role is not null")
     return e.select(
         F.concat(F.lit(c.agent + "/"), "session_id").alias("session_id"), F.lit(c.agent).alias("source_agent"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("model"), "role",
         F.coalesce("text", F.lit("")).alias("content"), "tool", "seq", "ts", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("command"),

@@ -6,11 +6,12 @@ import glob
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.adapters import EVENT_COLUMNS
+from quern.operators import blocks
 from quern.sources.connector import Connector
 from quern.sources.files import role_of, stem
 
@@ -72,8 +73,8 @@ def events(spark: SparkSession, c: Connector, path: str) -> DataFrame:
     when = F.try_to_timestamp(get(p.get("timestamp", "createdAt"))).cast("timestamp_ntz")
     pattern = c.detection.get("key_pattern")
     sid = F.coalesce(F.nullif(F.regexp_extract("key", pattern, 1), F.lit("")), stem(F.col("file"))) if pattern else stem(F.col("file"))
-    w = Window.partitionBy("session_id").orderBy("file", "n", "i")
     nul = F.lit(None).cast("string")
     e = m.select(F.concat(F.lit(c.agent + "/"), sid).alias("session_id"), "file", "n", "i", role.alias("role"), content.alias("content"), when.alias("ts")).where("role is not null and content is not null and content != ''")
-    e = e.withColumns({"source_agent": F.lit(c.agent), "project": nul, "model": nul, "tool": nul, "path": nul, "command": nul, "seq": F.row_number().over(w).cast("bigint")})
+    e = e.withColumns({"source_agent": F.lit(c.agent), "project": nul, "model": nul, "tool": nul, "path": nul, "command": nul})
+    e = blocks.numbered(e, "session_id", ["file", "n", "i"], "seq")
     return e.select(*EVENT_COLUMNS)

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.adapters import EVENT
-from quern.ingest import write_sessions
+from quern.ingest import Archive, ingest
+from quern.sources.connector import Connector, expanded
 
 
 def timed(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -34,13 +35,67 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Event files that land in a folder, upserted by session.
+    """Event files that land in a folder, put into the archive at ``out`` by session.
 
     A micro-batch replaces the sessions it holds, so a batch that runs again
-    after a failure leaves the same store.
+    after a failure leaves the same archive.
     """
     s = spark.readStream.schema(EVENT).parquet(landing)
-    return s.writeStream.foreachBatch(lambda df, _: write_sessions(df, out)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return s.writeStream.foreachBatch(lambda df, _: Archive.create(spark, out).add(df)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def watch(spark: SparkSession, connectors: list[Connector], out: str, checkpoint: str, trigger: dict | None = None, done: Callable[[dict], None] | None = None) -> list[StreamingQuery]:
+    """One stream a connector over the files that its patterns match: each trigger lists them again, and every changed file is scraped into ``out``.
+
+    The stream tells that something changed; what changed is asked of the
+    listing (new, modified, shrunk, rotated), and the archive takes whole
+    sessions, so a trigger that runs again does no harm.  ``done`` gets each
+    scrape's counts.
+    """
+
+    def scrape(c: Connector) -> Callable[[DataFrame, int], None]:
+        def run(_: DataFrame, __: int) -> None:
+            got = ingest(spark, c, out)
+            if done:
+                done(got)
+
+        return run
+
+    out_ = []
+    for c in connectors:
+        s = spark.readStream.format("text").schema("value string").option("wholetext", "true").load(",".join(map(expanded, c.paths)) if len(c.paths) == 1 else common(c.paths))
+        out_.append(s.writeStream.foreachBatch(scrape(c)).option("checkpointLocation", f"{checkpoint}/{c.name}").trigger(**(trigger or {"availableNow": True})).start())
+    return out_
+
+
+def common(patterns: list[str]) -> str:
+    """One pattern for several: alternatives in braces."""
+    return "{" + ",".join(map(expanded, patterns)) + "}"
+
+
+class Counters(StreamingQueryListener):
+    """Batches, rows and the time of the last batch, by stream."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.last: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        k = p.name or str(p.id)
+        self.batches[k] = self.batches.get(k, 0) + 1
+        self.rows[k] = self.rows.get(k, 0) + p.numInputRows
+        self.last[k] = p.timestamp
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
 
 
 def debounce(changes: DataFrame, quiet_ms: int = 5_000) -> DataFrame:

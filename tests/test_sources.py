@@ -66,25 +66,88 @@ def test_jsonl(spark, tree):
 
 
 def test_ingest_twice_is_once_and_appends_are_seen(spark, tree):
+    import os
+
     root, c, tmp = tree
-    out, state = str(tmp / "store"), str(tmp / "state.json")
-    assert ingest.ingest(spark, c, out, state) == 2
-    before = sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect()))
-    assert ingest.ingest(spark, c, out, state) == 0
+    out = str(tmp / "store")
+    assert ingest.ingest(spark, c, out) == {"files": 1, "sessions": 1, "events": 3, "bad": 1}  # the empty file holds nothing and is not listed
+    archive = ingest.Archive.open(spark, f"{out}/archive")
+    rows = lambda: sorted(map(tuple, archive.events().select("session_id", "seq", "content").collect()))
+    before = rows()
+    assert ingest.ingest(spark, c, out)["files"] == 0 and rows() == before
     write(root / "q" / "s4.jsonl", line("user", "hi", "2025-01-01T00:00:00Z"))
     with open(root / "p" / "s1.jsonl", "a") as f:
         f.write("\n" + line("user", "thanks", "2024-01-01T00:01:00Z"))
-    import os
-
     os.utime(root / "p" / "s1.jsonl", (2e9, 2e9))
-    assert ingest.ingest(spark, c, out, state) == 2
-    spark.catalog.clearCache()
-    after = sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect()))
+    assert ingest.ingest(spark, c, out)["files"] == 2
+    after = rows()
     assert len(after) == len(before) + 2 and set(before) <= set(after)
-    ingest.compact(spark, out)
-    assert sorted(map(tuple, ingest.read_sessions(spark, out).select("session_id", "seq", "content").collect())) == after
-    assert ingest.drop_older(spark, out, "2024-06-01 00:00:00") == 1
-    assert {r.session_id for r in ingest.read_sessions(spark, out).collect()} == {"cc/s4"}
+    seen = ingest.Scraped.open(spark, f"{out}/scraped")
+    (root / "p" / "s1.jsonl").write_text(line("user", "short", "2024-01-01T00:00:00Z"))
+    os.utime(root / "p" / "s1.jsonl", (1e9, 1e9))  # shorter, and older than what was seen
+    assert [r.path.rsplit("/", 1)[1] for r in ingest.truncated(ingest.listing(spark, c), seen.rows("files")).collect()] == ["s1.jsonl"]
+    assert ingest.ingest_all(spark, [c], out)["files"] == 1 and len(rows()) == 2
+    archive.optimize()
+    assert len(rows()) == 2 and archive.size()["segments"] == 1
+    st = {r.source_agent: r for r in archive.status(seen).collect()}
+    assert st["cc"].sessions == 2 and st["cc"].files == 2 and st["cc"].last_scraped is not None
+    archive.find_antipatterns()
+    assert archive.antipatterns().count() == 0 and len(rows()) == 2
+    assert {r.session_id for r in archive.sessions("cc").collect()} == {"cc/s1", "cc/s4"} and archive.sessions("none").count() == 0
+    gone = archive.drop_older("2024-06-01 00:00:00")
+    assert gone == {"sessions": 1, "bytes": 5} and {r[0] for r in rows()} == {"cc/s4"}
+    # what another reader sees is the last commit, and nothing of a batch that failed
+    with pytest.raises(RuntimeError), archive.batch():
+        archive.delete(archive.sessions())
+        raise RuntimeError
+    assert {r.session_id for r in ingest.Archive.open(spark, f"file:{out}/archive").events().collect()} == {"cc/s4"}
+    with ingest.locked(seen.store), pytest.raises(TimeoutError):
+        ingest.ingest(spark, c, out, timeout=0.1)
+
+
+def test_index_from_archive(spark, tree):
+    from quern.index import Index
+
+    root, c, tmp = tree
+    ingest.ingest(spark, c, str(tmp / "o"))
+    archive, ix = ingest.Archive.open(spark, str(tmp / "o/archive")), Index.create(spark, str(tmp / "ix"), buckets=2)
+    ingest.rebuild_index(archive, ix)
+    assert [r.session_id for r in ix.documents().collect()] == ["cc/s1"]
+    ingest.rebuild_index(archive, ix, "cc")
+    assert [r.session_id for r in ix.documents().collect()] == ["cc/s1"] and {r.term for r in ix.postings(["please"]).collect()} == {"please"}
+
+
+def test_a_file_in_splits_has_its_lines_in_order(spark, tmp_path):
+    p = write(tmp_path / "big.jsonl", "\n".join(f"line {i} " + "x" * 50 for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.lines(spark, [p]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r.seq: int(r.value.split()[1]) for r in got} == {i + 1: i for i in range(5000)}
+
+
+def test_fields_of_lines(spark, tmp_path):
+    rows = [{"role": "tool_call", "tool": "Edit", "files": ["a.rs", "b.rs"], "u": {"i": 5}}, {"role": "user", "content": "see src/x.py and `lib/y.rs`", "files": "c.rs"}, {"role": "assistant", "content": "in 'q.toml' and /usr/z"}]
+    p = write(tmp_path / "repo" / "logs" / "s.jsonl", "\n".join(map(json.dumps, rows)))
+    write(tmp_path / "repo" / ".git" / "HEAD", "x")
+    write(tmp_path / "meta" / "s.json", '{"info": {"model": "m-1"}}')
+    c = connector.Connector("k", "1", [p], "jsonl", parser={"role": "role", "content": "content", "tool": "tool", "file_path": "files", "tokens_in": "u.i", "tokens_out": "u.o", "static": {"source_version": "9"}, "project": {"method": "git_root"}, "model": {"source": "metadata", "path": f"{tmp_path}/meta/{{session_id}}.json", "field": "info.model"}})
+    ev, _ = files.jsonl(spark, c, [p])
+    got = ev.orderBy("seq").collect()
+    assert [r.file_paths for r in got] == [["a.rs", "b.rs"], ["c.rs"], []] and got[0].path == "a.rs" and got[2].path is None
+    assert tuple(got[0].tokens) == (5, None) and got[1].tokens is None and {r.source_version for r in got} == {"9"}
+    assert {r.project for r in got} == {str(tmp_path / "repo")} and {r.model for r in got} == {"m-1"}
+    full = files.backfilled(ev.withColumn("project", files.F.lit(None).cast("string")), files.F.lit("p"), files.F.lit("m")).orderBy("seq").collect()
+    assert {r.project for r in full} == {"p"} and full[2].file_paths == ["/usr/z", "q.toml"] and full[1].file_paths == ["c.rs"]
+
+
+def test_connector_of_a_path():
+    a, b = (connector.Connector(n, "1", [p], "jsonl", exclude=["/l/**/skip/*"]) for n, p in (("a", "/l/**/*.jsonl"), ("b", "/l/x?/{u,v}.jsonl")))
+    find = lambda p, cs=(a, b): (lambda c: c and c.name)(connector.of_path(p, list(cs)))
+    assert find("/l/x1/u.jsonl") == "a" and find("/l/x1/u.jsonl", [b]) == "b" and find("/l/x1/w.jsonl", [b]) is None and find("/l/k/skip/u.jsonl") is None and find("/m/u.jsonl") is None and find("/l/u.jsonl") == "a"
+    assert connector.guess("/home/x/.claude/p/s.jsonl") == "claude-code" and connector.guess("/x") is None
 
 
 def test_connector_errors(tmp_path):

@@ -30,7 +30,30 @@ def test_ingest_stream_is_idempotent(spark, sf, tmp_path):
     land, out, cp = (str(tmp_path / x) for x in ("land", "out", "cp"))
     ev.select(*adapters.EVENT_COLUMNS).write.parquet(land)
     streams.ingest_stream(spark, land, out, cp).awaitTermination()
-    n = ingest.read_sessions(spark, out).count()
+    n = ingest.Archive.open(spark, out).events().count()
     assert n == ev.count()
     streams.ingest_stream(spark, land, out, str(tmp_path / "cp2")).awaitTermination()  # the same files again
-    assert ingest.read_sessions(spark, out).count() == n
+    assert ingest.Archive.open(spark, out).events().count() == n
+
+
+def test_watch_scrapes_what_changed(spark, tmp_path):
+    import json
+
+    from quern.sources.connector import Connector
+
+    root = tmp_path / "logs"
+    root.mkdir()
+    say = lambda t: json.dumps({"role": "user", "content": t})
+    (root / "a.jsonl").write_text(say("one"))
+    c = Connector("w", "1", [f"{root}/*.jsonl"], "jsonl", parser={"role": "role", "content": "content"})
+    got = []
+    counters = streams.Counters()
+    spark.streams.addListener(counters)
+    run = lambda: [q.awaitTermination() for q in streams.watch(spark, [c], str(tmp_path / "out"), str(tmp_path / "cp"), done=got.append)]
+    run()
+    (root / "b.jsonl").write_text(say("two"))
+    run()
+    run()
+    spark.streams.removeListener(counters)
+    assert [g["files"] for g in got] == [1, 1] and ingest.Archive.open(spark, f"{tmp_path}/out/archive").events().count() == 2
+    assert sum(counters.batches.values()) >= 2
