@@ -131,6 +131,29 @@ def test_reports(spark):
     assert reports.insights([], []) == [] and len(reports.insights([{"agent": "a", "total_sessions": 5, "success_rate": 50.0}], [{"month": "1", "sessions": 2}, {"month": "2", "sessions": 3}])) == 3
 
 
+def test_texts_for_people(spark):
+    from datetime import datetime as D
+
+    assert reports.wrapped("aa bb cccccc d", 6) == "aa bb\ncccccc\nd" and reports.wrapped("", 5) == ""
+    assert [reports.listed(["a", "b", "c", "d", "e", "f"][:n]) for n in (0, 1, 2, 3, 5, 6)] == ["(none)", "a", "a and b", "a, b, and c", "a, b, c, d, and e", "a, b, c, ... (6 total)"]
+    assert [reports.size(n) for n in (5, 2048, 3 * 1024**2, 5 * 1024**3)] == ["5 B", "2.0 KB", "3.0 MB", "5.0 GB"]
+    assert reports.duration(D(2024, 1, 1), D(2024, 1, 3, 4, 5)) == "2d 4h 5m" and reports.duration(D(2024, 1, 1), D(2024, 1, 1, 0, 0, 59)) == "<1m"
+    assert reports.ago(D(2024, 1, 1), D(2024, 1, 1, 3)) == "3h ago" and reports.ago(D(2024, 1, 1), D(2024, 1, 1)) == "just now"
+    assert reports.minutes(None) == "-" and reports.minutes(59.9) == "59m" and reports.minutes(125) == "2h 5m"
+    assert reports.bar(50, 100, 4) == "\u2588\u2588\u2591\u2591" and reports.bar(9, 0, 2) == "\u2591\u2591" and reports.bar(900, 100, 2) == "\u2588\u2588" and reports.capitalized("été") == "Été"
+    assert reports.reset_time("2024-01-01T00:00:00+02:00").hour == 22 and reports.reset_time("x") is None and reports.reset_time(None) is None
+    page = reports.to_html({"T": spark.createDataFrame([("<b>", 1.0)], "name string, x double"), "E": spark.createDataFrame([], "x int")}, "R")
+    assert "&lt;b&gt;" in page and "1.00" in page and "Nothing" in page
+    events = [{"role": "user", "content": "hi", "ts": D(2024, 1, 1)}, {"role": "tool_call", "content": "<ls>", "tool": "Bash"}, {"role": "odd", "content": None}]
+    assert "## Tool (Bash)\n\n````\n<ls>\n````" in reports.session_markdown("s", events) and "&lt;ls&gt;" in reports.session_html("s", events)
+    rules = [{"category": "correction", "rule": "a"}, {"category": "context", "rule": "b"}]
+    assert reports.rules_text(rules, "inline") == "a; b" and reports.rules_text(rules, "list") == "- a\n- b" and reports.rules_text(rules).startswith("## Corrections\n\n- a\n\n## Context")
+    with pytest.raises(ValueError):
+        reports.rules_text(rules, "x")
+    s = reports.summary_markdown({"session_id": "s", "project": None, "outcome": "success", "turns": 3, "started": D(2024, 1, 1), "ended": D(2024, 1, 1, 1)}, "did it", "[Bash] make")
+    assert "- Took: 1h" in s and "[Bash] make" in s and "- Project: -" in s
+
+
 def test_bundled_connectors():
     from pathlib import Path
 

@@ -200,9 +200,37 @@ def test_usage_and_speech(spark, tmp_path):
     assert [tuple(x) for x in out["a"]] == [tuple(x) for x in out["b"]] == [("hi", 0, 1500)] and out["c"] is None
 
 
-def test_small_sources(spark, tmp_path):
-    p = write(tmp_path / "p.yaml", "version: 2\nprojects:\n  - name: a\n    color: '#12'\n    workspaces: [/w/a, {path: /w/b, role: archive}]\n  - label: x\n")
+def test_registry(spark, tmp_path):
+    p = write(tmp_path / "p.yaml", "version: 2\nprojects:\n  - name: a\n    color: '#12f'\n    workspaces: [/w/a, {path: /w/b, role: archive}, {path: /w/c}]\n  - label: x\n  - name: b\n    path: /w/d\n")
     projects, warnings = small.registry(p)
-    assert [w["path"] for w in projects[0]["workspaces"]] == ["/w/a", "/w/b"] and len(warnings) == 2
+    assert [w["path"] for w in projects[0]["workspaces"]] == ["/w/a", "/w/b", "/w/c"] and len(warnings) == 2 and projects[1]["workspaces"] == [{"path": "/w/d", "role": "primary"}]
+    assert small.registry_table(spark, projects).where("size(workspaces) = 3").count() == 1
+    small.migrate_registry(p)
+    assert small.registry(p)[0] == projects
+    for bad in ("- {name: a, path: /x}\n- {name: a, path: /y}", "- {name: a}", "- {name: a, path: /x, workspaces: [/y]}", "- {name: a, workspaces: [{path: ' '}]}", "- {name: a, path: /x, color: '#12'}", "- {name: a, workspaces: [{path: /x, role: ''}]}"):
+        with pytest.raises(small.RegistryError):
+            small.registry(write(tmp_path / "bad.yaml", bad))
+
+
+def test_small_sources(spark, tmp_path):
+    import subprocess
+
     assert small.cached_usage(tmp_path / "none.json", 10) is None
     assert small.commits(spark, str(tmp_path)).count() == 0
+    assert small.plan_of(tmp_path) == ("unknown", "unknown")
+    write(tmp_path / ".credentials.json", '{"claudeAiOauth": {"subscriptionType": "max"}}')
+    assert small.plan_of(tmp_path) == ("max", "unknown")
+    assert small.account_paths("/h/.claude", "/c") == {"account": "claude-default", "projects": "/h/.claude/projects", "usage": "/c/claude-usage/usage.json"}
+    assert small.account_paths("/h/.claude-two", "/c")["usage"] == "/c/claude-usage/.claude-two-usage.json"
+    assert small.blame_spec("a:b.rs:42") == ("a:b.rs", 42) and small.blame_spec("a.rs") == ("a.rs", None) and small.blame_spec("a:b") == ("a:b", None)
+    assert small.config(tmp_path / "no.toml", {"a": {"b": 1}}) == {"a": {"b": 1}}
+    assert small.config(write(tmp_path / "c.toml", "x = 2\n[a]\nc = 3\n"), {"a": {"b": 1}, "x": 1}) == {"a": {"b": 1, "c": 3}, "x": 2}
+    repo = tmp_path / "repo"
+    write(repo / "f.txt", "one\n")
+    for cmd in (["init", "-q"], ["add", "."], ["-c", "user.name=a", "-c", "user.email=a@b.c", "commit", "-qm", "a | b"]):
+        subprocess.run(["git", "-C", str(repo), *cmd], check=True)
+    c = small.commits(spark, str(repo)).first()
+    assert c.subject == "a | b" and c.short and c.hash.startswith(c.short)
+    known = spark.createDataFrame([(c.hash, "s1"), (c.short, "s1"), ("ffff", "s2"), ("", "s3")], "hash string, session_id string")
+    assert [r.session_id for r in small.blamed_sessions(spark, str(repo), "f.txt:1", known).collect()] == ["s1"]
+    assert small.blamed_sessions(spark, str(repo), "f.txt:9", known).count() == 0
