@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,14 @@ TOKENIZER_DIR = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Tokens and ids of a vocabulary file's contents: a token in base64 and its id a line."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return read_ranks(f.read())
 
 
 class LazyTransducer:
@@ -230,13 +236,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, one a process, so that its states serve all batches of an executor's worker."""
+def encoder(path: str, data: bytes | None = None) -> Encoder:
+    """The encoder of a vocabulary file (or of its contents), one a process, so that its states serve all batches of an executor's worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(load_ranks(path))
+        _encoders[path] = Encoder(load_ranks(path) if data is None else read_ranks(data))
     return _encoders[path]
 
 
+def _shipped(documents: DataFrame, path: str) -> Broadcast:
+    """The vocabulary file's contents, read where the job is planned: no executor needs the file (a public vocabulary has a megabyte or two)."""
+    with open(path, "rb") as f:
+        return documents.sparkSession.sparkContext.broadcast(f.read())
+
+
 def vocabulary(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, name)
 
@@ -244,9 +256,10 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, ids: one row a document; empty and null texts have the empty list."""
     path = path or vocabulary()
+    data = _shipped(documents, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(path, data.value)
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "ids": [enc.encode(t) for t in pdf[text]]})
 
@@ -258,10 +271,11 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str | None = No
     """``documents`` without its text, with ``n_tokens``; 0 for empty and null texts."""
     path = path or vocabulary()
     keep = [c for c in documents.columns if c != text]
+    data = _shipped(documents, path)
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(path, data.value)
         for pdf in batches:
             yield pdf[keep].assign(n_tokens=[len(enc.encode(t)) for t in pdf[text]])
 
