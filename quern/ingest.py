@@ -16,7 +16,7 @@ from quern.operators import documents, knowledge, relational
 from quern.segments import SEGMENT, Segments
 from quern.sources import files, sqlite
 from quern.sources.connector import Connector, expanded
-from quern.storage import Store
+from quern.storage import Store, matches
 
 #: Events as they are kept: the core columns and what some sources have besides.
 ARCHIVED = T.StructType([
@@ -123,7 +123,7 @@ def listing(spark: SparkSession, c: Connector) -> DataFrame:
     """path, mtime, length of a connector's files, listed by Spark (in parallel, on any file system) without reading them; excluded and empty ones left out."""
 
     def of(patterns: list[str]) -> DataFrame:
-        found = [p for p in map(expanded, patterns) if _matches(spark, p)]
+        found = [p for p in map(expanded, patterns) if matches(spark, p)]
         if not found:
             return spark.createDataFrame([], "path string, mtime timestamp, length bigint")
         return spark.read.format("binaryFile").load(found).select("path", F.col("modificationTime").alias("mtime"), "length").distinct()
@@ -131,12 +131,6 @@ def listing(spark: SparkSession, c: Connector) -> DataFrame:
     return of(c.paths).join(of(c.exclude).select("path"), "path", "left_anti")
 
 
-def _matches(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    got = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return got is not None and len(got) > 0
-
-
 def changed(listed: DataFrame, seen: DataFrame, c: Connector) -> DataFrame:
     """path, mtime, length of the files to read: new, modified or shrunk ones; all of a source that rotates."""
     return listed if c.truncation_limit else relational.changed_files(listed, seen.select("path", "mtime", "length"))

@@ -145,16 +145,6 @@ def summary(events: DataFrame, limit: int = 80, missing: str | None = NO_PROMPT)
     return every.join(out, "session_id", "left").select("session_id", F.coalesce(F.nullif(F.col("prompt"), F.lit("")), F.lit(missing)).alias("summary"))
 
 
-def code_artifacts(events: DataFrame) -> DataFrame:
-    """session_id, seq, block_no, language, code, is_final: fenced blocks of assistant messages, the last of a language in a session final."""
-    e = events.where((F.col("role") == "assistant") & F.col("content").contains("```"))
-    langs, codes = F.regexp_extract_all("content", F.lit(FENCE), 1), F.regexp_extract_all("content", F.lit(FENCE), 2)
-    blocks = e.select("session_id", "seq", F.posexplode(F.arrays_zip(langs.alias("language"), codes.alias("code"))).alias("block_no", "b"))
-    blocks = blocks.select("session_id", "seq", "block_no", "b.language", "b.code").where(F.trim(F.regexp_replace("code", r"\s+", " ")) != "")
-    last = Window.partitionBy("session_id", "language").orderBy(F.desc("seq"), F.desc("block_no"))
-    return blocks.withColumn("is_final", F.row_number().over(last) == 1)
-
-
 def solution_start(events: DataFrame) -> DataFrame:
     """session_id, from_idx: where the solution begins, at the last error of a tool or, without one, a third of the way in."""
     e = _with(events, {"error": signals()["error"]}).select("session_id", "seq", F.lit(1).alias("one"), "error")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import blocks
+from quern.sources.connector import PATH_HINTS, Connector, pattern_of
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, bucket_seconds: int = 86_400) -> DataFrame:
@@ -33,6 +36,34 @@ def longest_prefix_join(rows: DataFrame, table: DataFrame, name: str, key: str)
     return rows.join(best, name, "left")
 
 
+def prefix_join(rows: DataFrame, table: DataFrame, name: str, key: str) -> DataFrame:
+    """Each row with the table row whose key equals its name, else whose key is the longest prefix of it, else whose name is a prefix of the key (the longest), else nulls.
+
+    Both sides' prefixes are exploded and joined by equality; a name takes one
+    row, equal lengths the smallest key.
+    """
+    names = rows.select(name).where(F.col(name).isNotNull()).distinct()
+    heads = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
+    of_name = names.where(F.length(name) > 0).withColumn("__p", F.explode(heads(name))).join(table, F.col("__p") == F.col(key))
+    of_key = table.where(F.length(key) > 0).withColumn("__p", F.explode(heads(key))).join(names, F.col("__p") == F.col(name))
+    rank = F.when(F.col(key) == F.col(name), 0).when(F.length(key) <= F.length(name), 1).otherwise(2)
+    hit = of_name.drop("__p").unionByName(of_key.drop("__p")).withColumn("__r", F.struct(rank, -F.length(key), F.col(key)))
+    best = hit.groupBy(name).agg(F.min_by(F.struct(*table.columns), "__r").alias("__m")).select(name, "__m.*")
+    return rows.join(best, name, "left")
+
+
+def route(changes: DataFrame, path: str, connectors: list[Connector]) -> DataFrame:
+    """Changed paths with the first connector, in order of names, whose patterns they fit and whose exclusions they do not; null for none."""
+    fits = lambda ps: reduce(lambda a, b: a | b, [F.col(path).rlike("^" + pattern_of(p) + "$") for p in ps], F.lit(False))
+    first = F.coalesce(*[F.when(fits(c.paths) & ~fits(c.exclude), F.lit(c.name)) for c in sorted(connectors, key=lambda c: c.name)], F.lit(None).cast("string"))
+    return changes.withColumn("connector", first)
+
+
+def guessed(path: Column) -> Column:
+    """The agent that a part of a path tells."""
+    return reduce(lambda acc, h: acc.when(path.contains(h[0]), h[1]), PATH_HINTS, F.when(F.lit(False), ""))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows whose key is not in the new ones, and the new ones."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

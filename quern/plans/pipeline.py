@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.adapters import EVENTS_SQL, USAGE_SQL, log_events, usage_turns
+from quern.functions import text as T
 from quern.operators import capacity, enrich, relational
 from quern.plans import search, sessions
 from quern.session import table
+from quern.sources.connector import Connector
+from quern.streaming import streams
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -63,9 +68,21 @@ def gap_sessions(spark, d):
 
 @add("stream_window_counts", """select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
 def stream_window_counts(spark, d):
-    """The windowed counts that the event-time stream emits, in batch (tests compare the stream with it)."""
-    w = F.window(F.col("ts"), "1 hour")
-    return table(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    """Event-time windows, counted by a stream over the table's files until it has read them all."""
+    schema = table(spark, d, "events").schema
+    s = streams.window_counts(streams.table_files(spark, f"{d}/events.parquet", schema))
+    done = streams.run_to_end(s, f"windows_{uuid.uuid4().hex[:12]}", "complete")
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@add("stream_sessions", """with g as (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800 * 1000000 then 0 else 1 end as b from events), s as (select user_id, ts, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, min(ts) as started, max(ts) + interval 30 minute as until, count(*) as n from s group by user_id, k""")
+def stream_sessions(spark, d):
+    """Gap sessions by a stream over the table's files."""
+    schema = table(spark, d, "events").schema
+    s = streams.sessions(streams.table_files(spark, f"{d}/events.parquet", schema))
+    done = streams.run_to_end(s, f"sessions_{uuid.uuid4().hex[:12]}", "complete")
+    return done.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("until").cast("timestamp_ntz").alias("until"), "n")
 
 
 @add("interval_commits", f"""{sessions._FACTS}, c as (select line_id as commit_id, received_at as ts, project from session_messages join workspaces using (cwd) where input_command like 'git %')
@@ -99,9 +116,33 @@ def tree_join3(spark, d):
     return relational.tree_events(s, m, p).select("session_id", "message_id", "part_id", "role", "mpos", "ppos")
 
 
-@add("md_sessions", "select doc_id as file, len(regexp_extract_all(text, '(?m)^# aider chat started at \\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}')) as sessions from documents where source = 'aider' and text is not null")
+_MD = """md as (select doc_id as file, 'before' || chr(10) || '# aider chat started at 2024-01-02 03:04:05' || chr(10) || replace(replace(text, '[user] ', '#### '), '$ ', '> ') || chr(10) || '# aider chat started at 2024-02-03 04:05:06' || chr(10) || 'lost' || chr(10) || '#### again ' as text from documents where source = 'aider' and text is not null),
+    ml as (select file, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from md),
+    mm as (select *, case when starts_with(line, '#### ') then 'user' when starts_with(line, '> ') then 'tool_result' end as role, regexp_matches(line, '^# aider chat started at \\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}') as is_d from ml),
+    ms as (select *, sum(cast(is_d as integer)) over (partition by file order by n) as session_no from mm),
+    me as (select *, count(*) filter (where role is not null and not is_d) over (partition by file, session_no order by n) as event_no, max(case when is_d then regexp_extract(line, '(\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2})', 1) end) over (partition by file, session_no) as started from ms),
+    mev as (select file, session_no, event_no, max(role) as role, any_value(started) as started, regexp_replace(string_agg(case when role = 'user' then substr(line, 6) when role = 'tool_result' then substr(line, 3) else line end, chr(10) order by n), '\\s+$', '') as content
+      from me where not is_d and event_no > 0 group by 1, 2, 3)"""
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts in Markdown made of the texts of one source: two sessions each, text before and behind delimiters that belongs to none."""
+    t = F.replace(F.replace("text", F.lit("[user] "), F.lit("#### ")), F.lit("$ "), F.lit("> "))
+    whole = F.concat(F.lit("before\n# aider chat started at 2024-01-02 03:04:05\n"), t, F.lit("\n# aider chat started at 2024-02-03 04:05:06\nlost\n#### again "))
+    return table(spark, d, "documents").where("source = 'aider' and text is not null").select(F.col("doc_id").alias("file"), whole.alias("text"))
+
+
+@add("md_events", f"with {_MD} select file, cast(session_no as bigint) as session_no, event_no, role, started, md5(content) as digest from mev")
+def md_events(spark, d):
+    """Events of Markdown transcripts by the state of their lines."""
+    e = relational.markdown_events(_transcripts(spark, d))
+    return e.select("file", "session_no", "event_no", "role", "started", F.md5("content").alias("digest"))
+
+
+@add("md_sessions", f"with {_MD} select file, count(distinct session_no) as sessions, count(*) as events from mev group by 1")
 def md_sessions(spark, d):
-    return table(spark, d, "documents").where("source = 'aider' and text is not null").select(F.col("doc_id").alias("file"), F.regexp_count("text", F.lit(r"(?m)^# aider chat started at \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}")).cast("bigint").alias("sessions"))
+    e = relational.markdown_events(_transcripts(spark, d))
+    return e.groupBy("file").agg(F.count_distinct("session_no").alias("sessions"), F.count("*").alias("events"))
 
 
 @add("md_roles", """with l as (select doc_id as file, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents where source = 'aider' and text is not null),
@@ -261,4 +302,91 @@ def order_lines(spark, d):
     return j.groupBy("o_orderpriority").agg(F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+@add("path_fields", """select line_id, regexp_extract(input_file_path, '[^/]*$') as name, nullif(regexp_extract(regexp_extract(input_file_path, '[^/]*$'), '[^.]\\.([^.]*)$', 1), '') as extension, nullif(regexp_replace(input_file_path, '/?[^/]*$', ''), '') as parent
+    from session_messages where input_file_path is not null""")
+def path_fields(spark, d):
+    m = table(spark, d, "session_messages").where("input_file_path is not null")
+    return m.select("line_id", T.path_parts(F.col("input_file_path")).alias("p")).select("line_id", "p.*")
+
+
+_EXTS = "|".join(T.FILE_EXTENSIONS)
+
+
+@add("path_like", f"""select w, count(*) as n from (select unnest(regexp_split_to_array(msg_content, '\\s+')) as w from session_messages where msg_content is not null) where not regexp_matches(w, '^(?:https?|ftp)://') and not contains(w, chr(27))
+    and (regexp_matches(w, '^(?:~/|\\.{{1,2}}/|/[\\p{{L}}\\p{{N}}])') or regexp_matches(w, '\\.(?:{_EXTS})$')) group by 1""")
+def path_like(spark, d):
+    """Words of messages that look like a file's path."""
+    w = table(spark, d, "session_messages").where("msg_content is not null").select(F.explode(F.split("msg_content", r"\s+")).alias("w"))
+    return w.where(T.path_like(F.col("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@add("resolved_paths", """select line_id, case when starts_with(input_file_path, '/') then input_file_path when starts_with(input_file_path, '~/') then '/home/me/' || substr(input_file_path, 3) when cwd is not null then regexp_replace(cwd, '/+$', '') || '/' || input_file_path else input_file_path end as path
+    from session_messages where input_file_path is not null""")
+def resolved_paths(spark, d):
+    m = table(spark, d, "session_messages").where("input_file_path is not null")
+    return m.select("line_id", T.resolve_path(F.col("input_file_path"), F.col("cwd"), F.lit("/home/me")).alias("path"))
+
+
+_CONNECTORS = {"claude-code": ["/logs/**/arc*-1*.jsonl"], "codex": ["/logs/?/*.jsonl"], "rest": ["/logs/**"]}
+
+
+def _connectors() -> list[Connector]:
+    return [Connector(n, "1", p, "jsonl", exclude=["/logs/**/*7.jsonl"]) for n, p in _CONNECTORS.items()]
+
+
+_AT = "'/logs/' || left(md5(file_name), 1) || '/' || file_name || case when file_name like '%.jsonl' then '' else '.jsonl' end"
+
+
+@add("change_routes", f"""select path, case when regexp_matches(path, '^/logs/(?:.*/)?[^/]*7\\.jsonl$') then null when regexp_matches(path, '^/logs/(?:.*/)?arc[^/]*-1[^/]*\\.jsonl$') then 'claude-code'
+    when regexp_matches(path, '^/logs/[^/]/[^/]*\\.jsonl$') then 'codex' when regexp_matches(path, '^/logs/.*$') then 'rest' end as connector from (select distinct {_AT} as path from raw_lines)""")
+def change_routes(spark, d):
+    """Changed files with the first connector whose patterns they fit."""
+    ends = F.when(F.col("file_name").endswith(".jsonl"), F.lit("")).otherwise(F.lit(".jsonl"))
+    p = table(spark, d, "raw_lines").select(F.concat(F.lit("/logs/"), F.left(F.md5("file_name"), F.lit(1)), F.lit("/"), "file_name", ends).alias("path")).distinct()
+    return relational.route(p, "path", _connectors())
+
+
+@add("guessed_agents", "select case when contains(p, '.claude') then 'claude-code' when contains(p, 'aider') then 'aider' when contains(p, 'codex') then 'codex' when contains(p, 'opencode') then 'opencode' end as agent, count(*) as n from (select '/x/.' || agent || '/' || file_name as p from raw_lines) group by 1")
+def guessed_agents(spark, d):
+    """Agents told by a part of the path."""
+    p = table(spark, d, "raw_lines").select(F.concat(F.lit("/x/."), "agent", F.lit("/"), "file_name").alias("p"))
+    return p.select(relational.guessed(F.col("p")).alias("agent")).groupBy("agent").agg(F.count("*").alias("n"))
+
+
+@add("metadata_models", f"with {EVENTS_SQL}, md as (select thread_id, max(model) as model from rollout_records where thread_id is not null and model is not null group by 1) select source_file, coalesce(max(r.model), max(md.model)) as model from rollout_records r left join md using (thread_id) group by 1")
+def metadata_models(spark, d):
+    """Models of sessions, filled in from metadata by their id."""
+    r = table(spark, d, "rollout_records").select("source_file", "thread_id", "model")
+    md = r.where("thread_id is not null and model is not null").groupBy("thread_id").agg(F.max("model").alias("known"))
+    return r.join(md, "thread_id", "left").groupBy("source_file").agg(F.coalesce(F.max("model"), F.max("known")).alias("model"))
+
+
+@add("scrape_status", f"""with {EVENTS_SQL}, per as (select source_agent, count(distinct session_id) as sessions, count(*) as events, cast(sum(strlen(content)) as bigint) as bytes from ev group by 1),
+    seen as (select agent as source_agent, count(distinct file_name) as files, max(received_at) as last_scraped from raw_lines group by 1) select source_agent, sessions, events, bytes, files, last_scraped from per left join seen using (source_agent)""")
+def scrape_status(spark, d):
+    """Each agent's sessions beside what was scraped of it."""
+    per = log_events(spark, d, {"n_bytes": F.octet_length("content")}).groupBy("source_agent", "session_id").agg(F.count("*").alias("e"), F.sum("n_bytes").alias("b"))
+    g = per.groupBy("source_agent").agg(F.count("*").alias("sessions"), F.sum("e").alias("events"), F.sum("b").alias("bytes"))
+    seen = table(spark, d, "raw_lines").groupBy(F.col("agent").alias("source_agent")).agg(F.count_distinct("file_name").alias("files"), F.max("received_at").alias("last_scraped"))
+    return g.join(seen, "source_agent", "left")
+
+
+@add("both_prefixes", """with names as (select distinct model from documents where model is not null), k(key, tier) as (values ('gpt', 1), ('gpt-main', 2), ('sonnet', 3), ('opus-large-2', 4))
+    select model, (select key from k where starts_with(model, key) or starts_with(key, model) order by case when key = model then 0 else 1 end, case when starts_with(model, key) then 0 else 1 end, length(key) desc, key limit 1) as key from names""")
+def both_prefixes(spark, d):
+    """Names joined to keys that are a prefix of them, or of which they are one."""
+    k = spark.createDataFrame([("gpt", 1), ("gpt-main", 2), ("sonnet", 3), ("opus-large-2", 4)], "key string, tier int")
+    m = table(spark, d, "documents").where("model is not null").select("model").distinct()
+    return relational.prefix_join(m, k, "model", "key").select("model", "key")
+
+
+@add("result_json", """select source_agent as agent, to_json({'sessions': count(distinct session_id), 'first': min(ts), 'fuzzy_fallback': null}) is not null as ok, count(*) as n from (select 'claude-code' as source_agent, session_id, received_at as ts from session_messages) group by 1""")
+def result_json(spark, d):
+    """Aggregates as JSON lines and back."""
+    g = table(spark, d, "session_messages").groupBy(F.lit("claude-code").alias("agent")).agg(F.count_distinct("session_id").alias("sessions"), F.min("received_at").alias("first"), F.count("*").alias("n"))
+    line = F.to_json(F.struct("sessions", "first"))
+    back = F.from_json(line, "sessions bigint, first timestamp_ntz")
+    return g.select("agent", (back["sessions"] == F.col("sessions")).alias("ok"), "n")
+
+
 QUERIES, SQL = Q, S

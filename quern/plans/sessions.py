@@ -76,16 +76,6 @@ def summary(spark, d):
     return enrich.summary(log_events(spark, d))
 
 
-_ART = f"""with {EVENTS_SQL}, b as (select session_id, seq, regexp_extract_all(content, '{enrich.FENCE}', 1) as l, regexp_extract_all(content, '{enrich.FENCE}', 2) as c from ev where role = 'assistant' and contains(content, '```')),
-    u as (select session_id, seq, unnest(l) as language, unnest(c) as code, unnest(range(len(l))) as block_no from b)
-    select session_id, seq, cast(block_no as integer) as block_no, language, code, row_number() over (partition by session_id, language order by seq desc, block_no desc) = 1 as is_final from u where regexp_replace(code, '\\s', '', 'g') <> ''"""
-
-
-@query("final_artifact", _ART)
-def final_artifact(spark, d):
-    return enrich.code_artifacts(log_events(spark, d))
-
-
 @query("signal_last_wins", f"""{_FLAGS} select session_id, coalesce(max(seq) filter (where happy), -1) as last_happy, coalesce(max(seq) filter (where sad), -1) as last_sad,
     coalesce(max(seq) filter (where happy) > coalesce(max(seq) filter (where sad), -1), false) as satisfied from f group by 1""")
 def signal_last_wins(spark, d):
@@ -241,10 +231,11 @@ def agg_growth(spark, d):
     return g.withColumn("growth", F.round((F.col("last_n") - F.col("first_n")) * 100.0 / F.col("first_n"), 6))
 
 
-@query("agg_model_usage", f"{_FACTS} select coalesce(model, 'unknown') as model, count(*) as sessions, cast(sum(content_bytes) as bigint) as bytes, round({_RATE}, 6) as success_rate from facts group by 1")
+@query("agg_model_usage", f"{_FACTS} select coalesce(model, 'unknown') as model, count(*) as sessions, cast(sum(content_bytes) as bigint) as bytes, sum(content_bytes) / 4.0 as tokens, round({_RATE}, 6) as success_rate, row_number() over (order by count(*) desc, coalesce(model, 'unknown')) as place from facts group by 1")
 def agg_model_usage(spark, d):
     g = session_facts(spark, d).groupBy(F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.count("*").alias("sessions"), F.sum("content_bytes").alias("bytes"), F.count_if(F.col("outcome") == "success").alias("s"))
-    return g.select("model", "sessions", "bytes", F.round(F.col("s") * 100.0 / F.col("sessions"), 6).alias("success_rate"))
+    place = F.row_number().over(Window.orderBy(F.desc("sessions"), "model"))  # a row a model
+    return g.select("model", "sessions", "bytes", (F.col("bytes") / 4.0).alias("tokens"), F.round(F.col("s") * 100.0 / F.col("sessions"), 6).alias("success_rate"), place.alias("place"))
 
 
 @query("agg_by_project", f"{_FACTS} select project, count(*) as sessions, round(100.0 * count(*) / sum(count(*)) over (), 6) as share from facts where project is not null group by 1")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.adapters import EVENT_COLUMNS, canonical_role
 from quern.operators import blocks, relational
 from quern.sources.connector import Connector, expanded
+from quern.storage import matches
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -111,7 +112,10 @@ def git_roots(events: DataFrame) -> DataFrame:
 
 def model_of_metadata(spark: SparkSession, events: DataFrame, template: str, field: str) -> DataFrame:
     """Events with the model that a metadata file of their session names; ``template`` is its path with ``{session_id}``."""
-    found = spark.read.text(expanded(template).replace("{session_id}", "*"), wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("at"))
+    pattern = expanded(template).replace("{session_id}", "*")
+    if not matches(spark, pattern):
+        return events
+    found = spark.read.text(pattern, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("at"))
     head, tail = (re.escape(Path(x).name if i == 0 and not x.endswith("/") else "" if i == 0 else x) for i, x in enumerate(template.split("{session_id}")))
     ident = F.regexp_extract("at", f"{head}([^/]*){tail}$", 1)
     models = found.select(ident.alias("__id"), _get(field).alias("__model")).where("__id != '' and __model is not null").groupBy("__id").agg(F.max("__model").alias("__model"))

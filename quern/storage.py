@@ -9,6 +9,13 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    got = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return got is not None and len(got) > 0
+
+
 class Store:
     """A folder on any file system that Spark can reach."""
 

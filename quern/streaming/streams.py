@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from quern.adapters import EVENT
 from quern.ingest import Archive, ingest
+from quern.session import shared_folder
 from quern.sources.connector import Connector, expanded
 
 
@@ -20,6 +23,11 @@ def timed(events: DataFrame, column: str = "ts") -> DataFrame:
     return events.withColumn(column, F.col(column).cast("timestamp"))
 
 
+def table_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The files of a Parquet table, one file or a folder of them, as a stream."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, for a stream's path may be no single file
+
+
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per window and type; rows later than the watermark are left out."""
     e = timed(events).withWatermark("ts", late)
@@ -115,8 +123,9 @@ def debounce(changes: DataFrame, quiet_ms: int = 5_000) -> DataFrame:
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "append", after: Callable[[], None] | None = None) -> DataFrame:
-    """Run a stream over what is there into a table in memory (tests, bounded replays)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there into a table in memory (tests, bounded replays, small results)."""
+    at = f"{shared_folder(df.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
     q.awaitTermination()
     if after:
         after()
