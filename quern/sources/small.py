@@ -125,6 +125,18 @@ def commits(spark: SparkSession, repo: str, since: str | None = None) -> DataFra
     return spark.createDataFrame(rows, "hash string, short string, at string, author string, subject string").selectExpr("hash", "short", "author", "cast(try_to_timestamp(at) as timestamp_ntz) as ts", "subject")
 
 
+def commit_folder(folder: str, message: str) -> str | None:
+    """Keep a folder's present state in version control (set up where there is none); the commit, or None if nothing changed."""
+    run = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, check=False)
+    if run("rev-parse", "--git-dir").returncode:
+        run("init", "-q")
+    run("add", "-A")
+    if run("diff", "--cached", "--quiet").returncode == 0:
+        return None
+    done = run("-c", "user.name=quern", "-c", "user.email=quern@localhost", "commit", "-qm", message)
+    return run("rev-parse", "HEAD").stdout.strip() if done.returncode == 0 else None
+
+
 def blame(repo: str, file: str, line: int) -> str | None:
     done = subprocess.run(["git", "-C", repo, "blame", "--porcelain", "-L", f"{line},{line}", "--", file], capture_output=True, text=True, check=False)
     return done.stdout.split(" ", 1)[0] or None if done.returncode == 0 else None

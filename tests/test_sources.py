@@ -234,3 +234,7 @@ def test_small_sources(spark, tmp_path):
     known = spark.createDataFrame([(c.hash, "s1"), (c.short, "s1"), ("ffff", "s2"), ("", "s3")], "hash string, session_id string")
     assert [r.session_id for r in small.blamed_sessions(spark, str(repo), "f.txt:1", known).collect()] == ["s1"]
     assert small.blamed_sessions(spark, str(repo), "f.txt:9", known).count() == 0
+    folder = str(tmp_path / "kept")
+    write(tmp_path / "kept" / "x", "1")
+    first = small.commit_folder(folder, "one")
+    assert first and small.commit_folder(folder, "two") is None and small.commits(spark, folder).count() == 1
