@@ -203,16 +203,23 @@ _ORDER = {
 RESULT = ["session_id", "source_agent", "project", "timestamp", "turns", "outcome", "score", "summary", "snippet", "tags", "doc_type", "model", "token_count"]
 
 
-def _page(index: Index, hits: DataFrame, s: Search) -> DataFrame:
-    """The best hits with what a result shows; without a text clause all scores tie, and the order asked for picks them."""
+def _best(index: Index, hits: DataFrame, s: Search) -> list[tuple[str, float]]:
+    """(doc_id, score) of the page, five pages at most; without a text clause all scores tie, and the order asked for picks."""
     n = s.limit * 5 if s.token_budget else s.limit
-    meta = index.documents()
     if not (s.query or s.code or s.like) and s.sort != "relevance":
-        order = _ORDER[s.sort]()
-        best = hits.join(meta.select("doc_id", "timestamp", F.col("turn_count").alias("turns")), "doc_id").orderBy(*order).offset(s.offset).limit(n).select("doc_id", "score")
+        meta = index.documents().select("doc_id", "timestamp", F.col("turn_count").alias("turns"))
+        best = hits.join(meta, "doc_id").orderBy(*_ORDER[s.sort]())
     else:
-        best = hits.orderBy(F.desc("score"), "doc_id").offset(s.offset).limit(n)
-    d = best.join(meta, "doc_id").select("doc_id", *RESULT[:3], "timestamp", F.col("turn_count").alias("turns"), "outcome", "score", "summary", T.snippet(F.coalesce("content", F.lit("")), s.snippet_length).alias("snippet"), "tags", "doc_type", "model")
+        best = hits.orderBy(F.desc("score"), "doc_id")
+    return [(r.doc_id, r.score) for r in best.select("doc_id", "score").offset(s.offset).limit(n).collect()]
+
+
+def _page(index: Index, best: list[tuple[str, float]], s: Search) -> DataFrame:
+    """What a result shows of the documents of a page; only these are read."""
+    scored = index.spark.createDataFrame(best, "doc_id string, score double")
+    meta = index.documents().where(F.col("doc_id").isin([i for i, _ in best]))
+    d = meta.join(F.broadcast(scored), "doc_id")  # a page
+    d = d.select("doc_id", *RESULT[:3], "timestamp", F.col("turn_count").alias("turns"), "outcome", "score", "summary", T.snippet(F.coalesce("content", F.lit("")), s.snippet_length).alias("snippet"), "tags", "doc_type", "model")
     return d.withColumn("token_count", T.token_cost(F.col("snippet"), F.col("summary")).cast("bigint"))
 
 
@@ -225,22 +232,21 @@ def search(index: Index, s: Search) -> tuple[DataFrame, bool]:
     up without scores.
     """
     if s.session is not None:
-        d = index.documents().where((F.col("session_id") == s.session) & (F.col("doc_type") == "session")).limit(1)
-        return _page(index, d.select("doc_id", F.lit(1.0).alias("score")), s).select(*RESULT), False
+        one = index.documents().where((F.col("session_id") == s.session) & (F.col("doc_type") == "session")).select("doc_id").limit(1).collect()
+        return _page(index, [(r.doc_id, 1.0) for r in one], s).select(*RESULT), False
     q = parse(s.query or "")
     if not any((s.query, s.error, s.code, s.like, s.file_path, s.git_commit)):
         raise ValueError("a search needs words, an error, code, a session or a filter by file or commit")
-    hits = _hits(index, s, q, s.fuzzy)
+    best = _best(index, _hits(index, s, q, s.fuzzy), s)
     plain = s.query and not (s.fuzzy or s.error or s.code or s.like)
-    second = bool(plain and (q.should or q.must) and hits.isEmpty())
+    second = bool(plain and (q.should or q.must) and not best)
     if second:
-        hits = _hits(index, s, q, True)
-    page = _page(index, hits, s)
+        best = _best(index, _hits(index, s, q, True), s)
+    page = _page(index, best, s)
     if s.token_budget:
         rows = [r.asDict(recursive=True) for r in page.orderBy(F.desc("score"), "doc_id").collect()]  # five pages at most
-        kept = pack(rows, s.token_budget)
-        page = index.spark.createDataFrame(kept, page.schema)
-    return page.orderBy(*_ORDER[s.sort]()).select(*RESULT), second
+        page = index.spark.createDataFrame(pack(rows, s.token_budget), page.schema)
+    return page.orderBy(*_ORDER[s.sort]()).select(*RESULT), bool(second and best)
 
 
 def _cut(text: str, limit: int) -> str:
