@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import blocks, enrich
+from quern.session import shared_checkpoint
 
 # What tells an error to the search for the solution, in a tool's result and in a user's message.
 RESULT_ERRORS = ["error", "failed", "failure", "panic", "exception", "traceback", "fatal", "exit code", "segfault", "permission denied"]
@@ -59,11 +60,17 @@ def structural_tags(prints: Column | None = None) -> Column:
     return own if prints is None else F.concat(own, F.coalesce(F.transform(prints, F.lower), F.array().cast("array<string>")))
 
 
+def own_tags(words: list[str] | None = None) -> dict[str, Column]:
+    """Of an event: its tags of all tiers."""
+    prints = T.error_fingerprints(F.col("content"))
+    every = F.concat(explicit_tags(), structural_tags(prints), keyword_tags(F.col("content"), words or []))
+    return {"own_tags": F.filter(F.array_distinct(every), lambda t: t.isNotNull())}
+
+
 def tags(events: DataFrame, words: list[str] | None = None) -> DataFrame:
     """session_id, tags: the sorted union of explicit, structural and (with a dictionary) keyword tags."""
-    prints = F.col("prints") if "prints" in events.columns else T.error_fingerprints(F.col("content"))
-    every = F.concat(explicit_tags(), structural_tags(prints), keyword_tags(F.col("content"), words or []))
-    each = events.select("session_id", F.explode(F.array_distinct(every)).alias("tag")).where("tag is not null").distinct()
+    e = events if "own_tags" in events.columns else events.withColumns(own_tags(words))
+    each = e.select("session_id", F.explode("own_tags").alias("tag")).distinct()
     return each.groupBy("session_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
 
 
@@ -90,7 +97,7 @@ def solutions(events: DataFrame, cap: int = SOLUTION_BYTES) -> DataFrame:
     into the cap are gathered.  Sessions without such calls give no row.
     """
     e = events if "did" in events.columns else events.withColumns(solution_lines())
-    e = blocks.running(e.select("session_id", "seq", "failed", "did", F.lit(1).alias("one")), "session_id", "seq", "one", "idx", total="n")
+    e = shared_checkpoint(blocks.running(e.select("session_id", "seq", "failed", "did", F.lit(1).alias("one")), "session_id", "seq", "one", "idx", total="n"))
     last = e.groupBy("session_id").agg(F.max(F.when(F.col("failed"), F.col("idx"))).alias("last_error"))
     e = e.where("did is not null").join(last, "session_id").where(F.col("idx") >= F.coalesce("last_error", F.floor(F.col("n") / 3)))
     e = blocks.running(e.select("session_id", "seq", "did", (F.octet_length("did") + 1).alias("size")), "session_id", "seq", "size", "head").where(F.col("head") <= cap)
@@ -111,7 +118,11 @@ def key_files(events: DataFrame, most: int = 3) -> DataFrame:
 
 def summaries(events: DataFrame, limit: int = 80) -> DataFrame:
     """session_id, summary: the first prompt, cut, and the key files in parentheses; a fixed text without either."""
-    s = enrich.summary(events, limit, None).join(key_files(events), "session_id", "left")
+    return with_files(enrich.summary(events, limit, None), key_files(events))
+
+
+def with_files(prompts: DataFrame, names: DataFrame) -> DataFrame:
+    s = prompts.join(names, "session_id", "left")
     files = F.when(F.size("files") > 0, F.concat(F.lit("("), F.array_join("files", ", "), F.lit(")")))
     return s.select("session_id", F.coalesce(F.nullif(F.concat_ws(" ", "summary", files), F.lit("")), F.lit(enrich.NO_PROMPT)).alias("summary"))
 
@@ -135,12 +146,15 @@ def artifacts(events: DataFrame) -> DataFrame:
 
 def session_documents(events: DataFrame, words: list[str] | None = None, commits: DataFrame | None = None) -> DataFrame:
     """One document a session.  ``commits``: session_id, hash."""
-    e = events.withColumns({"prints": T.error_fingerprints(F.col("content")), **enrich.signals()})
+    # what is told by the texts, without them, written once
+    told = {"prints": T.error_fingerprints(F.col("content")), **enrich.signals(), **solution_lines(), **own_tags(words)}
+    e = shared_checkpoint(events.withColumns(told).drop("content"))
     facts = enrich.facts(e)
     prints = e.select("session_id", F.explode("prints").alias("p")).distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("p")).alias("error_fingerprint"))
     paths = e.where("path is not null").select("session_id", "path").distinct().groupBy("session_id").agg(F.array_sort(F.collect_list("path")).alias("file_paths"))
-    d = facts.join(enrich.content(events), "session_id").join(summaries(events), "session_id").join(solutions(events).withColumnRenamed("solution", "solution_summary"), "session_id", "left")
-    d = d.join(tags(e, words), "session_id", "left").join(prints, "session_id", "left").join(paths, "session_id", "left")
+    summary = with_files(enrich.summary(events, missing=None), key_files(e))
+    d = facts.join(enrich.content(events), "session_id").join(summary, "session_id").join(solutions(e).withColumnRenamed("solution", "solution_summary"), "session_id", "left")
+    d = d.join(tags(e), "session_id", "left").join(prints, "session_id", "left").join(paths, "session_id", "left")
     if commits is not None:
         d = d.join(commits.groupBy("session_id").agg(F.array_sort(F.collect_set("hash")).alias("git_commits")), "session_id", "left")
     empty = F.array().cast("array<string>")

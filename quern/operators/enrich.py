@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import blocks
+from quern.session import shared_checkpoint
 
 # Signals of the outcome and their weights.
 SATISFACTION = r"(?i)\b(thanks|thank you|works? now|fixed|perfect|great|awesome|that worked|exactly what|helped|solved)\b"
@@ -174,7 +175,8 @@ def rejection_windows(events: DataFrame, block: int = blocks.BLOCK) -> DataFrame
     """
     e = _with(events, step())
     steps = blocks.running(e.select("session_id", "seq", F.lit(1).alias("one"), "step"), "session_id", "seq", "one", "idx").where("step is not null")
-    s = steps.select("session_id", F.floor(F.col("idx") / block).alias("blk"), "idx", "step")
+    # a few bytes a step, written once and read by the windows and sums below
+    s = shared_checkpoint(steps.select("session_id", F.floor(F.col("idx") / block).alias("blk"), "idx", "step"))
     before = Window.partitionBy("session_id", "blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("part", F.coalesce(F.count_if(F.col("step") == 4).over(before), F.lit(0)))
     since = Window.partitionBy("session_id", "blk", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)

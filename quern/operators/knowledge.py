@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import blocks, documents, enrich
+from quern.session import shared_checkpoint
 
 ALTERNATIVES = 5
 # Commands that build, and folders of tests.
@@ -31,6 +32,8 @@ def antipatterns(events: DataFrame, most: int = ALTERNATIVES) -> DataFrame:
     ended well.
     """
     e = events if "prints" in events.columns else events.withColumns(read())
+    # flags and fingerprints without the texts, written once and read by all that follows
+    e = shared_checkpoint(e.select("session_id", "seq", "role", "source_agent", "project", "model", "ts", "path", *read()))
     failed = enrich.outcome(e).where("outcome in ('failure', 'abandoned')").select("session_id")
     at = blocks.running(e.select("session_id", "seq", "role", "prints", F.lit(1).alias("one")), "session_id", "seq", "one", "idx")
     prints = at.where("size(prints) > 0").select("session_id", "idx", "role", F.explode("prints").alias("fingerprint"))
@@ -86,23 +89,28 @@ def file_samples(touches: DataFrame, facts: DataFrame, most: int = 5) -> DataFra
     return first_of(touches.join(facts.select("session_id", "started"), "session_id"), ["path"], [F.desc("started"), F.asc("session_id")], most)
 
 
-def habits(events: DataFrame) -> DataFrame:
-    """project, kind, value, n: how often a project's events show a command, tool, fence language, file extension, error or test folder.
-
-    One pass: each event gives the few values it shows, counts are added up in
-    the tasks.  Events without project show nothing.
-    """
-    e = events if "prints" in events.columns else events.withColumn("prints", T.error_fingerprints(F.col("content")))
+def shown() -> dict[str, Column]:
+    """Of an event: what it shows of its project's habits (kind, value)."""
+    prints = T.error_fingerprints(F.col("content"))
     one = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     each = lambda kind, vs: F.transform(vs, lambda v: one(kind, v))
     fences = F.filter(F.transform(F.regexp_extract_all("content", F.lit(r"```([a-zA-Z0-9_+#-]+)"), 1), F.lower), lambda x: ~x.isin("text", "plaintext"))
     parts = F.coalesce(F.split("path", "/"), F.array().cast("array<string>"))
     folders = F.filter(parts, lambda x: x.isin(*TEST_FOLDERS))
     named = F.transform(F.filter(parts, lambda x: x.startswith("test_") | x.endswith("_test")), lambda x: F.concat(x, F.lit("_files")))
-    shown = F.concat(
+    return {"shown": F.concat(
         F.array(one("command", documents.shell_command()), one("tool", F.when(F.col("role") == "tool_call", F.lower("tool"))), one("extension", F.lower(F.regexp_extract("path", r"[^.]*$", 0)))),
-        each("fence", fences), each("error", F.col("prints")), each("test", folders), each("test", named))
-    rows = e.where("project is not null").select("project", F.inline(shown)).where("value is not null and value != ''")
+        each("fence", fences), each("error", prints), each("test", folders), each("test", named))}
+
+
+def habits(events: DataFrame) -> DataFrame:
+    """project, kind, value, n: how often a project's events show a command, tool, fence language, file extension, error or test folder.
+
+    One pass: each event gives the few values it shows, counts are added up in
+    the tasks.  Events without project show nothing.
+    """
+    e = events if "shown" in events.columns else events.withColumns(shown())
+    rows = e.where("project is not null").select("project", F.inline("shown")).where("value is not null and value != ''")
     return rows.groupBy("project", "kind", "value").agg(F.count("*").alias("n"))
 
 

@@ -89,7 +89,7 @@ _HABITS = f"""shown as (
 @add("habits", f"with {sessions.EVENTS_SQL}, {sessions._FP}, {_HABITS} select project, kind, value, n from counted")
 def habits(spark, d):
     """Commands, tools, fence languages, extensions, errors and test folders of each project."""
-    return knowledge.habits(log_events(spark, d, {"prints": T.error_fingerprints(F.col("content"))}))
+    return knowledge.habits(log_events(spark, d, knowledge.shown()))
 
 
 _TOP = "(select *, row_number() over (partition by project, kind order by n desc, value) as rk from counted)"
@@ -108,7 +108,7 @@ _BUILDS = ", ".join(f"'{t}'" for t in knowledge.BUILD_TOOLS)
     select project, category, rule, row_number() over (partition by project order by rank, n desc, rule) as place from (select project, rank, category, rule, max(n) as n from said group by all)""")
 def rules(spark, d):
     """Rules of all projects (no user of these logs corrects anything; ``corrections`` has the rest)."""
-    ev = log_events(spark, d, {"prints": T.error_fingerprints(F.col("content")), "told": F.when(F.col("role") == "user", T.corrections(F.col("content")))})
+    ev = log_events(spark, d, {**knowledge.shown(), "told": F.when(F.col("role") == "user", T.corrections(F.col("content")))})
     told = ev.where("size(told) > 0").select("project", F.explode("told").alias("correction")).groupBy("project", "correction").agg(F.count("*").alias("n"))
     return knowledge.rules(knowledge.habits(ev), told)
 
@@ -215,7 +215,7 @@ def summarize(spark, d):
 @add("rules_below", f"with {sessions.EVENTS_SQL}, {sessions._FP}, {_HABITS} select kind, cast(sum(n) as bigint) as n from counted where project = (select min(project) from counted) or starts_with(project, (select min(project) from counted) || '/') group by 1")
 def rules_below(spark, d):
     """Habits of a project and the folders below it."""
-    h = knowledge.habits(log_events(spark, d, {"prints": T.error_fingerprints(F.col("content"))}))
+    h = knowledge.habits(log_events(spark, d, knowledge.shown()))
     first = h.agg(F.min("project")).first()[0]  # one value
     return knowledge.of_project(h, first or "").groupBy("kind").agg(F.sum("n").alias("n"))
 

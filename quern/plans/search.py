@@ -313,7 +313,7 @@ _LOGS = f"""{sessions._FACTS}, {sessions._FP}, {_TAGS}, {_PROMPT}, {_SOLVED}, {_
 @add("session_tags", f"with {sessions.EVENTS_SQL}, {sessions._FP}, {_TAGS} select session_id, string_agg(tag, '|' order by tag) as tags from tagged group by 1")
 def session_tags(spark, d):
     """All tiers of tags united: tools, fences, extensions, commands, fingerprints, dictionary."""
-    t = documents.tags(log_events(spark, d, {"prints": T.error_fingerprints(F.col("content"))}), KEYWORDS)
+    t = documents.tags(log_events(spark, d, documents.own_tags(KEYWORDS)))
     return t.select("session_id", F.array_join("tags", "|").alias("tags"))
 
 
