@@ -350,19 +350,23 @@ class Regression:
         self.w = np.zeros(_D + 1)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.15, l2: float = 1e-6, batch: int = 256) -> None:
-        g2 = np.full(_D + 1, 1e-3)
+        # only features that occur have weights to learn
+        known, x = np.unique(x, return_inverse=True)
+        x = x.reshape(len(y), -1)
+        w, g2 = self.w[known], np.full(len(known), 1e-3)
         rng = np.random.default_rng(7)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for s in range(0, len(y), batch):
                 b = order[s : s + batch]
-                p = 1 / (1 + np.exp(-self.w[x[b]].sum(1)))
+                p = 1 / (1 + np.exp(-w[x[b]].sum(1)))
                 err = np.repeat((p - y[b])[:, None], x.shape[1], 1)
-                g = np.bincount(x[b].ravel(), err.ravel(), _D + 1) / len(b)
+                g = np.bincount(x[b].ravel(), err.ravel(), len(known)) / len(b)
                 at = np.flatnonzero(g)
-                step = g[at] + l2 * self.w[at]
+                step = g[at] + l2 * w[at]
                 g2[at] += step**2
-                self.w[at] -= rate * step / np.sqrt(g2[at])
+                w[at] -= rate * step / np.sqrt(g2[at])
+        self.w[known] = w
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.w[x].sum(1)
