@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -116,12 +117,16 @@ def scores(index: Index, clauses: list[tuple[str, str, float]]) -> DataFrame:
         boost[f, t] = boost.get((f, t), 0.0) + b
     if not boost:
         return index.spark.createDataFrame([], "doc_id string, score double")
-    asked = index.spark.createDataFrame([(f, t, b, average[f] or 1.0) for (f, t), b in boost.items()], "field string, term string, boost double, average double")
-    p = index.postings(sorted({t for _, t in boost}), sorted({f for f, _ in boost})).join(F.broadcast(asked), ["field", "term"])  # a row a clause
-    df = p.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = F.col("boost") * term_score(idf, F.col("tf"), F.col("dl"), F.col("average"))
-    return p.join(F.broadcast(df), ["field", "term"]).groupBy("doc_id").agg(F.round(F.sum(s), 6).alias("score"))  # df: a row a clause
+    p = index.postings(sorted({t for _, t in boost}), sorted({f for f, _ in boost}))
+    df = {(r.field, r.term): r["count"] for r in p.groupBy("field", "term").count().collect()}  # a row a clause
+    weights = [(f, t, b * math.log(1 + (n_docs - df[f, t] + 0.5) / (df[f, t] + 0.5))) for (f, t), b in boost.items() if (f, t) in df]
+    if not weights:
+        return index.spark.createDataFrame([], "doc_id string, score double")
+    key = F.concat_ws(" ", "field", "term")
+    w = F.create_map(*[F.lit(x) for f, t, v in weights for x in (f"{f} {t}", v)])[key]
+    mean = F.create_map(*[F.lit(x) for f in {f for f, _, _ in weights} for x in (f, average[f] or 1.0)])[F.col("field")]
+    scored = p.withColumn("__w", w).where(F.col("__w").isNotNull())  # a term may be asked of one field and stand in another
+    return scored.groupBy("doc_id").agg(F.round(F.sum(term_score(F.col("__w"), F.col("tf"), F.col("dl"), mean)), 6).alias("score"))
 
 
 def fuzzy_scores(index: Index, words: list[str], distance: int, fields: list[str] = FUZZY_FIELDS) -> DataFrame:

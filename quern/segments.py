@@ -34,6 +34,7 @@ class Segments:
         self.spark, self.store = spark, Store(spark, path)
         self._versions = Versions(self.store)
         self._depth, self._open = 0, None
+        self._known: dict[tuple[str, tuple[int, ...]], DataFrame | None] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, **settings: Any) -> Segments:
@@ -63,7 +64,13 @@ class Segments:
         return self.alive(got, state)
 
     def _read(self, kind: str, numbers: list[int]) -> DataFrame | None:
-        """Rows of segments of a kind; segments are folders, so others are never read."""
+        """Rows of segments of a kind; segments are folders, so others are never read.  They never change, so what was listed once is kept."""
+        known = (kind, tuple(numbers))
+        if known not in self._known or self._depth:
+            self._known[known] = self._listed(kind, numbers)
+        return self._known[known]
+
+    def _listed(self, kind: str, numbers: list[int]) -> DataFrame | None:
         paths = [p for p in (f"{kind}/segment={n}" for n in numbers) if self.store.exists(p)]
         if not paths:
             return None
