@@ -143,6 +143,9 @@ def json_path(text: Column, path: str) -> Column:
 
 
 def parse_time(raw: Column) -> Column:
-    """RFC 3339, else epoch (above 1e12 milliseconds, else seconds), else null."""
-    n = raw.try_cast("double")
-    return F.coalesce(F.when(n > 1e12, F.timestamp_millis(n.cast("bigint"))).when(n.isNotNull(), F.timestamp_seconds(n.cast("bigint"))), F.try_to_timestamp(raw))
+    """RFC 3339, else epoch (above 1e12 milliseconds, else seconds), else null; null also beyond what a clock can show, and for a time without date."""
+    number = raw.rlike(r"^\s*[+-]?\d{1,18}(\.\d+)?\s*$")
+    n = F.when(number, raw.try_cast("double"))
+    epoch = F.when((n > 1e12) & (n < 8.2e15), F.timestamp_millis(n.cast("bigint"))).when((n <= 1e12) & (n >= -1e12), F.timestamp_seconds(n.cast("bigint")))
+    dated = raw.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}(?:$|[Tt ]\d{1,2}:\d)")
+    return F.when(number, epoch).when(dated, F.try_to_timestamp(raw))

@@ -198,12 +198,11 @@ def backfill(spark, d):
     return g.select("session_id", F.coalesce("p", F.regexp_extract("session_id", "^([^/]*)/", 1)).alias("project"), F.coalesce("m", F.lit("unknown")).alias("model"))
 
 
-@add("epoch_parse", """select rec_id, epoch_ms(case when length(time_raw) = 13 then make_timestamp(cast(time_raw as bigint) * 1000) when length(time_raw) = 10 then make_timestamp(cast(time_raw as bigint) * 1000000)
-    else cast(replace(time_raw, 'Z', '') as timestamp) end) as ms from rollout_records where regexp_matches(time_raw, '^(\\d{10}|\\d{13}|\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d{3})?Z)$') and try_cast(replace(time_raw, 'Z', '') as timestamp) is not null
-    or regexp_matches(time_raw, '^(\\d{10}|\\d{13})$')""")
+@add("epoch_parse", """select rec_id, case when regexp_full_match(time_raw, '\\d{1,18}(\\.\\d+)?') then case when cast(time_raw as double) >= 8.2e15 then null when cast(time_raw as double) > 1e12 then cast(cast(time_raw as double) as bigint) else cast(cast(time_raw as double) as bigint) * 1000 end
+    else cast(floor(epoch_us(try_cast(regexp_replace(regexp_replace(time_raw, ' ([+-]\\d\\d:|Z)', '\\1'), '(\\.\\d{6})\\d+', '\\1') as timestamptz)) / 1000) as bigint) end as ms from rollout_records""")
 def epoch_parse(spark, d):
-    r = table(spark, d, "rollout_records").where(F.col("time_raw").rlike(r"^(\d{10}|\d{13}|\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{3})?Z)$"))
-    return r.select("rec_id", F.unix_millis(relational.parse_time(F.col("time_raw"))).alias("ms")).where("ms is not null")
+    """Times of sources as their readers take them: RFC 3339 or epochs, null for what is neither."""
+    return table(spark, d, "rollout_records").select("rec_id", F.unix_millis(relational.parse_time(F.col("time_raw"))).alias("ms"))
 
 
 _MODELS = [("gpt", 1), ("gpt-main", 2), ("sonnet", 3), ("o-", 4)]
