@@ -52,12 +52,11 @@ BESIDE = 0.05  # share of its files in which a carrier may stand beside the fiel
 FLOOR = 0.37  # flooded score, against that of the field at its usual place, from which a path is its carrier
 
 
+_KINDS = {type(None): "null", bool: "boolean", dict: "object", list: "array", str: "string"}
+
+
 def type_of(v: object) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    return {dict: "object", list: "array", str: "string"}.get(type(v), "number")
+    return _KINDS.get(type(v), "number")
 
 
 def look_of(v: object) -> str:
@@ -66,24 +65,27 @@ def look_of(v: object) -> str:
     if isinstance(v, (int, float)):
         return "dotted" if isinstance(v, float) else "digits"
     s = str(v)
-    if not s or (s[0] not in "0123456789v" and any(c in s for c in " \n\t")):
+    if not s or (s[0] not in "0123456789v" and (" " in s or "\n" in s or "\t" in s)):
         return "other"  # prose; a time is the only look with a blank in it
     return next((n for n, p in _LOOKS if p.fullmatch(s)), "other")
 
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _BLANK, _DIGIT = re.compile(r"[^\W_]+"), re.compile(r"\s"), re.compile(r"\d")
 
 
 def words_of(s: str) -> tuple[int, ...]:
     """Hashes of the words of an identifier; runs that hold a digit vary freely and are none, and prose has none."""
-    if any(c.isspace() for c in s):
+    if _BLANK.search(s):
         return ()
-    return tuple({zlib.crc32(w.lower().encode("utf-8", "replace")) for w in _WORD.findall(s) if not any(c.isdigit() for c in w)})
+    return tuple({zlib.crc32(w.lower().encode("utf-8", "replace")) for w in _WORD.findall(s) if not _DIGIT.search(w)})
+
+
+_PLAIN = re.compile(r'[^."\[\]]+')
 
 
 def _step(key: str) -> str:
     """A key as a step of a path; keys that would be read as several steps stand in quotes."""
-    return key if key and not any(c in key for c in '."[]') else json.dumps(key, ensure_ascii=False)
+    return key if _PLAIN.fullmatch(key) else json.dumps(key, ensure_ascii=False)
 
 
 class _Scalars:
@@ -115,7 +117,7 @@ def fields(record: dict, scalars: _Scalars) -> Iterator[tuple[str, str, str, tup
     while todo:
         prefix, node = todo.pop()
         for k, v in node.items():
-            path = prefix + _step(k)
+            path = prefix + (k if k.isalnum() else _step(k))
             if isinstance(v, (dict, list)):
                 looks: Counter = Counter()
                 said: set[int] = set()
