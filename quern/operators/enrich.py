@@ -218,11 +218,10 @@ def alternatives(prints: DataFrame, ended_well: DataFrame, failed: DataFrame, mo
     kept: no others can be among the smallest of any union.
     """
     p = prints.select("session_id", "fingerprint").distinct()
-    w = Window.partitionBy("fingerprint").orderBy("alternative")
-    good = p.join(ended_well, "session_id", "left_semi").withColumnRenamed("session_id", "alternative").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most + 1).drop("rn")
+    good = p.join(ended_well, "session_id", "left_semi").withColumnRenamed("session_id", "alternative")
+    good = blocks.first_of(good, ["fingerprint"], [F.asc("alternative")], most + 1)
     pairs = p.join(failed, "session_id", "left_semi").join(good, "fingerprint").where("session_id <> alternative").select("session_id", "alternative").distinct()
-    mine = Window.partitionBy("session_id").orderBy("alternative")
-    return pairs.withColumn("rn", F.row_number().over(mine)).where(F.col("rn") <= most).drop("rn")
+    return blocks.first_of(pairs, ["session_id"], [F.asc("alternative")], most)
 
 
 def ended_well(events: DataFrame, last: int = 5) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Ranked full-text search over materialised postings."""
+"""Parts of full-text search: words of texts, pages, near terms, packing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOP_WORDS, osa_within
+from quern.functions.text import osa_within
 
-K1, B = 1.2, 0.75
-#: What parts terms: all but letters and digits of any script; all but those of ASCII, as the SQL of the queries has it.
-UNICODE, ASCII = r"[^\p{L}\p{N}]+", r"[^a-z0-9]+"
+#: What parts terms: all but letters and digits of any script.
+UNICODE = r"[^\p{L}\p{N}]+"
 
 
 def tokens(text: Column, pattern: str = UNICODE) -> Column:
@@ -17,57 +16,10 @@ def tokens(text: Column, pattern: str = UNICODE) -> Column:
     return F.filter(F.split(F.lower(text), pattern), lambda t: (t != "") & (F.octet_length(t) <= 40))
 
 
-def lengths(docs: DataFrame, pattern: str = UNICODE) -> DataFrame:
-    """doc_id, dl for every document, 0 for null and empty texts."""
-    return docs.select("doc_id", F.coalesce(F.size(tokens(F.coalesce("text", F.lit("")), pattern)), F.lit(0)).alias("dl"))
-
-
-def postings(docs: DataFrame, terms: list[str] | None = None, pattern: str = UNICODE) -> DataFrame:
-    """doc_id, term, tf.  With ``terms`` only these, filtered before anything moves."""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"), pattern)).alias("term"))
-    if terms is not None:
-        t = t.where(F.col("term").isin(*terms))
-    return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, terms: list[str], boost: float = 1.0, pattern: str = UNICODE) -> DataFrame:
-    """doc_id, score of the documents that hold a term; scores rounded to 6 places."""
-    dl = lengths(docs, pattern)
-    stats = dl.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    p = postings(docs, terms, pattern)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    # df has at most one row a query term, stats one row
-    scored = p.join(F.broadcast(df), "term").join(dl, "doc_id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("doc_id").agg(F.round(F.sum(s) * boost, 6).alias("score"))
-
-
 def top(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").offset(offset).limit(k)
 
 
-def phrase(docs: DataFrame, words: list[str], pattern: str = UNICODE) -> DataFrame:
-    """doc_id of documents with the words in succession."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col("text"), pattern), " "), F.lit(" "))
-    return docs.where(joined.contains(" " + " ".join(words) + " ")).select("doc_id")
-
-
-def boolean(docs: DataFrame, must: list[str], must_not: list[str], pattern: str = UNICODE) -> DataFrame:
-    """doc_id of documents with all of ``must`` and none of ``must_not``."""
-    t = tokens(F.col("text"), pattern)
-    cond = F.lit(True)
-    for m in must:
-        cond = cond & F.array_contains(t, m)
-    for m in must_not:
-        cond = cond & ~F.array_contains(t, m)
-    return docs.where(cond).select("doc_id")
-
-
-def vocabulary(docs: DataFrame, pattern: str = UNICODE) -> DataFrame:
-    return postings(docs, None, pattern).groupBy("term").agg(F.count("*").alias("df"))
-
-
 def fuzzy_terms(vocab: DataFrame, word: str, d: int = 1, *by: str) -> DataFrame:
     """Terms of the vocabulary (and the columns ``by``) within the distance of a word; lengths are compared before distances."""
     w = word.lower()
@@ -75,31 +27,6 @@ def fuzzy_terms(vocab: DataFrame, word: str, d: int = 1, *by: str) -> DataFrame:
     return near.where(osa_within(F.col("term"), F.lit(w), d)).select(*by, "term")
 
 
-def fuzzy(docs: DataFrame, words: list[str], d: int = 1, pattern: str = UNICODE) -> DataFrame:
-    """doc_id, hits: how many of the words a document holds within the distance (a constant score a clause)."""
-    p = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), pattern))).alias("term"))
-    near = p.groupBy("term").agg(F.lit(1).alias("x")).drop("x")
-    out = None
-    for w in words:
-        terms = fuzzy_terms(near, w, d).withColumn("word", F.lit(w))
-        out = terms if out is None else out.unionByName(terms)
-    return p.join(out, "term").select("doc_id", "word").distinct().groupBy("doc_id").agg(F.count("*").alias("hits"))
-
-
-def more_like(docs: DataFrame, doc_id: int, n_terms: int = 20, pattern: str = UNICODE) -> DataFrame:
-    """term, weight: the terms of a document that set it apart, by tf-idf; boosts run from 0.5 to 2.5."""
-    own = docs.where(F.col("doc_id") == doc_id).select(F.explode(F.split(F.lower("text"), r"\s+" if pattern == ASCII else r"(?U)\s+")).alias("term"))
-    own = own.where((F.octet_length("term") > 2) & ~F.col("term").isin(*STOP_WORDS))
-    tf = own.groupBy("term").agg(F.count("*").alias("tf"))
-    total = tf.agg(F.sum("tf").alias("total"))
-    # at most one row a distinct token of one document
-    df = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), pattern))).alias("term")).join(tf.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    w = tf.join(df, "term").crossJoin(total).crossJoin(n).select("term", F.round(F.col("tf") / F.col("total") * F.log(F.col("n") / F.col("df")), 9).alias("s"))
-    best = w.orderBy(F.desc("s"), "term").limit(n_terms)
-    return best.select("term", F.round(F.when(F.max("s").over(Window.partitionBy()) > 0, F.col("s") / F.max("s").over(Window.partitionBy()) * 2).otherwise(0) + 0.5, 6).alias("boost"))
-
-
 def pack(results: DataFrame, budget: int) -> DataFrame:
     """Greedy packing of results (doc_id, score, snippet, summary) into a token budget, skipping what does not fit.
 

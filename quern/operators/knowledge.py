@@ -43,9 +43,9 @@ def antipatterns(events: DataFrame, most: int = ALTERNATIVES) -> DataFrame:
     met = spans.select("session_id", "kind", "a", "b").join(prints, "session_id").where("idx between a and b").select("session_id", "kind", "fingerprint").distinct()
     # of the sessions that met an error and ended well no others than the first can be among the first of a union
     good = prints.select("session_id", "fingerprint").distinct().join(enrich.ended_well(e), "session_id", "left_semi")
-    good = first_of(good.withColumnRenamed("session_id", "other"), ["fingerprint"], [F.asc("other")], most + 1)
+    good = blocks.first_of(good.withColumnRenamed("session_id", "other"), ["fingerprint"], [F.asc("other")], most + 1)
     pairs = met.join(good, "fingerprint").where("session_id <> other").select("session_id", "kind", "other").distinct()
-    few = first_of(pairs, ["session_id", "kind"], [F.asc("other")], most).groupBy("session_id", "kind").agg(F.array_sort(F.collect_list("other")).alias("alternatives"))
+    few = blocks.first_of(pairs, ["session_id", "kind"], [F.asc("other")], most).groupBy("session_id", "kind").agg(F.array_sort(F.collect_list("other")).alias("alternatives"))
     named = met.groupBy("session_id", "kind").agg(F.array_sort(F.collect_list("fingerprint")).alias("fingerprints"))
     empty = F.array().cast("array<string>")
     out = spans.join(named, ["session_id", "kind"], "left").join(few, ["session_id", "kind"], "left")
@@ -58,14 +58,6 @@ def described() -> Column:
     return F.when(F.col("kind") == "rejection", F.concat(n, F.lit(" attempts in vain over "), m, F.lit(" events"))).otherwise(F.concat(n, F.lit(" kinds of errors within "), m, F.lit(" events")))
 
 
-def first_of(rows: DataFrame, by: list[str], order: list[Column], most: int, salt: int = 64) -> DataFrame:
-    """The first ``most`` rows of each group: the first of salted parts, then of these, so that no group is sorted whole."""
-    w = Window.partitionBy(*by, "__part").orderBy(*order)
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(salt))
-    near = rows.withColumn("__part", part).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__part", "__k")
-    return near.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__k") <= most).drop("__k")
-
-
 def touched(events: DataFrame) -> DataFrame:
     """path, session_id, each once."""
     return events.where("path is not null").select("path", "session_id").distinct()
@@ -86,7 +78,7 @@ def file_gotchas(touches: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def file_samples(touches: DataFrame, facts: DataFrame, most: int = 5) -> DataFrame:
     """path, session_id, started: the most recent sessions of each file."""
-    return first_of(touches.join(facts.select("session_id", "started"), "session_id"), ["path"], [F.desc("started"), F.asc("session_id")], most)
+    return blocks.first_of(touches.join(facts.select("session_id", "started"), "session_id"), ["path"], [F.desc("started"), F.asc("session_id")], most)
 
 
 def shown() -> dict[str, Column]:
@@ -131,7 +123,7 @@ def rules(counted: DataFrame, corrections: DataFrame) -> DataFrame:
     of = lambda kind: counted.where(F.col("kind") == kind)
     say = lambda df, category, text: df.select("project", F.lit(category).alias("category"), text.alias("rule"), F.col("n"))
     s = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
-    top = lambda df, k: first_of(df, ["project"], [F.desc("n"), F.asc("value")], k)
+    top = lambda df, k: blocks.first_of(df, ["project"], [F.desc("n"), F.asc("value")], k)
     languages = say(top(of("fence"), 3).where("n >= 2"), "context", s("Main language: ", F.col("value")))
     pairs = counted.sparkSession.createDataFrame(T.COMPETING_TOOLS, "a string, b string")
     used = of("command").select("project", F.col("value").alias("a"), F.col("n").alias("n_a"))

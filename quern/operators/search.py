@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.index import DOCUMENT, TEXT_FIELDS, Index, term_score
+from quern.index import TEXT_FIELDS, Index, term_score
 from quern.operators import fulltext
 
 SUMMARY_BOOST = 1.5

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.adapters import EVENTS_SQL, USAGE_SQL, log_events, usage_turns
@@ -282,11 +282,10 @@ def quarter_bounds(spark, d):
     select path, session_id from worst where rn = 1""")
 def gotchas_join(spark, d):
     """For each file the worst failed session that touched it."""
-    ev = log_events(spark, d)
+    ev = log_events(spark, d, enrich.signals())
     bad = enrich.outcome(ev).where("outcome = 'failure'")
     p = ev.where("path is not null").select("path", "session_id").distinct().join(bad, "session_id")
-    w = Window.partitionBy("path").orderBy("score", "session_id")
-    return p.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("path", "session_id")
+    return p.groupBy("path").agg(F.min_by("session_id", F.struct("score", "session_id")).alias("session_id"))
 
 
 @add("order_lines", """select o_orderpriority, count(distinct o_orderkey) as orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from orders join lineitem on l_orderkey = o_orderkey join customer on c_custkey = o_custkey

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.adapters import EVENTS_SQL, log_events
 from quern.functions import text as T
-from quern.operators import enrich
+from quern.operators import blocks, enrich
 
 AS_OF = "2025-01-01"  # the reference date of every report
 Q: dict = {}
@@ -344,8 +344,7 @@ def file_paths_extract(spark, d):
 def rules_commands(spark, d):
     """The commands a project uses most."""
     g = log_events(spark, d).where("command is not null and project is not null").groupBy("project", F.split(F.trim("command"), r"\s+")[0].alias("command")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("project").orderBy(F.desc("n"), "command")
-    return g.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    return blocks.first_of(g, ["project"], [F.desc("n"), F.asc("command")], 5)
 
 
 _PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in T.COMPETING_TOOLS)
