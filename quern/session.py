@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()

@@ -39,3 +39,45 @@ def test_gap_sessions_and_rolling_equal_brute_force(spark):
     for u, i, s in rows:
         if i:
             assert roll[i] == sum(j for v, j, x in rows if v == u and s - 3600 < x <= s)
+
+
+def test_numbered_and_first_of(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(20)}", rng.randrange(1000), i) for i in range(3000)] + [(None, 1, -1), (None, 0, -2)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    want = {}
+    for g in {r[0] for r in rows}:
+        for k, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            want[i] = k
+    got = {r.i: r.n for r in blocks.numbered(df.where("g is not null"), "g", ["v", "i"], "n").collect()}
+    assert got == {i: k for i, k in want.items() if i >= 0}
+    first = blocks.first_of(df, ["g"], [F.desc("v"), F.asc("i")], 3, salt=4).collect()
+    by = {}
+    for g, v, i in rows:
+        by.setdefault(g, []).append((-v, i))
+    assert sorted((r.g or "", r.i) for r in first) == sorted((g or "", i) for g, xs in by.items() for _, i in sorted(xs)[:3])
+    assert blocks.numbered(df.limit(0), "g", ["v"], "n").count() == 0 == blocks.first_of(df.limit(0), ["g"], [F.asc("v")], 2).count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from quern import session
+
+    class Nothing:
+        def isEmpty(self):
+            return True
+
+    class Spark:
+        class sparkContext:
+            master = "spark://somewhere"
+            _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Nothing()})()})()
+            getConf = staticmethod(dict)
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Spark())
