@@ -78,11 +78,16 @@ def stream_window_counts(spark, d):
 @add("stream_sessions", """with g as (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800 * 1000000 then 0 else 1 end as b from events), s as (select user_id, ts, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g)
     select user_id, min(ts) as started, max(ts) + interval 30 minute as until, count(*) as n from s group by user_id, k""")
 def stream_sessions(spark, d):
-    """Gap sessions by a stream over the table's files."""
+    """Gap sessions by a stream over the table's files; there are nearly as many as events.
+
+    Windows that touch are one to Spark, so the gap is a microsecond shorter: events 30 minutes apart are two sessions.
+    """
     schema = table(spark, d, "events").schema
-    s = streams.sessions(streams.table_files(spark, f"{d}/events.parquet", schema))
-    done = streams.run_to_end(s, f"sessions_{uuid.uuid4().hex[:12]}", "complete")
-    return done.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("until").cast("timestamp_ntz").alias("until"), "n")
+    s = streams.sessions(streams.table_files(spark, f"{d}/events.parquet", schema), "1799999999 microseconds", None)
+    length = F.unix_micros("until") - F.unix_micros("started") + 1  # of most sessions the same, which takes no room
+    done = streams.run_to_files(s.select("user_id", "started", length.alias("length"), "n"), f"sessions_{uuid.uuid4().hex[:12]}")
+    until = F.timestamp_micros(F.unix_micros("started") + F.col("length"))
+    return done.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), until.cast("timestamp_ntz").alias("until"), "n")
 
 
 @add("interval_commits", f"""{sessions._FACTS}, c as (select line_id as commit_id, received_at as ts, project from session_messages join workspaces using (cwd) where input_command like 'git %')

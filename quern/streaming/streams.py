@@ -16,6 +16,17 @@ from quern.adapters import EVENT
 from quern.ingest import Archive, ingest
 from quern.session import shared_folder
 from quern.sources.connector import Connector, expanded
+from quern.storage import Store
+
+#: State in files beside the executors, with a bounded share of their memory, in place of their heaps.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.blockSizeKB": "64",
+}
 
 
 def timed(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -35,9 +46,10 @@ def window_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minut
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Gap sessions of each user."""
-    e = timed(events).withWatermark("ts", late)
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """Gap sessions of each user; without ``late`` no row is left out (mode complete only)."""
+    e = timed(events)
+    e = e.withWatermark("ts", late) if late else e
     g = e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("until"), "n")
 
@@ -130,3 +142,33 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", after: Callable[[
     if after:
         after()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream in mode complete over what is there into Parquet files of the shared folder: its whole result, of any size, and nothing of it on the driver.
+
+    Every batch holds the whole result, so the last one counts, and a batch
+    that runs again replaces its own files.  The checkpoint goes when the
+    stream has ended; the rows stay as long as the shared folder.
+    """
+    spark = df.sparkSession
+    store = Store(spark, f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(store.url(f"rows/{n}"))
+        for old in store.names("rows"):
+            if old != str(n):
+                store.delete(f"rows/{old}")
+
+    was = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        q = df.writeStream.foreachBatch(keep).queryName(name).outputMode("complete").option("checkpointLocation", store.url("checkpoint")).trigger(availableNow=True).start()  # with a copy of the session's settings
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    q.awaitTermination()
+    store.delete("checkpoint")
+    rows = [store.url(f"rows/{n}") for n in store.names("rows")]
+    return spark.read.schema(df.schema).parquet(*rows) if rows else spark.createDataFrame([], df.schema)

@@ -57,3 +57,33 @@ def test_watch_scrapes_what_changed(spark, tmp_path):
     spark.streams.removeListener(counters)
     assert [g["files"] for g in got] == [1, 1] and ingest.Archive.open(spark, f"{tmp_path}/out/archive").events().count() == 2
     assert sum(counters.batches.values()) >= 2
+
+
+def test_sessions_of_a_table_stay_off_the_driver_and_are_whole(spark, tmp_path):
+    """Files in place of a table in the driver's memory; events 30 minutes apart, long ago or late among them."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    (tmp_path / "events.parquet").mkdir()
+    con = duckdb.connect()
+    at = ["2024-03-01", "2024-01-01 00:00:00", "2024-01-01 00:30:00", "2024-01-01 00:59:59.999999", "1969-07-20 20:17:00", "2024-01-01"]
+    for i, t in enumerate(at):
+        con.execute(f"copy (select {i}::bigint as event_id, timestamp '{t}' as ts, 1::bigint as user_id, 'x' as event_type, 1.0::double as value, '' as props) to '{tmp_path}/events.parquet/{i}.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()["stream_sessions"](spark, str(tmp_path))
+    assert got.inputFiles()
+    want = con.execute(f"select user_id, started, until, n from ({entry.oracle_sql()['stream_sessions']})").fetchall()
+    assert sorted(map(tuple, got.select("user_id", "started", "until", "n").collect())) == sorted(want) and len(want) == 4
+
+
+def test_files_hold_the_last_batch(spark, sf, tmp_path):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    src = str(tmp_path / "in")
+    ev.repartition(3).write.parquet(src)
+    was = {k: spark.conf.get(k, None) for k in streams.STATE}
+    got = streams.run_to_files(streams.sessions(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src), late=None), "w3")
+    whole = streams.run_to_files(streams.sessions(spark.readStream.schema(ev.schema).parquet(src), late=None), "w4")
+    assert got.agg(F.sum("n")).first()[0] == ev.count() and got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+    assert {f.split("/")[-2] for f in got.inputFiles()} == {"2"}  # no batch before the last
+    assert {k: spark.conf.get(k, None) for k in streams.STATE} == was
